@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import sentencepiece
 from pyspark.sql import DataFrame
@@ -157,7 +158,7 @@ def worker_encoder(model) -> Encoder:
 
 def text_slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
     """``batch`` in runs of rows with at most BATCH_BYTES of text, one row at least."""
-    sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0))
+    sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0))
     start, total = 0, 0
     for i, n in enumerate(sizes):
         if total + n > BATCH_BYTES and i > start:
