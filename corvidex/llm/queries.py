@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvidex.llm import fusion, ngrams, packing, tokens
+from corvidex.llm import fusion, ngrams, packing, residue, tokens
 from corvidex.session import table
 
 
@@ -36,6 +36,14 @@ def p7_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pack_spec"))
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue.detect(table(spark, sf_dir, "documents")).where("residue").select("doc_id")
+
+
+def p8_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue.exclude(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select("doc_id", "text")
+
+
 QUERIES = {
     "p3_found": p3_found,
     "p3_ngram_counts": p3_ngram_counts,
@@ -43,6 +51,8 @@ QUERIES = {
     "p4_ranking": p4_ranking,
     "p6_ids": p6_ids,
     "p7_packed": p7_packed,
+    "p8_found": p8_found,
+    "p8_kept": p8_kept,
 }
 
 _LISTS = r"""
