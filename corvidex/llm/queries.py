@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvidex.llm import fusion, ngrams, packing, residue, tokens
+from corvidex.llm import boilerplate, fusion, ngrams, packing, residue, tokens
 from corvidex.session import table
 
 
@@ -28,6 +28,14 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p4_ranking(spark, sf_dir).where("position <= 3").select("query_id", "doc_id")
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return boilerplate.frame_lines(table(spark, sf_dir, "scored_document"))
+
+
+def p5_body(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return boilerplate.main_body(table(spark, sf_dir, "scored_document"))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, sf_dir, "documents"))
 
@@ -49,6 +57,8 @@ QUERIES = {
     "p3_ngram_counts": p3_ngram_counts,
     "p4_found": p4_found,
     "p4_ranking": p4_ranking,
+    "p5_found": p5_found,
+    "p5_body": p5_body,
     "p6_ids": p6_ids,
     "p7_packed": p7_packed,
     "p8_found": p8_found,
