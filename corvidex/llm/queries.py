@@ -5,10 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvidex.llm import boilerplate, fusion, ngrams, packing, residue, tokens
+from corvidex.llm import boilerplate, fusion, markup, ngrams, packing, residue, tokens
 from corvidex.session import table
 
 
+def _marked_up(spark: SparkSession, sf_dir: str) -> list[tuple[str, DataFrame, str, str]]:
+    """(tbl, table, identifier, field) of the tables whose texts hold markup."""
+    return [("knowledge", table(spark, sf_dir, "knowledge"), "knowledge_id", "knowledge"), ("scored_document", table(spark, sf_dir, "scored_document"), "result_id", "snippet")]
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = _marked_up(spark, sf_dir)
+    model = markup.fit(markup.training_texts([(df, text) for _, df, _, text in parts]))
+    found = [markup.structures(df, key, text, model).select(F.lit(tbl).alias("tbl"), F.col(key).alias("rec_id"), "kind") for tbl, df, key, text in parts]
+    return found[0].unionAll(found[1])
+
+
+def p1_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = _marked_up(spark, sf_dir)
+    model = markup.fit(markup.training_texts([(df, text) for _, df, _, text in parts]))
+    out = [markup.cleaned(df, key, text, model).select(F.lit(tbl).alias("tbl"), F.col(key).alias("rec_id"), "text") for tbl, df, key, text in parts]
+    return out[0].unionAll(out[1])
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     lists = ngrams.title_and_expansion_terms(table(spark, sf_dir, "scored_document"), table(spark, sf_dir, "prf"))
     return ngrams.marked_terms(lists).where("mark IS NOT NULL").select("field", F.col("gram")[0].alias("term"), "mark")
@@ -53,6 +72,8 @@ def p8_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found,
+    "p1_clean": p1_clean,
     "p3_found": p3_found,
     "p3_ngram_counts": p3_ngram_counts,
     "p4_found": p4_found,
