@@ -56,39 +56,37 @@ def stem_plural(word: Column) -> Column:
     )
 
 
-def restore_e(stem: Column) -> Column:
+def restore_e(stem: Column, shape: Column) -> Column:
     """What follows the removal of -ed and -ing: at, bl, iz get an e, double consonants go, short stems get an e."""
-    shape = vowel_shape(stem)
-    doubled = (F.length(stem) > 1) & (F.right(stem, F.lit(1)) == F.substring(stem, F.length(stem) - 1, F.lit(1))) & shape.endswith("c")
-    measure = (F.length(shape) - F.length(F.replace(shape, F.lit("vc"), F.lit("")))) / 2
+    last = F.right(stem, F.lit(1))
+    doubled = (F.length(stem) > 1) & (last == F.substring(stem, F.length(stem) - 1, F.lit(1))) & shape.endswith("c")
+    short = (F.length(shape) - F.length(F.replace(shape, F.lit("vc"), F.lit(""))) == 2) & shape.endswith("cvc") & ~last.isin("w", "x", "y")
     return (
-        F.when(stem.endswith("at") | stem.endswith("bl") | stem.endswith("iz"), F.concat(stem, F.lit("e")))
-        .when(doubled, F.when(F.right(stem, F.lit(1)).isin("l", "s", "z"), stem).otherwise(_drop(stem, 1)))
-        .when((measure == 1) & shape.endswith("cvc") & ~F.right(stem, F.lit(1)).isin("w", "x", "y"), F.concat(stem, F.lit("e")))
+        F.when(stem.endswith("at") | stem.endswith("bl") | stem.endswith("iz") | short & ~doubled, F.concat(stem, F.lit("e")))
+        .when(doubled & ~last.isin("l", "s", "z"), _drop(stem, 1))
         .otherwise(stem)
     )
 
 
-def stem_past(word: Column) -> Column:
-    """-eed to -ee after a syllable; -ed and -ing off where a vowel remains. ``word`` has its plural off."""
-    eed, ed, ing = _drop(word, 3), _drop(word, 2), _drop(word, 3)
-    return (
-        F.when(word.endswith("eed"), F.when(vowel_shape(eed).contains("vc"), _drop(word, 1)).otherwise(word))
-        .when(word.endswith("ed") & vowel_shape(ed).contains("v"), restore_e(ed))
-        .when(word.endswith("ing") & vowel_shape(ing).contains("v"), restore_e(ing))
-        .otherwise(word)
-    )
-
-
 def with_stem(df: DataFrame, word: str, into: str) -> DataFrame:
     """``df`` with column ``into``: the stem of column ``word`` (step 1 of the suffix stripper).
 
-    Words of one or two characters stay. The two halves are columns of their
-    own, so that the plural is taken off once. Null stays null, empty empty.
+    Words of one or two characters stay. Null stays null, empty empty. Each
+    intermediate is a column of its own, used several times but computed once.
+    The generator at the end keeps filters on the stem above it: pushed below,
+    they would repeat the whole expression, beyond what can be compiled.
     """
-    short = F.length(word) < 3
-    out = df.withColumn("plural_off_", stem_plural(F.col(word)))
-    return out.withColumn(into, F.when(short, F.col(word)).otherwise(stem_past(F.col("plural_off_")))).drop("plural_off_")
+    w, x, st, cv = (F.col(c) for c in (word, "x_", "st_", "cv_"))
+    out = df.withColumn("x_", stem_plural(w))
+    bare = F.when(x.endswith("ed"), _drop(x, 2)).when(x.endswith("ing"), _drop(x, 3))
+    out = out.withColumn("st_", F.when((F.length(w) < 3) | x.endswith("eed"), None).otherwise(bare)).withColumn("cv_", vowel_shape(st))
+    stem = (
+        F.when(F.length(w) < 3, w)
+        .when(x.endswith("eed"), F.when(vowel_shape(_drop(x, 3)).contains("vc"), _drop(x, 1)).otherwise(x))
+        .when(cv.contains("v"), restore_e(st, cv))
+        .otherwise(x)
+    )
+    return out.withColumn(into, F.explode(F.array(stem))).drop("x_", "st_", "cv_")
 
 
 def positions(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:

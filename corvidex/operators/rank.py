@@ -15,6 +15,8 @@ from corvidex.operators.match import matches, matches_batch
 
 #: Share of the collection's language model in the smoothed one.
 LAMBDA = 0.5
+#: Digits to which scores are told apart.
+DIGITS = 9
 
 
 def smoothed(tf: Column, length: Column, ctf: Column, total: Column, lam: float = LAMBDA) -> Column:
@@ -106,10 +108,14 @@ def ranker(name: str | None) -> Callable[[Index, Query], DataFrame]:
 
 
 def page(scored: DataFrame, num: int = 10, number: int = 1) -> DataFrame:
-    """Page ``number`` (from 1) of ``num`` rows, best first, ties by doc_id; past the end there is none."""
+    """Page ``number`` (from 1) of ``num`` rows, best first, ties by doc_id; past the end there is none.
+
+    Scores that agree to nine digits are ties: sums of doubles depend on their
+    order in the last digits, and a page must not.
+    """
     if num < 1 or number < 1:
         raise ValueError("num and page start at 1")
-    return scored.orderBy(F.desc("score"), F.asc("doc_id")).offset(num * (number - 1)).limit(num)
+    return scored.orderBy(F.round("score", DIGITS).desc(), F.asc("doc_id")).offset(num * (number - 1)).limit(num)
 
 
 def knowledge_score(index: Index, query: Query, name: str = "favorite") -> DataFrame:
@@ -141,7 +147,7 @@ def query_likelihood_batch(index: Index, queries: DataFrame, top: int = 10) -> D
     """
     rows = matches_batch(index.term_doc, queries).join(index.term_stats.select("term", "ctf"), "term").join(index.doc_stats.select("doc_id", "length"), "doc_id").crossJoin(F.broadcast(index.scalars()))
     scored = rows.groupBy("query_id", "doc_id").agg(F.sum(F.col("qtf") * smoothed(F.col("tf"), F.col("length"), F.col("ctf"), F.col("total_terms"))).alias("score"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("doc_id"))
+    w = Window.partitionBy("query_id").orderBy(F.round("score", DIGITS).desc(), F.asc("doc_id"))
     return scored.where(F.col("score") != 0).withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= top)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvidex.functions.query import Query, original_terms, parse_query
@@ -35,23 +35,31 @@ def candidates1(words: DataFrame, dic: DataFrame) -> DataFrame:
 def candidates2(words: DataFrame, dic: DataFrame) -> DataFrame:
     """(word, candidate, cnt): dictionary words within two edits (edits of edits), stop words left out.
 
-    Meets in the middle: edits of the word join edits of the dictionary words of
-    about its length, as an edit can be undone by an edit. Letters that come in
-    must be a to z: a way back may replace or delete any letter, but the way
-    there can only bring in those, so candidates with other letters count only
-    if the word has them as well.
+    Two words within two edits have a string in common that two deletions at
+    most make of either: an equi-join on those strings finds all pairs, some too
+    many, and the pairs are then held against the definition: an edit of the word
+    that is an edit of the candidate. Edits only bring in the letters a to z, so
+    a candidate with another letter counts only if the word has it too.
     """
     unknown = words.select("word").distinct().join(dic, "word", "left_anti")
-    lengths = unknown.agg(F.min(F.length("word")).alias("lo"), F.max(F.length("word")).alias("hi"))
-    near = unknown.select("word", F.explode(F.array_distinct(edits1(F.col("word")))).alias("middle"))
-    around = _usable(dic).crossJoin(F.broadcast(lengths)).where(F.length("candidate").between(F.col("lo") - 2, F.col("hi") + 2))  # one row of bounds
-    # only words that can be within two edits are expanded
-    around = around.join(F.broadcast(unknown), F.abs(F.length("candidate") - F.length("word")) <= 2).where(F.levenshtein("candidate", "word", 4) >= 0).select("candidate", "cnt").distinct()
-    back = around.select("candidate", "cnt", F.explode(F.array_distinct(edits1(F.col("candidate")))).alias("middle"))
-    pairs = near.join(back, "middle").select("word", "candidate", "cnt").distinct()
-    foreign = lambda c: F.regexp_replace(c, "[a-z]", "")
-    kept = F.size(F.array_except(F.split(foreign(F.col("candidate")), ""), F.split(foreign(F.col("word")), "")))
-    return pairs.where(kept == 0)
+    near = unknown.select("word", F.explode(_deletions2(F.col("word"))).alias("rest"))
+    around = _usable(dic).select("candidate", "cnt", F.explode(_deletions2(F.col("candidate"))).alias("rest"))
+    pairs = near.join(around, "rest").select("word", "candidate", "cnt").distinct()
+    foreign = lambda c: F.split(F.regexp_replace(c, "[a-z]", ""), "")
+    native = F.size(F.array_except(foreign(F.col("candidate")), F.array_union(foreign(F.col("word")), F.array(F.lit(""))))) == 0
+    return pairs.where(native & F.arrays_overlap(edits1(F.col("word")), edits1(F.col("candidate"))))
+
+
+def _deletions(word: Column) -> Column:
+    """The word without each of its letters."""
+    n = F.length(word)
+    return F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: F.concat(F.substring(word, F.lit(1), i), F.substring(word, i + 2, n)))).otherwise(F.array().cast("array<string>"))
+
+
+def _deletions2(word: Column) -> Column:
+    """The word and what is left of it without one or two letters, each once."""
+    one = _deletions(word)
+    return F.array_distinct(F.concat(F.array(word), one, F.flatten(F.transform(one, _deletions))))
 
 
 def _usable(dic: DataFrame) -> DataFrame:
