@@ -12,7 +12,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvidex.functions.text import plain_tokens, positions
+from corvidex.functions.query import Query
+from corvidex.functions.text import plain_tokens, positions, raw_tokens
+from corvidex.session import durable
 
 TABLES = ("postings", "term_doc", "term_stats", "doc_stats")
 
@@ -33,6 +35,19 @@ class Index:
     def stats_of(self, terms: list[str]) -> DataFrame:
         return self.term_stats.where(F.col("term").isin(terms))
 
+    def restricted(self, query: Query) -> Index:
+        """The index of the query's terms alone, written once.
+
+        A ranker reads the terms' rows several times (to match, to count, to
+        score); this way the collection is read once, or twice with phrases,
+        and only rows of the query's terms are shuffled.
+        """
+        terms = query.unique()
+        wanted = F.col("term").isin(terms) if terms else F.lit(False)
+        term_doc = durable(self.term_doc.where(wanted))
+        stats = term_doc.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("ctf"))
+        return Index(durable(self.postings.where(wanted)) if query.phrases else self.postings, term_doc, stats, self.doc_stats)
+
     def doc_terms(self, doc_id: int) -> DataFrame:
         """(term, tf) of one document; empty where there is none."""
         return self.term_doc.where(F.col("doc_id") == doc_id).select("term", "tf")
@@ -67,8 +82,6 @@ def build(docs: DataFrame, doc: str = "doc_id", text: str = "text", page_rank: D
 
 def length_of(text: Column) -> Column:
     """Kept words of a text; 0 for null."""
-    from corvidex.functions.text import raw_tokens
-
     return F.coalesce(F.size(raw_tokens(text)), F.lit(0)).cast("bigint")
 
 

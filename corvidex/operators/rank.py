@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corvidex.functions.query import Query
-from corvidex.functions.words import KNOWLEDGE_WEIGHTS, WEIGHTS
+from corvidex.functions.text import positions
+from corvidex.functions.words import KNOWLEDGE_WEIGHTS, QUERY_STOP_WORDS, WEIGHTS
 from corvidex.operators.index import Index
-from corvidex.operators.match import matches, matches_batch
+from corvidex.operators.match import any_title_word, matches, matches_batch
+from corvidex.session import durable
 
 #: Share of the collection's language model in the smoothed one.
 LAMBDA = 0.5
@@ -32,10 +34,11 @@ def query_terms(index: Index, query: Query) -> DataFrame:
 
 def query_likelihood(index: Index, query: Query) -> DataFrame:
     """(doc_id, score) of the documents that match, by query likelihood; zero scores and empty documents dropped."""
+    index = index.restricted(query)
     hits = matches(index, query)
     terms = F.broadcast(query_terms(index, query))  # a query's terms
-    stats = F.broadcast(index.stats_of(query.unique()))  # a row per query term
-    rows = index.term_doc.where(F.col("term").isin(query.unique())).join(terms, "term").join(hits, "doc_id", "left_semi").join(stats, "term")
+    stats = F.broadcast(index.term_stats)  # a row per query term
+    rows = index.term_doc.join(terms, "term").join(hits, "doc_id", "left_semi").join(stats, "term")
     rows = rows.join(index.doc_stats.select("doc_id", "length"), "doc_id").crossJoin(F.broadcast(index.scalars()))
     scored = rows.where(F.col("length") > 0).groupBy("doc_id").agg(F.sum(F.col("qtf") * smoothed(F.col("tf"), F.col("length"), F.col("ctf"), F.col("total_terms"))).alias("score"))
     return scored.where(F.col("score") != 0)
@@ -60,10 +63,11 @@ def tf_idf_weights(index: Index) -> DataFrame:
 
 def cosine(index: Index, query: Query) -> DataFrame:
     """Cosine of tf-idf vectors of the query and the documents that match; documents without a norm dropped."""
-    terms, stats = F.broadcast(query_terms(index, query)), F.broadcast(index.stats_of(query.unique()))
+    mine = index.restricted(query)
+    terms, stats = F.broadcast(query_terms(index, query)), F.broadcast(mine.term_stats)  # a row per query term
     wq = terms.join(stats, "term").crossJoin(F.broadcast(index.scalars().select("num_docs"))).select("term", ((F.log2("qtf") + 1) * F.log2(F.col("num_docs") / F.col("df"))).alias("wq"))
     norm_q = wq.agg(F.sqrt(F.sum(F.col("wq") * F.col("wq"))).alias("nq"))
-    hits = matches(index, query)
+    hits = durable(matches(mine, query))
     # norms need all terms of a matching document, so the documents are cut down first
     weights = tf_idf_weights(Index(index.postings, index.term_doc.join(hits, "doc_id", "left_semi"), index.term_stats, index.doc_stats))
     rows = weights.join(F.broadcast(wq), "term", "left").groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("nd"), F.sum(F.col("w") * F.col("wq")).alias("dot"))
@@ -73,19 +77,17 @@ def cosine(index: Index, query: Query) -> DataFrame:
 
 def conjunctive(index: Index, query: Query) -> DataFrame:
     """1 for every document that matches."""
-    return matches(index, query).select("doc_id", F.lit(1.0).alias("score"))
+    return matches(index.restricted(query), query).select("doc_id", F.lit(1.0).alias("score"))
 
 
 def num_view(index: Index, query: Query) -> DataFrame:
     """log2(views + 1) of the documents that match; zero scores dropped."""
-    rows = matches(index, query).join(index.doc_stats.select("doc_id", "num_views"), "doc_id")
+    rows = matches(index.restricted(query), query).join(index.doc_stats.select("doc_id", "num_views"), "doc_id")
     return rows.select("doc_id", _log_views(F.col("num_views")).alias("score")).where(F.col("score") != 0)
 
 
 def full_scan(docs: DataFrame, words: list[str]) -> DataFrame:
     """1 if a title word is a word of the query, else 0; zero rows are kept. ``docs``: doc_id, title_tokens."""
-    from corvidex.operators.match import any_title_word
-
     return any_title_word(docs, words).select("doc_id", F.when(F.col("hit"), 1.0).otherwise(0.0).alias("score"))
 
 
@@ -145,7 +147,11 @@ def query_likelihood_batch(index: Index, queries: DataFrame, top: int = 10) -> D
     ``queries``: query_id, term, qtf. Top rows are cut in each task before the
     shuffle by query.
     """
-    rows = matches_batch(index.term_doc, queries).join(index.term_stats.select("term", "ctf"), "term").join(index.doc_stats.select("doc_id", "length"), "doc_id").crossJoin(F.broadcast(index.scalars()))
+    queries = durable(queries.select("query_id", "term", "qtf"))
+    # rows of the queries' terms only, written once: they are matched, counted and scored
+    term_doc = durable(index.term_doc.join(queries.select("term").distinct(), "term", "left_semi"))
+    stats = term_doc.groupBy("term").agg(F.sum("tf").alias("ctf"))
+    rows = matches_batch(term_doc, queries).join(stats, "term").join(index.doc_stats.select("doc_id", "length"), "doc_id").crossJoin(F.broadcast(index.scalars()))
     scored = rows.groupBy("query_id", "doc_id").agg(F.sum(F.col("qtf") * smoothed(F.col("tf"), F.col("length"), F.col("ctf"), F.col("total_terms"))).alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.round("score", DIGITS).desc(), F.asc("doc_id"))
     return scored.where(F.col("score") != 0).withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= top)
@@ -153,8 +159,5 @@ def query_likelihood_batch(index: Index, queries: DataFrame, top: int = 10) -> D
 
 def batch_terms(queries: DataFrame, query_id: str = "query_id", text: str = "query") -> DataFrame:
     """(query_id, term, qtf) of a table of queries read as plain words; stop words dropped, null queries without terms."""
-    from corvidex.functions.text import positions
-    from corvidex.functions.words import QUERY_STOP_WORDS
-
     words = positions(queries.select(F.col(query_id).alias("doc_id"), F.replace(F.col(text), F.lit('"'), F.lit(" ")).alias("text")))
     return words.where(~F.col("term").isin(*sorted(QUERY_STOP_WORDS))).groupBy(F.col("doc_id").alias("query_id"), "term").agg(F.count("*").alias("qtf"))
