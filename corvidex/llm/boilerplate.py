@@ -348,17 +348,16 @@ def fit(rows: list[tuple[str | None, str | None]]) -> BodyModel:
     return model
 
 
-def training_rows(pages: DataFrame, text_col: str, path_col: str) -> list[tuple]:
-    """About TRAIN_PAGES rows, chosen by a hash of the text; all rows of a smaller table."""
-    rows = pages.select(pages[f"`{text_col}`"].alias("text"), pages[f"`{path_col}`"].alias("path")).where(F.trim("text") != "")
-    total = rows.count()
-    if total > TRAIN_PAGES:
-        rows = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < F.lit(int(TRAIN_PAGES / total * (1 << 20))))
-    return [(r["text"], r["path"]) for r in rows.limit(2 * TRAIN_PAGES).collect()]
+def training_rows(pages: DataFrame, id_col: str, text_col: str, path_col: str) -> list[tuple]:
+    """About TRAIN_PAGES (text, path) rows, chosen by a hash of the identifier; all rows of a smaller table, never more than twice as many."""
+    rows = pages.select(pages[f"`{text_col}`"].alias("text"), pages[f"`{path_col}`"].alias("path"), F.pmod(F.xxhash64(pages[f"`{id_col}`"]), F.lit(1 << 20)).alias("h")).where(F.trim("text") != "")
+    share = min(1.0, TRAIN_PAGES / max(1, rows.count()))
+    picked = rows.where(F.col("h") < int(share * (1 << 20))).orderBy("h", "text").limit(2 * TRAIN_PAGES)
+    return [(r["text"], r["path"]) for r in picked.select("text", "path").collect()]
 
 
 def _mapped(pages: DataFrame, id_col: str, text_col: str, path_col: str, model: BodyModel | None, schema: str, emit) -> DataFrame:
-    model = model or fit(training_rows(pages, text_col, path_col))
+    model = model or fit(training_rows(pages, id_col, text_col, path_col))
     shared = pages.sparkSession.sparkContext.broadcast(model)
     rows = pages.select(pages[f"`{id_col}`"].alias("id_"), pages[f"`{text_col}`"].alias("text_"), pages[f"`{path_col}`"].alias("path_"))
 

@@ -508,20 +508,19 @@ def fit(texts: list[str | None]) -> MarkupModel:
     return MarkupModel(trees, report)
 
 
-def training_texts(frames: list[tuple[DataFrame, str]]) -> list[str]:
-    """About TRAIN_TEXTS texts of all (table, column) pairs, chosen by a hash of the text."""
+def training_texts(frames: list[tuple[DataFrame, str, str]]) -> list[str]:
+    """About TRAIN_TEXTS texts of all (table, identifier, text column), chosen by a hash of the identifier; never more than twice as many."""
     texts = None
-    for df, column in frames:
-        one = df.select(df[f"`{column}`"].alias("text")).where(F.length("text") > 0)
+    for df, key, column in frames:
+        one = df.select(df[f"`{column}`"].alias("text"), F.pmod(F.xxhash64(df[f"`{key}`"]), F.lit(1 << 20)).alias("h")).where(F.length("text") > 0)
         texts = one if texts is None else texts.unionAll(one)
-    total = texts.count()
-    if total > TRAIN_TEXTS:
-        texts = texts.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < F.lit(int(TRAIN_TEXTS / total * (1 << 20))))
-    return [r["text"] for r in texts.limit(2 * TRAIN_TEXTS).collect()]
+    share = min(1.0, TRAIN_TEXTS / max(1, texts.count()))
+    picked = texts.where(F.col("h") < int(share * (1 << 20))).orderBy("h", "text").limit(2 * TRAIN_TEXTS)
+    return [r["text"] for r in picked.select("text").collect()]
 
 
 def _mapped(df: DataFrame, id_col: str, text_col: str, model: MarkupModel | None, schema: str, emit) -> DataFrame:
-    model = model or fit(training_texts([(df, text_col)]))
+    model = model or fit(training_texts([(df, id_col, text_col)]))
     shared = df.sparkSession.sparkContext.broadcast(model)
     rows = df.select(df[f"`{id_col}`"].alias("id_"), df[f"`{text_col}`"].alias("text_"))
 

@@ -16,14 +16,14 @@ def _marked_up(spark: SparkSession, sf_dir: str) -> list[tuple[str, DataFrame, s
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = _marked_up(spark, sf_dir)
-    model = markup.fit(markup.training_texts([(df, text) for _, df, _, text in parts]))
+    model = markup.fit(markup.training_texts([(df, key, text) for _, df, key, text in parts]))
     found = [markup.structures(df, key, text, model).select(F.lit(tbl).alias("tbl"), F.col(key).alias("rec_id"), "kind") for tbl, df, key, text in parts]
     return found[0].unionAll(found[1])
 
 
 def p1_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = _marked_up(spark, sf_dir)
-    model = markup.fit(markup.training_texts([(df, text) for _, df, _, text in parts]))
+    model = markup.fit(markup.training_texts([(df, key, text) for _, df, key, text in parts]))
     out = [markup.cleaned(df, key, text, model).select(F.lit(tbl).alias("tbl"), F.col(key).alias("rec_id"), "text") for tbl, df, key, text in parts]
     return out[0].unionAll(out[1])
 

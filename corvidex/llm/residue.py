@@ -224,19 +224,20 @@ def fit(sample: list[tuple[str | None, str | None]]) -> ResidueModel:
     return ResidueModel(softmax, report)
 
 
-def training_rows(docs: DataFrame, text_col: str, host_col: str | None) -> list[tuple]:
-    """Rows for fitting, chosen by a hash of the text: TRAIN_SHORT short ones and TRAIN_DOCS of any length, about.
+def training_rows(docs: DataFrame, id_col: str, text_col: str, host_col: str | None) -> list[tuple]:
+    """(text, host) rows for fitting, chosen by a hash of the identifier: TRAIN_SHORT short ones and TRAIN_DOCS of any length, about.
 
-    Short texts are where whole pages are residue. A smaller table gives all rows.
+    Short texts are where whole pages are residue. A smaller table gives all
+    rows; no table gives more than twice the numbers.
     """
     text = docs[f"`{text_col}`"]
-    rows = docs.select(text.alias("text"), (docs[f"`{host_col}`"] if host_col else F.lit(None).cast("string")).alias("host"), (F.length(text) < SHORT).alias("short"))
-    rows = rows.where(F.trim("text") != "")
+    host = docs[f"`{host_col}`"] if host_col else F.lit(None).cast("string")
+    rows = docs.select(text.alias("text"), host.alias("host"), (F.length(text) < SHORT).alias("short"), F.pmod(F.xxhash64(docs[f"`{id_col}`"]), F.lit(1 << 20)).alias("h")).where(F.trim("text") != "")
     sizes = {r["short"]: r["n"] for r in rows.groupBy("short").agg(F.count("*").alias("n")).collect()}
     share = lambda most, n: int(min(1.0, most / max(1, n)) * (1 << 20))
     chosen = F.when(F.col("short"), share(TRAIN_SHORT, sizes.get(True, 0))).otherwise(share(TRAIN_DOCS, sizes.get(False, 0)))
-    picked = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < chosen)
-    return [(r["text"], r["host"]) for r in picked.limit(2 * (TRAIN_DOCS + TRAIN_SHORT)).collect()]
+    picked = rows.where(F.col("h") < chosen).orderBy("h", "text").limit(2 * (TRAIN_DOCS + TRAIN_SHORT))
+    return [(r["text"], r["host"]) for r in picked.select("text", "host").collect()]
 
 
 def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str | None = "source", model: ResidueModel | None = None) -> DataFrame:
@@ -248,7 +249,7 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host
     columns are not read. No shuffle. An empty table gives no rows.
     """
     rows = docs.select(docs[f"`{id_col}`"].alias("id_"), docs[f"`{text_col}`"].alias("text_"))
-    decide = _decider(docs, text_col, host_col, model)
+    decide = _decider(docs, id_col, text_col, host_col, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -258,9 +259,9 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host
     return rows.mapInArrow(run, f"id_ {dict(rows.dtypes)['id_']}, residue boolean").withColumnRenamed("id_", id_col)
 
 
-def exclude(docs: DataFrame, text_col: str = "text", host_col: str | None = "source", model: ResidueModel | None = None) -> DataFrame:
+def exclude(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str | None = "source", model: ResidueModel | None = None) -> DataFrame:
     """``docs`` with all its columns, without the rows that ``detect`` calls residue."""
-    decide = _decider(docs, text_col, host_col, model)
+    decide = _decider(docs, id_col, text_col, host_col, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -270,9 +271,9 @@ def exclude(docs: DataFrame, text_col: str = "text", host_col: str | None = "sou
     return docs.mapInArrow(run, docs.schema)
 
 
-def _decider(docs: DataFrame, text_col: str, host_col: str | None, model: ResidueModel | None):
+def _decider(docs: DataFrame, id_col: str, text_col: str, host_col: str | None, model: ResidueModel | None):
     """A function for workers: a column of texts to a column of decisions."""
-    model = model or fit(training_rows(docs, text_col, host_col))
+    model = model or fit(training_rows(docs, id_col, text_col, host_col))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def decide(texts: pa.Array) -> pa.Array:
