@@ -139,19 +139,22 @@ def query_snippet(text: Column, tokens: list[str], size: int = 250) -> Column:
     return F.when(F.length(out) < 10, lead_snippet(text, size)).otherwise(out)
 
 
-def edits1(word: Column) -> Column:
-    """All strings one deletion, transposition, replacement or insertion (a to z) away, as an array with repeats."""
+def edits1(word: Column, backwards: bool = False) -> Column:
+    """All strings one deletion, transposition, replacement or insertion (a to z) away, as an array with repeats.
+
+    ``backwards``: the strings that the word is one edit away from, as far as
+    they have no letters but a to z where the edit was: only letters a to z can
+    have come in, so no others are taken out.
+    """
     n = F.length(word)
     letters = F.array(*(F.lit(chr(c)) for c in range(97, 123)))
     head = lambda i: F.substring(word, F.lit(1), i)
     tail = lambda i: F.substring(word, i + 1, n)  # noqa: E731  what follows the first i characters
-
-    def at(last: Column, make) -> Column:
-        return F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), make)).otherwise(F.array().cast("array<string>"))
-
-    deletes = at(n - 1, lambda i: F.concat(head(i), tail(i + 1)))
-    swaps = at(n - 2, lambda i: F.concat(head(i), F.substring(word, i + 2, F.lit(1)), F.substring(word, i + 1, F.lit(1)), tail(i + 2)))
-    no_lists = F.array().cast("array<array<string>>")
-    replaces = F.flatten(F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: F.transform(letters, lambda c: F.concat(head(i), c, tail(i + 1))))).otherwise(no_lists))
+    places = F.filter(F.sequence(F.lit(0), n), lambda i: i < n)
+    if backwards:
+        places = F.filter(places, lambda i: F.substring(word, i + 1, F.lit(1)).between("a", "z"))
+    deletes = F.transform(places, lambda i: F.concat(head(i), tail(i + 1)))
+    swaps = F.transform(F.filter(F.sequence(F.lit(0), n), lambda i: i < n - 1), lambda i: F.concat(head(i), F.substring(word, i + 2, F.lit(1)), F.substring(word, i + 1, F.lit(1)), tail(i + 2)))
+    replaces = F.flatten(F.transform(places, lambda i: F.transform(letters, lambda c: F.concat(head(i), c, tail(i + 1)))))
     inserts = F.flatten(F.transform(F.sequence(F.lit(0), n), lambda i: F.transform(letters, lambda c: F.concat(head(i), c, tail(i)))))
     return F.concat(deletes, swaps, replaces, inserts)

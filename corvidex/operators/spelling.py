@@ -38,16 +38,13 @@ def candidates2(words: DataFrame, dic: DataFrame) -> DataFrame:
     Two words within two edits have a string in common that two deletions at
     most make of either: an equi-join on those strings finds all pairs, some too
     many, and the pairs are then held against the definition: an edit of the word
-    that is an edit of the candidate. Edits only bring in the letters a to z, so
-    a candidate with another letter counts only if the word has it too.
+    of which the candidate is an edit. Edits only bring in the letters a to z.
     """
     unknown = words.select("word").distinct().join(dic, "word", "left_anti")
     near = unknown.select("word", F.explode(_deletions2(F.col("word"))).alias("rest"))
     around = _usable(dic).select("candidate", "cnt", F.explode(_deletions2(F.col("candidate"))).alias("rest"))
     pairs = near.join(around, "rest").select("word", "candidate", "cnt").distinct()
-    foreign = lambda c: F.split(F.regexp_replace(c, "[a-z]", ""), "")
-    native = F.size(F.array_except(foreign(F.col("candidate")), F.array_union(foreign(F.col("word")), F.array(F.lit(""))))) == 0
-    return pairs.where(native & F.arrays_overlap(edits1(F.col("word")), edits1(F.col("candidate"))))
+    return pairs.where(F.arrays_overlap(edits1(F.col("word")), edits1(F.col("candidate"), backwards=True)))
 
 
 def _deletions(word: Column) -> Column:

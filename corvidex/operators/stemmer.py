@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from corvidex.functions.query import shape, stem
 
@@ -57,7 +58,7 @@ def full_stem(word: str) -> str:
     return word
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _full_stems(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for words in batches:
         yield words.map(lambda w: None if w is None else full_stem(w))
