@@ -323,7 +323,7 @@ def fit(rows: list[tuple[str | None, str | None]]) -> BodyModel:
     # position must carry the decision there
     dense = pages.dense[at].copy()
     dense[np.arange(len(at)) % 2 == 0, -RULE_FLAGS:] = 0
-    softmax = train_softmax([pages.shown[i] for i in at], dense, labels[at], 2, weights[at], rounds=150)
+    softmax = train_softmax([pages.shown[i] for i in at], dense, labels[at], 2, weights[at], l2=1e-5, rounds=150)
     # potentials: counts over labelled lines, blocks taking the majority of their lines
     votes = np.bincount(pages.blocks, weights=np.where(weights > 0, labels - 0.5, 0), minlength=len(pages.pages))
     block_label = (votes > 0).astype(int)

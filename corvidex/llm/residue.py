@@ -35,6 +35,8 @@ CONTENT, FRAME, NOTICE, FILLER, UNFILLED = range(5)
 TRAIN_DOCS, TRAIN_SHORT, TRAIN_CONTENT = 1200, 6000, 9000
 #: Characters below which a segment is a remark and no sentence.
 REMARK = 55
+#: Characters beyond which a sentence with placeholders is cut around them.
+AROUND = 90
 #: Characters below which a document counts as short when rows are chosen for fitting.
 SHORT = 600
 #: Weight of a segment that is repeated in the sample, at most.
@@ -45,7 +47,7 @@ UNSEEN_EIGHTHS = 1
 # The syntax of unfilled template fields and of unset values.
 PLACEHOLDER = re.compile(
     r"\{\{[^{}\n]{0,60}\}\}|\$\{[^{}\n]{1,60}\}|#\{[^{}\n]{1,60}\}|\{%[^{}\n]{1,60}%\}|<%=?[^<>\n]{1,60}%>|%%[^\s%][^%\n]{0,60}%%|<<[^<>\n]{1,60}>>"
-    r"|\[\[\+?[^\[\]\n]{1,60}\]\]|\*\|[^|\n]{1,60}\|\*|@@[^@\n]{1,60}@@|\b__\w{1,60}?__\b|\?\?\?[^?\n]{1,60}\?\?\?|\{[^\W\d][^{}\n;=]{0,60}\}|\{\d\}|\[[^\W\d][^\[\]\n;=]{1,60}\]"
+    r"|\[\[\+?[^\[\]\n]{1,60}\]\]|\*\|[^|\n]{1,60}\|\*|@@[^@\n]{1,60}@@|\b__\w{1,60}?__\b|\?\?\?\w[^?\n]{0,60}\?\?\?|\{[^\W\d][^{}\n;=]{0,60}\}|\{\d\}|\[[^\W\d][^\[\]\n;=]{1,60}\]"
     r"|%[sd]\b|\(null\)|\bundefined\b|\bNaN\b|\bNone\b|\[object Object\]"
 )
 _MAYBE = re.compile(r"[{%\[*@?#]|<<|<%|__|\(null\)|undefined|NaN|None").search
@@ -61,10 +63,10 @@ _FIELD_FRAME = re.compile(
 _NOTICE = re.compile(
     r"(?i)\b[45]\d\d\b.{0,12}\b(?:not found|forbidden|bad gateway|internal|service|unauthorized|gone|gateway|error)|\b(?:error|fehler|erreur|http)\W{0,3}[45]\d\d\b"
     r"|enable javascript|aktivieren sie javascript|activer javascript|active javascript|javascript is (?:disabled|required|off)|(?:requires|needs?|support|braucht|besoin de|necesita) (?:java)?s[ck]ripts?\b|braucht skripte|scripts must be allowed"
-    r"|page (?:you asked for )?(?:was|could) not (?:be )?(?:found|loaded)|could not find that page|(?:page|content|question) (?:does not exist|has been removed|is not available)|nothing lives at this address"
+    r"|(?:page|question|content) (?:you asked for )?(?:was|could) not (?:be )?(?:found|loaded)|could not find that page|(?:page|content|question) (?:does not exist|has been removed|is not available)|nothing lives at this address"
     r"|access denied|permission to open|not allowed to see|zugriff verweigert|accès refusé|acceso denegado|session has expired|too many requests"
     r"|temporarily unavailable|over capacity|down for maintenance|gateway time-?out|bad gateway|connection to \S+ was reset|application failed to start|unexpected condition|something went wrong|request could not be completed|database connection|uncaught|exception in thread|mysql_connect\(|internal server error"
-    r"|nicht gefunden|nicht erreichbar|gibt es nicht mehr|nicht geladen werden|interner (?:server)?fehler|überlastet|introuvable|n'existe plus|n'a pas pu être|momentanément indisponible|erreur interne|surchargés|ya no existe|no se (?:encontró|pudo)|no está disponible|error interno|están saturados|checking your browser"
+    r"|nicht gefunden|nicht erreichbar|gibt es nicht mehr|nicht geladen werden|interner (?:server)?fehler|überlastet|introuvable|n'existe plus|n'a pas pu être|momentanément indisponible|erreur interne|surchargés|ya no existe|no se (?:encontró|pudo)|no está disponible|error interno|están saturados|checking your browser|^(?:please )?(?:reload the page|try again|go back|come back later|slow down|log in again)|return to the start page|contact the administrator|noch einmal versuchen|später wieder|zurück zur startseite|^réessayez|^revenez plus|retour(?:nez)? à l'accueil|^vuelva más|^inténtelo|ir a la página de inicio"
 )
 # Pseudo-Latin, keyboard mash and dummy sentences.
 _LATIN = frozenset("lorem ipsum dolor sit amet consectetur adipiscing elit sed tempor vitae velit felis quam orci nulla massa magna justo eros urna libero arcu morbi nisi porta mattis sodales cursus viverra pulvinar tellus integer".split())
@@ -85,8 +87,24 @@ _SENTENCES = re.compile(r"(?<=[.!?])\s+").split
 
 
 def segments(text: str | None) -> list[str]:
-    """The non-blank sentences of the lines of ``text``."""
-    return [s for line in _LINES(text or "") for s in _SENTENCES(line.strip()) if s]
+    """The non-blank sentences of the lines of ``text``.
+
+    A long sentence with placeholders is cut around them, so that what was joined
+    to a notice without a full stop is looked at by itself.
+    """
+    out = [s for line in _LINES(text or "") for s in _SENTENCES(line.strip()) if s]
+    if not _MAYBE(text or ""):
+        return out
+    cut = []
+    for s in out:
+        found = [m.span() for m in PLACEHOLDER.finditer(s)] if len(s) > AROUND and _MAYBE(s) else []
+        if found:
+            a, b = s.rfind(" ", 0, max(0, found[0][0] - AROUND // 2)) + 1, s.find(" ", found[-1][1] + AROUND // 4)
+            b = len(s) if b < 0 else b
+            cut += [x for x in (s[:a].strip(), s[a:b].strip(), s[b:].strip()) if x]
+        else:
+            cut.append(s)
+    return cut
 
 
 def placeholders(segment: str) -> int:
