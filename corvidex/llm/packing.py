@@ -31,8 +31,8 @@ DEPTH = 3
 WINDOW = 1 / 256
 #: Combinations the solver considers at most; further lengths are simply left to the greedy part.
 MAX_COMBINATIONS = 60_000
-#: Buckets over which the rows of one length are numbered.
-BUCKETS = 64
+#: Rows a bucket gets on average where all rows have one length, and the bounds of the number of buckets.
+BUCKET_ROWS, MIN_BUCKETS, MAX_BUCKETS = 100_000, 64, 1 << 16
 
 
 def combinations(hist: np.ndarray, window: int, limit: int = MAX_COMBINATIONS) -> tuple[np.ndarray, np.ndarray]:
@@ -235,34 +235,37 @@ def pack(
     tokenizers = sorted({name for _, name, _ in wanted})
     # tokenizing is the costly part: its few bytes a row are written once
     sizes = durable(token_sizes(docs, id_col, text_col, tokenizers, tokenizer_dir))
+    # a length may be that of most rows, so rows are numbered within buckets of a length
+    buckets = min(MAX_BUCKETS, max(MIN_BUCKETS, sizes.count() // BUCKET_ROWS))
     which = F.array(*(F.struct(F.lit(s).alias("spec_id"), F.col("sizes")[tokenizers.index(n)].alias("size"), F.lit(c).cast("bigint").alias("capacity")) for s, n, c in wanted))
     items = (
         sizes.select("doc_id", F.explode(which).alias("w"))
         .select("doc_id", "w.spec_id", "w.size", "w.capacity")
         .withColumn("rest", F.when(F.col("size") > F.col("capacity"), F.col("size") % F.col("capacity")).otherwise(F.col("size")))
         .withColumn("full", F.when(F.col("size") > F.col("capacity"), F.expr("size div capacity")).otherwise(F.lit(0).cast("bigint")))
-        .withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)))
+        .withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)))
     )
-    # counted by length and bucket: at most capacity * BUCKETS rows a spec
+    # counted by length and bucket, then by length: at most capacity rows a spec
     counts = items.groupBy("spec_id", "rest", "bucket").agg(F.count("*").alias("n"), F.sum("full").alias("full"))
     counts = durable(counts)
     totals = counts.groupBy("spec_id", "rest").agg(F.sum("n").alias("n"), F.sum("full").alias("full")).collect()
-    plans, rows = {}, []
+    plans: dict[int, np.ndarray] = {}
+    first_full: list[tuple[int, int, int]] = []  # (spec, rest, full containers of shorter rests)
     for spec_id, _, capacity in wanted:
         hist = np.zeros(capacity + 1, np.int64)
         full = 0
-        for r in totals:
-            if r["spec_id"] == spec_id:
-                hist[r["rest"]] += r["n"]
-                full += r["full"]
+        for r in sorted((r for r in totals if r["spec_id"] == spec_id), key=lambda r: r["rest"]):
+            hist[r["rest"]] += r["n"]
+            first_full.append((spec_id, r["rest"], full))
+            full += r["full"]
         plans[spec_id], _ = placement(hist, first=full)
     plan = spark.sparkContext.broadcast(plans)  # bounded by the capacities, not by the rows
 
-    # numbers before each bucket: a window over the small table of counts
+    # numbers before each bucket: a window over the buckets of a length
     w = Window.partitionBy("spec_id", "rest").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    full_w = Window.partitionBy("spec_id").orderBy("rest", "bucket").rowsBetween(Window.unboundedPreceding, -1)
-    before = counts.select(
-        "spec_id", "rest", "bucket", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("before"), F.coalesce(F.sum("full").over(full_w), F.lit(0)).alias("full_before")
+    shorter = F.broadcast(spark.createDataFrame(first_full, "spec_id int, rest bigint, shorter bigint"))  # at most capacity rows a spec
+    before = counts.join(shorter, ["spec_id", "rest"]).select(
+        "spec_id", "rest", "bucket", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("before"), (F.col("shorter") + F.coalesce(F.sum("full").over(w), F.lit(0))).alias("full_before")
     )
     inner = Window.partitionBy("spec_id", "rest", "bucket").orderBy("doc_id", "size")
     numbered = (
@@ -286,10 +289,15 @@ def pack(
             yield pa.RecordBatch.from_arrays([*cols, pa.array(out, mask=out < 0)], names=["spec_id", "doc_id", "size", "capacity", "rest", "full", "full_from", "container_id"])
 
     placed = numbered.mapInArrow(place, f"spec_id int, doc_id {kind}, size bigint, capacity bigint, rest bigint, full bigint, full_from bigint, container_id bigint")
-    whole = placed.where("rest > 0 OR size = 0").select(
-        "spec_id", "doc_id", F.col("full").alias("piece_no"), (F.col("full") * F.col("capacity")).alias("start_token"), F.col("rest").alias("n_tokens"), "container_id"
+    # pieces 0 .. full - 1 fill a container each; the rest, or the text itself, comes last
+    last = F.when((F.col("rest") > 0) | (F.col("size") == 0), F.col("full")).otherwise(F.col("full") - 1)
+    pieces = placed.withColumn("piece_no", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
+    is_full = F.col("piece_no") < F.col("full")
+    return pieces.select(
+        "spec_id",
+        "doc_id",
+        "piece_no",
+        (F.col("piece_no") * F.col("capacity")).alias("start_token"),
+        F.when(is_full, F.col("capacity")).otherwise(F.col("rest")).alias("n_tokens"),
+        F.when(is_full, F.col("full_from") + F.col("piece_no")).otherwise(F.col("container_id")).alias("container_id"),
     )
-    cut = placed.where("full > 0").select("spec_id", "doc_id", "capacity", "full_from", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("full") - 1)).alias("piece_no")).select(
-        "spec_id", "doc_id", "piece_no", (F.col("piece_no") * F.col("capacity")).alias("start_token"), F.col("capacity").alias("n_tokens"), (F.col("full_from") + F.col("piece_no")).alias("container_id")
-    )
-    return whole.unionByName(cut)
