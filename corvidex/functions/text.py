@@ -21,6 +21,11 @@ def strip_punctuation(word: Column) -> Column:
     return F.translate(word, PUNCTUATION, "")
 
 
+def strip_quotes(word: Column) -> Column:
+    """The word without double quotes; other punctuation stays."""
+    return F.translate(word, '"', "")
+
+
 def raw_tokens(text: Column, lower: bool = True) -> Column:
     """The words of a text as an array: lower-cased, split at white space, links (http...) dropped. Null gives null."""
     words = F.split(F.lower(text) if lower else text, SPACE)

@@ -43,6 +43,16 @@ def any_title_word(docs: DataFrame, words: list[str]) -> DataFrame:
     return docs.select("doc_id", F.coalesce(F.arrays_overlap("title_tokens", F.array(*map(F.lit, words)).cast("array<string>")), F.lit(False)).alias("hit"))
 
 
+def same_content(docs: DataFrame, known: DataFrame, text: str = "text") -> DataFrame:
+    """``docs`` whose content is that of a row of ``known``, told by its MD5; null texts match none."""
+    return docs.join(known.select(F.md5(text).alias("md5_")).distinct(), F.md5(docs[text]) == F.col("md5_"), "left_semi")
+
+
+def distinct_contents(docs: DataFrame, text: str = "text") -> DataFrame:
+    """One row, n: the number of different contents."""
+    return docs.agg(F.count_distinct(F.md5(text)).alias("n"))
+
+
 def matches_batch(term_doc: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, doc_id, term, tf, qtf) of documents that hold every term of a query, for many queries at once.
 

@@ -287,3 +287,38 @@ def result_lines(spark: SparkSession, d: str) -> DataFrame:
     once = table(spark, d, "scored_document").groupBy("result_id").agg(*(F.max(c).alias(c) for c in ("doc_id", "title", "url", "filePath", "score", "pagerank", "numviews", "snippet")))
     rows = once.select("result_id", "doc_id", "title", "url", F.col("filePath").alias("file_path"), "score", F.coalesce(F.nanvl("pagerank", F.lit(0.0)), F.lit(0.0)).alias("page_rank"), F.coalesce("numviews", F.lit(0)).alias("num_views"), "snippet")
     return rows.select("result_id", text_line().alias("line"), json_object().alias("json"))
+
+
+@query
+def same_content(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with the content of one of every twentieth."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return match.same_content(docs, docs.where(F.col("doc_id") % 20 == 0)).select("doc_id")
+
+
+@query
+def full_stems(spark: SparkSession, d: str) -> DataFrame:
+    """The words of the documents with their full stems."""
+    from corvidex.operators.stemmer import with_full_stem
+
+    return with_full_stem(spelling.dictionary(table(spark, d, "documents")).select("word"))
+
+
+@query
+def spell_suggestions(spark: SparkSession, d: str) -> DataFrame:
+    """Suggestions for misspelled queries; empty where there is nothing to change."""
+    from corvidex.session import durable
+
+    idx = inputs.index(spark, d)
+    dic = durable(spelling.dictionary(table(spark, d, "documents")))
+    asked = ["closed bufer", "tabel returns null", "closed buffer"]
+    return spark.createDataFrame([(q, spelling.spell_check(idx, q, dic)) for q in asked], "query string, suggestion string")
+
+
+@query
+def request_search(spark: SparkSession, d: str) -> DataFrame:
+    """A page of results with the features of the documents, as a request asks for it."""
+    from corvidex.serve import Engine, Request
+
+    engine = Engine(inputs.index(spark, d, scores=True), inputs.questions(spark, d))
+    return _score(engine.results(Request.parse("query=closed+buffers&ranker=comprehensive&num=7&page=2"))).withColumn("page_rank", F.round("page_rank", 6))

@@ -251,4 +251,8 @@ SQL = {
  SELECT knowledge_id, trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '{_SPACE}', ' ', 'g')) AS title, {_html("html")} AS text FROM pages""",
     "snippet": _snippet(),
     "title_encoded": "SELECT result_id, replace(replace(replace(url_encode(max(title)), '%20', '+'), '~', '%7E'), '%2A', '*') AS title FROM scored_document GROUP BY result_id",
+    "same_content": "SELECT doc_id FROM documents WHERE text IN (SELECT text FROM documents WHERE doc_id % 20 = 0 AND text IS NOT NULL)",
+    "request_search": f"""{_FULL}, {_hits(_T)}, {_ql(_T)}, titles AS (SELECT doc_id, string_split_regex(text, '\\r\\n|\\r|\\n')[1] AS title FROM documents),
+ full_score AS (SELECT doc_id, coalesce(pr, 0) AS page_rank, coalesce(views, 0) AS num_views, 0.65::DOUBLE * score + 0.2::DOUBLE * sqrt(coalesce(pr, 0) + 1) + 0.15::DOUBLE * log2(coalesce(views, 0) + 1.0::DOUBLE) AS score FROM ql LEFT JOIN r2 ON r2.name = doc_id LEFT JOIN views ON views.name = doc_id)
+ SELECT doc_id, title, round(page_rank, 6) AS page_rank, num_views, round(score, 6) AS score FROM full_score JOIN titles USING (doc_id) ORDER BY round(full_score.score, 9) DESC, doc_id LIMIT 7 OFFSET 7""",
 }

@@ -41,6 +41,17 @@ def tsv_corpus(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("title", "body", F.coalesce(F.col("num_views").try_cast("int"), F.lit(0)).alias("num_views"))
 
 
+def tsv_documents(spark: SparkSession, path: str) -> DataFrame:
+    """(title, text) of a file of tab-separated title and body: the text is both, with a blank between."""
+    rows = tsv_corpus(spark, path)
+    return rows.select("title", F.concat_ws(" ", "title", "body").alias("text"))
+
+
+def scores(spark: SparkSession, path: str) -> DataFrame:
+    """A written table of page ranks (name, pr) or view counts (name, views)."""
+    return spark.read.parquet(path)
+
+
 def log_lines(spark: SparkSession, path: str) -> DataFrame:
     """(line) of an access log."""
     return spark.read.text(path).select(F.col("value").alias("line"))

@@ -33,6 +33,11 @@ def json_object(score: str = "score") -> Column:
     )
 
 
+def write_scores(rows: DataFrame, path: str) -> None:
+    """Page ranks or view counts, replacing what is there."""
+    rows.write.mode("overwrite").parquet(path)
+
+
 def write_similarity(pairs: DataFrame, path: str) -> None:
     """q1, q2, coefficient as tab-separated text."""
     pairs.select("q1", "q2", "coefficient").write.mode("overwrite").csv(path, sep="\t", header=False)

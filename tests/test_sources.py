@@ -76,3 +76,24 @@ def test_streams(spark, tmp_path):
     assert {r["name"]: r["views"] for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {"A": 8, "B": 2}
     events = spark.createDataFrame([("2015-01-01 00:10:00", "A", 1), ("2015-01-01 00:50:00", "A", 2), ("2015-01-01 01:10:00", "A", 4)], "t string, name string, n int").withColumn("ts", F.col("t").cast("timestamp"))
     assert sorted(r["views"] for r in windowed_views(events).collect()) == [3, 4]
+
+
+def test_registry():
+    from corvidex.registry import INDEXES, RANKERS, find
+
+    assert find(INDEXES, "Inverted-Compressed") is ix.build and "ql" in RANKERS
+    with pytest.raises(ValueError):
+        find(INDEXES, "other")
+
+
+def test_written_scores_and_contents(spark, tmp_path):
+    from corvidex.operators import match
+
+    rows = spark.createDataFrame([("A", 0.5)], "name string, pr double")
+    writers.write_scores(rows, str(tmp_path / "pr"))
+    assert readers.scores(spark, str(tmp_path / "pr")).collect() == rows.collect()
+    docs = spark.createDataFrame([(1, "a"), (2, "a"), (3, None), (4, "b")], "doc_id bigint, text string")
+    assert sorted(r["doc_id"] for r in match.same_content(docs, docs.where("doc_id in (1, 3)")).collect()) == [1, 2]
+    assert match.distinct_contents(docs).first()["n"] == 2
+    (tmp_path / "t").write_text("a\tb\n")
+    assert tuple(readers.tsv_documents(spark, str(tmp_path / "t")).first()) == ("a", "a b")
