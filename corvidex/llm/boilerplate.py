@@ -71,6 +71,7 @@ _HEADING = re.compile(
 )
 _TAG, _ANCHORS = re.compile(r"<[^<>]*>"), re.compile(r"(?i)</a>\s*<a\b")
 _LINKS = re.compile(r"\s[|·»/]\s|\s-\s|\s;\s| {2,}")
+_SEPARATORS = (" | ", " · ", " / ", " » ", " - ", " ; ", "  ")
 _BULLET = re.compile(r"(?i)^(?:\.\.\.)?\s*(?:[*+#-]+ ?|\d+[.)] |\\item\b|<li\b|<[ou]l\b|=+ ?)")
 _CODE = re.compile(r"[;{}]\s*$|^\s*[}{<\\$~`]|\b(?:return|def|SELECT|FROM|WHERE|GROUP BY)\b.*[\w)\]:;]$|\w\s=\s|\w\(\w*\)$")
 _SENTENCE = re.compile(r"[.!?…]\W*$")
@@ -101,7 +102,7 @@ def shape_of(line: str, text: str) -> int:
         return 5 if line.strip() else 0
     if _BULLET.match(line):
         return 4
-    if len(_LINKS.findall(text)) >= 2:
+    if any(x in text for x in _SEPARATORS) and len(_LINKS.findall(text)) >= 2:
         return 1
     if _SENTENCE.search(text):
         return 6 if len(text) > 160 else 3
@@ -164,37 +165,44 @@ class _Flags(dict):
 _FLAGS = _Flags()
 
 
-def dense_features(texts: list[str], shapes: np.ndarray) -> np.ndarray:
-    """Position, length and neighbourhood of the non-blank lines of a page."""
-    n = len(texts)
-    sizes = np.fromiter(map(len, texts), np.float32, n)
+def dense_features(texts: list[str], shapes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Position, length and neighbourhood of the non-blank lines of pages; ``starts`` are the pages' first lines."""
+    total = len(texts)
+    out = np.zeros((total, DENSE), np.float32)
+    if not total:
+        return out
+    counts = np.diff(np.append(starts, total))
+    n = np.repeat(counts, counts)
+    at = np.arange(total) - np.repeat(starts, counts)
     body = (shapes == 3) | (shapes == 6)
-    at = np.arange(n, dtype=np.float32)
-    where = np.flatnonzero(body)
-    first, last = (where[0], where[-1]) if len(where) else (n, -1)
-    out = np.zeros((n, DENSE), np.float32)
-    out[:, 0] = np.log1p(sizes) / 4
-    out[:, 1] = at / max(1, n - 1)
+    first = np.repeat(np.minimum.reduceat(np.where(body, at, n), starts), counts)
+    last = np.repeat(np.maximum.reduceat(np.where(body, at, -1), starts), counts)
+    has_before, has_after = at[1:] > 0, at[1:] > 0  # the neighbour is of the same page
+    out[:, 0] = np.log1p(np.fromiter(map(len, texts), np.float32, total)) / 4
+    out[:, 1] = at / np.maximum(1, n - 1)
     out[:, 2] = np.minimum(at, 5) / 5
     out[:, 3] = np.minimum(n - 1 - at, 5) / 5
     out[:, 4] = at < first
     out[:, 5] = at > last
-    out[1:, 6], out[:-1, 7] = body[:-1], body[1:]
-    out[np.arange(n), 8 + shapes] = 1
-    out[1:, 15], out[:-1, 16] = shapes[:-1] == 1, shapes[1:] == 1
-    out[1:, 17], out[:-1, 18] = shapes[:-1] == 2, shapes[1:] == 2
-    flags = np.array([_FLAGS[t] if len(t) <= MEMORY_CHARS else line_flags(t) for t in texts], np.float32).reshape(n, 4)
+    out[np.arange(total), 8 + shapes] = 1
+    for k, kind in ((6, body), (15, shapes == 1), (17, shapes == 2)):
+        out[1:, k], out[:-1, k + 1] = kind[:-1] & has_before, kind[1:] & has_after
+    flags = np.array([_FLAGS[t] if len(t) <= MEMORY_CHARS else line_flags(t) for t in texts], np.float32).reshape(total, 4)
     out[:, 19] = flags[:, 0]
     out[:, 20] = out[:, 19] * (shapes == 4)
     out[:, 21:24] = flags[:, 1:]
-    out[:, 24] = [x == 1 and menu_share(t) >= 0.5 for t, x in zip(texts, shapes)]
+    rows = np.flatnonzero(shapes == 1)
+    out[rows, 24] = [menu_share(texts[i]) >= 0.5 for i in rows]
     out[:, 25] = out[:, 19] * ((shapes == 2) | (shapes == 3))
     return out
 
 
-def blocks_of(shapes: np.ndarray) -> np.ndarray:
-    """Block number of each line of a page: runs of one shape."""
-    return np.concatenate([[0], np.cumsum(shapes[1:] != shapes[:-1])]) if len(shapes) else shapes
+def blocks_of(shapes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Block number of each line: runs of one shape within a page."""
+    new = np.ones(len(shapes), bool)
+    new[1:] = shapes[1:] != shapes[:-1]
+    new[starts] = True
+    return np.cumsum(new) - 1
 
 
 def rule_label(line: str, text: str, shape: int, body_before: bool, body_after: bool) -> tuple[int, float]:
@@ -264,39 +272,32 @@ class Pages:
 
     def __init__(self, rows: list[tuple[str | None, str | None]]):
         self.lines, self.texts, self.shown, self.numbers = [], [], [], []
-        dense, blocks, pages, counts, shapes = [], [], [], [], []
-        block = 0
-        for k, (snippet, path) in enumerate(rows):
-            site = site_of(path)
-            own_texts, own_shapes = [], []
+        counts, shapes = [], []
+        for snippet, path in rows:
+            site, site_pattern, before = site_of(path), None, len(shapes)
             for i, line in enumerate((snippet or "").split("\n")):
-                if not line.strip():
+                if not line or line.isspace():
                     continue
                 text = plain(line)
-                own_texts.append(text)
-                own_shapes.append(shape_of(line, text))
+                shape = shape_of(line, text)
+                # words of list items are kept apart from those of other lines
+                shown = _WORD_STARTS.sub("zq", line) if shape == 4 else line
+                if site and site in shown.lower():
+                    site_pattern = site_pattern or re.compile(rf"(?i)\b{re.escape(site)}\b")
+                    shown = site_pattern.sub("thissite", shown)
                 self.lines.append(line)
+                self.texts.append(text)
+                self.shown.append(shown)
                 self.numbers.append(i)
-                shown = line if len(line) <= 600 else line[:400] + " " + line[-200:]
-                if own_shapes[-1] == 4:  # words of list items are kept apart from those of other lines
-                    shown = _WORD_STARTS.sub("zq", shown)
-                self.shown.append(re.sub(rf"(?i)\b{re.escape(site)}\b", "thissite", shown) if site and site in shown.lower() else shown)
-            n = len(own_texts)
-            counts.append(n)
-            if n:
-                s = np.array(own_shapes)
-                b = blocks_of(s)
-                self.texts += own_texts
-                shapes.append(s)
-                dense.append(dense_features(own_texts, s))
-                blocks.append(b + block)
-                pages += [k] * (b[-1] + 1)
-                block += b[-1] + 1
+                shapes.append(shape)
+            counts.append(len(shapes) - before)
         self.counts = np.array(counts, np.int64)
-        self.shapes = np.concatenate(shapes) if shapes else np.zeros(0, np.int64)
-        self.dense = np.concatenate(dense) if dense else np.zeros((0, DENSE), np.float32)
-        self.blocks = np.concatenate(blocks) if blocks else np.zeros(0, np.int64)
-        self.pages = np.array(pages, np.int64)
+        self.shapes = np.array(shapes, np.int64)
+        with_lines = self.counts > 0
+        starts = (np.cumsum(self.counts) - self.counts)[with_lines]
+        self.dense = dense_features(self.texts, self.shapes, starts)
+        self.blocks = blocks_of(self.shapes, starts)
+        self.pages = np.repeat(np.arange(len(rows)), self.counts)[np.flatnonzero(np.diff(self.blocks, prepend=-1))] if len(shapes) else np.zeros(0, np.int64)
 
 
 def body_probability(pages: Pages, model: BodyModel) -> np.ndarray:
