@@ -317,8 +317,7 @@ def features(text: str, nodes: list[Node]) -> list[tuple]:
     size = len(text)
     for n in nodes:
         a, b = n.inner
-        inside = text[a : min(b, a + 4000)]
-        marks = sum(map(inside.count, "\\^_={}+")) if n.family in (DOLLARS, BRACKETS, EM, STRONG, TICKS) else 0
+        marks = sum(text.count(c, a, b) for c in "\\^_={}+") if n.family in (DOLLARS, BRACKETS, EM, STRONG, TICKS) else 0
         hidden = sum(t - f for x in n.children for f, t, _ in x.edits)
         out.append((
             n.family,
@@ -327,19 +326,19 @@ def features(text: str, nodes: list[Node]) -> list[tuple]:
             attribute_tokens(n),
             _char(text[n.start - 1 : n.start]),
             _char(text[n.end : n.end + 1]) if n.end < size else 0,
-            _char(inside[:1]),
-            _char(inside[-1:]) if b - a <= 4000 else 1,
-            min(b - a, 4000) ** 0.5,
+            _char(text[a : a + 1]) if b > a else 0,
+            _char(text[b - 1 : b]) if b > a else 0,
+            (b - a) ** 0.5,
             n.depth,
             min(same[n.family], 20),
             min(n.run, 10),
             1 - hidden / max(1, n.end - n.start),
             crowd,
-            marks / (len(inside) + 1),
-            inside[:1].isdigit(),
+            marks / (b - a + 1),
+            text[a : a + (b > a)].isdigit(),
             n.start == 0 or text[n.start - 1] == "\n",
             len(n.children),
-            bool(_VISIBLE.search(inside)),
+            bool(_VISIBLE.search(text, a, b)),
             len(n.name),
         ))
     return out

@@ -56,12 +56,12 @@ _CODE = re.compile(r"[;{]\s*$|^\s*[}<]|\w\s*=\s*[\w\"'\[({]|\w\(\"|^\s*(?:def|re
 _QUOTED = re.compile(r"`[^`\n]*`|\"[^\"\n]*\"|“[^”\n]*”|«[^»\n]*»|„[^“\n]*“|'[^'\n]{0,3}[{%$<\[][^'\n]*'")
 # Phrases around template fields of notices, in four languages.
 _FIELD_FRAME = re.compile(
-    r"(?i)^(?:dear|hello|hi|hallo|bonjour|hola)\b.*,|^(?:welcome to|willkommen bei|bienvenue sur|bienvenid[oa] a)\b|^(?:posted|written|created) by|^(?:erstellt|verfasst) von|^publié par|^publicado por"
+    r"^(?:dear|hello|hi|hallo|bonjour|hola)\b.*,|^(?:welcome to|willkommen bei|bienvenue sur|bienvenid[oa] a)\b|^(?:posted|written|created) by|^(?:erstellt|verfasst) von|^publié par|^publicado por"
     r"|^to reach us|^short description|^(?:description|beschreibung|descripción) ?:|\basked\b.*\babout\b|was answered by|wurde von\b.*\bbeantwortet|a reçu une réponse de|fue respondida por"
 )
 # What error, denial, maintenance and script notices say, in four languages.
 _NOTICE = re.compile(
-    r"(?i)\b[45]\d\d\b.{0,12}\b(?:not found|forbidden|bad gateway|internal|service|unauthorized|gone|gateway|error)|\b(?:error|fehler|erreur|http)\W{0,3}[45]\d\d\b"
+    r"\b[45]\d\d\b.{0,12}\b(?:not found|forbidden|bad gateway|internal|service|unauthorized|gone|gateway|error)|\b(?:error|fehler|erreur|http)\W{0,3}[45]\d\d\b"
     r"|enable javascript|aktivieren sie javascript|activer javascript|active javascript|javascript is (?:disabled|required|off)|(?:requires|needs?|support|braucht|besoin de|necesita) (?:java)?s[ck]ripts?\b|braucht skripte|scripts must be allowed"
     r"|(?:page|question|content) (?:you asked for )?(?:was|could) not (?:be )?(?:found|loaded)|could not find that page|(?:page|content|question) (?:does not exist|has been removed|is not available)|nothing lives at this address"
     r"|access denied|permission to open|not allowed to see|zugriff verweigert|accès refusé|acceso denegado|session has expired|too many requests"
@@ -70,14 +70,14 @@ _NOTICE = re.compile(
 )
 # Pseudo-Latin, keyboard mash and dummy sentences.
 _LATIN = frozenset("lorem ipsum dolor sit amet consectetur adipiscing elit sed tempor vitae velit felis quam orci nulla massa magna justo eros urna libero arcu morbi nisi porta mattis sodales cursus viverra pulvinar tellus integer".split())
-_MASH = re.compile(r"(?i)\b(?:asdf|qwer|hjkl|jkl|sdfg|blah|foo bar|xxx+)")
+_MASH = re.compile(r"\b(?:asdf|qwer|hjkl|jkl|sdfg|blah|foo bar|xxx+)")
 _DUMMY = re.compile(
-    r"(?i)\byour text goes here|type something here|content coming soon|sample text|\bis a dummy\b|placeholder for layout|heading example|^test test test|blindtext|platzhalter für das|inhalt folgt|hier steht ihr text|texte (?:d'exemple|fictif)|votre texte ici|contenu à venir"
+    r"\byour text goes here|type something here|content coming soon|sample text|\bis a dummy\b|placeholder for layout|heading example|^test test test|blindtext|platzhalter für das|inhalt folgt|hier steht ihr text|texte (?:d'exemple|fictif)|votre texte ici|contenu à venir"
     r"|texto de (?:muestra|ejemplo|relleno)|su texto va aquí|contenido próximamente|prueba prueba"
 )
 # Lines of a page's frame.
 _FRAME = re.compile(
-    r"(?i)^©|all rights reserved|tous droits réservés|alle rechte|todos los derechos|^(?:back to top|nach oben|haut de page|volver arriba)|terms of use|impressum|mentions légales|aviso legal|powered by|läuft mit|propulsé par|funciona con"
+    r"^©|all rights reserved|tous droits réservés|alle rechte|todos los derechos|^(?:back to top|nach oben|haut de page|volver arriba)|terms of use|impressum|mentions légales|aviso legal|powered by|läuft mit|propulsé par|funciona con"
     r"|mobile view|site design and logo|share licence|unter der lizenz|sous la licence|\blicencia\b"
 )
 _SEPARATED = re.compile(r"(?:[^|·»/]{2,24}\s[|·»/-]\s){3,}|(?:\S{3,14}(?: \S{3,12})?  +){3,}")
@@ -120,23 +120,23 @@ def shown(segment: str) -> str:
     if _MAYBE(segment):
         segment = _QUOTED.sub(lambda m: " quotedfield " if PLACEHOLDER.search(m[0]) else m[0], segment)
         segment = PLACEHOLDER.sub(" unfilledfield ", segment)
-    return segment if len(segment) <= 4000 else segment[:2000] + " " + segment[-2000:]
+    return segment
 
 
 def phrase_label(segment: str) -> int | None:
     """What the rules say of a segment by itself; None where they say nothing."""
-    fields = placeholders(segment)
-    if fields and (_FIELD_FRAME.search(segment) or re.search(r"[{%<\[*@_#?$(]", "".join(PLACEHOLDER.findall(segment)))):
+    low = segment.lower()
+    if placeholders(segment) and (_FIELD_FRAME.search(low) or re.search(r"[{%<\[*@_#?$(]", "".join(PLACEHOLDER.findall(segment)))):
         return UNFILLED
-    if _FRAME.search(segment) or _SEPARATED.search(segment):
+    if _FRAME.search(low) or _SEPARATED.search(segment):
         return FRAME
-    segment = _QUOTED.sub(" ", segment)  # what is quoted is talked about
-    words = re.findall(r"[^\W\d_]+", segment.lower())
+    low = _QUOTED.sub(" ", low)  # what is quoted is talked about
+    words = re.findall(r"[^\W\d_]+", low)
     if words and sum(w in _LATIN for w in words) >= 0.7 * len(words):
         return FILLER
-    if _DUMMY.search(segment) or len(_MASH.findall(segment)) >= max(2, len(words) // 3):
+    if _DUMMY.search(low) or len(_MASH.findall(low)) >= max(2, len(words) // 3):
         return FILLER
-    if _NOTICE.search(segment):
+    if _NOTICE.search(low):
         return NOTICE
     return None
 
@@ -161,22 +161,23 @@ def weak_labels(parts: list[str]) -> list[tuple[int, float, bool]]:
     return [(CONTENT if x in (None, NOTICE, FILLER) else x, 1.0, x is not None) for x in said]
 
 
-def dense_features(parts: list[str]) -> np.ndarray:
-    """Length and title features of the segments of one document."""
-    n = len(parts)
-    out = np.zeros((n, 8), np.float32)
-    for i, p in enumerate(parts):
-        k = len(p)
-        out[i] = (
-            np.log1p(k) / 4,
-            i == 0,
-            i == n - 1,
-            p.endswith((".", "!", "?")),
-            p.isupper(),
-            np.log1p(n) / 4,
-            sum(map(p.count, "|·»")) > 1,
-            i == 0 and n > 1 and not p.endswith("."),
-        )
+def dense_features(docs: list[list[str]]) -> np.ndarray:
+    """Length and title features of the segments of documents, all in a row."""
+    flat = [p for parts in docs for p in parts]
+    counts = np.fromiter(map(len, docs), np.int64, len(docs))
+    n = np.repeat(counts, counts)
+    at = np.arange(len(flat)) - np.repeat(np.cumsum(counts) - counts, counts)
+    stop = np.fromiter((p[-1] == "." for p in flat), bool, len(flat))
+    first = at == 0
+    out = np.zeros((len(flat), 8), np.float32)
+    out[:, 0] = np.log1p(np.fromiter(map(len, flat), np.float32, len(flat))) / 4
+    out[:, 1] = first
+    out[:, 2] = at == n - 1
+    out[:, 3] = [p[-1] in ".!?" for p in flat]
+    out[:, 4] = [p.isupper() for p in flat]
+    out[:, 5] = np.log1p(n) / 4
+    out[:, 6] = ["|" in p and p.count("|") > 1 or "·" in p and p.count("·") > 1 or "»" in p and p.count("»") > 1 for p in flat]
+    out[:, 7] = first & (n > 1) & ~stop
     return out
 
 
@@ -193,11 +194,10 @@ def is_residue(parts: list[str], classes: np.ndarray) -> bool:
     """The decision for one document from the classes of its segments."""
     if any(c == UNFILLED and placeholders(p) for p, c in zip(parts, classes)):
         return True
-    bad = np.isin(classes, (NOTICE, FILLER))
-    if not bad.any():
+    if not ((classes == NOTICE) | (classes == FILLER)).any():
         return False
     # reference numbers and exclamations beside a notice say nothing of their own
-    content = np.isin(classes, (CONTENT, UNFILLED)) & (np.fromiter(map(len, parts), np.int64, len(parts)) >= REMARK // 2)
+    content = ((classes == CONTENT) | (classes == UNFILLED)) & (np.fromiter(map(len, parts), np.int64, len(parts)) >= REMARK // 2)
     if content[0] and len(parts) > 1 and len(parts[0]) <= 150:
         content[0] = False  # the title
     return not content.any()
@@ -218,7 +218,7 @@ def fit(sample: list[tuple[str | None, str | None]]) -> ResidueModel:
             continue
         held = host is not None and zlib.crc32(host.strip().lower().encode()) % 8 < UNSEEN_EIGHTHS
         to = unseen if held else seen
-        for p, d, (c, w, by_rule) in zip(parts, dense_features(parts), weak_labels(parts)):
+        for p, d, (c, w, by_rule) in zip(parts, dense_features([parts]), weak_labels(parts)):
             key = (_DIGITS("0", p), c)
             if not w or (not by_rule and len(parts) > 4 and zlib.crc32(p.encode()) > content_share * 2**32):
                 continue
@@ -296,9 +296,7 @@ def _decider(docs: DataFrame, id_col: str, text_col: str, host_col: str | None,
 
     def decide(texts: pa.Array) -> pa.Array:
         docs_parts = [segments(t) for t in texts.to_pylist()]
-        flat = [p for parts in docs_parts for p in parts]
-        dense = np.concatenate([dense_features(p) for p in docs_parts if p] or [np.zeros((0, 8), np.float32)])
-        classes = shared.value.classes(flat, dense)
+        classes = shared.value.classes([p for parts in docs_parts for p in parts], dense_features(docs_parts))
         ends = np.cumsum([len(p) for p in docs_parts])
         return pa.array([bool(p) and is_residue(p, classes[e - len(p) : e]) for p, e in zip(docs_parts, ends)], pa.bool_())
 

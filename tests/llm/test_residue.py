@@ -33,7 +33,7 @@ def model(spark, sf):
 
 def decide(model, text):
     parts = residue.segments(text)
-    return bool(parts) and residue.is_residue(parts, model.classes(parts, residue.dense_features(parts)))
+    return bool(parts) and residue.is_residue(parts, model.classes(parts, residue.dense_features([parts])))
 
 
 @pytest.mark.parametrize("text", CASES)
