@@ -53,13 +53,21 @@ def distinct_contents(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.agg(F.count_distinct(F.md5(text)).alias("n"))
 
 
-def matches_batch(term_doc: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, doc_id, term, tf, qtf) of documents that hold every term of a query, for many queries at once.
+def matches_batch(term_doc: DataFrame, stats: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, doc_id, term, tf, qtf, n_terms) of documents that may hold every term of a query, for many queries.
 
-    ``queries``: query_id, term, qtf, one row per distinct term. The number of
-    hits of a query is counted in the same shuffle that later sums its scores.
+    ``queries``: query_id, term, qtf, one row per distinct term; ``stats``: term,
+    df. A query's documents are looked for by its rarest term, and only those are
+    looked up for its other terms; a document that holds them all has n_terms
+    rows. Queries with a term that no document holds have no rows.
     """
-    sizes = queries.groupBy("query_id").agg(F.count("*").alias("n_terms"))
-    hits = term_doc.join(queries, "term")
-    full = hits.groupBy("query_id", "doc_id").agg(F.count("*").alias("n")).join(sizes, "query_id").where(F.col("n") == F.col("n_terms")).select("query_id", "doc_id")
-    return hits.join(full, ["query_id", "doc_id"], "left_semi").select("query_id", "doc_id", "term", "tf", "qtf")
+    known = queries.join(stats.select("term", "df"), "term", "left")
+    each = known.groupBy("query_id").agg(
+        F.count("*").alias("n_terms"),
+        F.count("df").alias("n_known"),
+        F.min_by("term", F.struct("df", "term")).alias("term"),
+    )
+    rarest = each.where(F.col("n_known") == F.col("n_terms")).select("query_id", "term", "n_terms")
+    found = rarest.join(term_doc.select("term", "doc_id"), "term").select("query_id", "n_terms", "doc_id")
+    wanted = found.join(queries.select("query_id", "term", "qtf"), "query_id")
+    return wanted.join(term_doc, ["term", "doc_id"]).select("query_id", "doc_id", "term", "tf", "qtf", "n_terms")

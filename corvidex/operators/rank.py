@@ -144,17 +144,22 @@ def best_answer(index: Index, query: Query, name: str = "favorite") -> DataFrame
 def query_likelihood_batch(index: Index, queries: DataFrame, top: int = 10) -> DataFrame:
     """(query_id, doc_id, score, rank) of the ``top`` documents of many queries in one job.
 
-    ``queries``: query_id, term, qtf. Top rows are cut in each task before the
+    ``queries``: query_id, term, qtf. Queries with the same terms are ranked once
+    and their result is given to each. Top rows are cut in each task before the
     shuffle by query.
     """
-    queries = durable(queries.select("query_id", "term", "qtf"))
+    lists = queries.groupBy("query_id").agg(F.to_json(F.sort_array(F.collect_list(F.struct("term", "qtf")))).alias("asked"))
+    lists = durable(lists.withColumn("one", F.min("query_id").over(Window.partitionBy("asked"))))
+    single = durable(queries.join(lists.where(F.col("query_id") == F.col("one")).select("query_id"), "query_id", "left_semi").select("query_id", "term", "qtf"))
     # rows of the queries' terms only, written once: they are matched, counted and scored
-    term_doc = durable(index.term_doc.join(queries.select("term").distinct(), "term", "left_semi"))
-    stats = term_doc.groupBy("term").agg(F.sum("tf").alias("ctf"))
-    rows = matches_batch(term_doc, queries).join(stats, "term").join(index.doc_stats.select("doc_id", "length"), "doc_id").crossJoin(F.broadcast(index.scalars()))
-    scored = rows.groupBy("query_id", "doc_id").agg(F.sum(F.col("qtf") * smoothed(F.col("tf"), F.col("length"), F.col("ctf"), F.col("total_terms"))).alias("score"))
+    term_doc = durable(index.term_doc.join(single.select("term").distinct(), "term", "left_semi"))
+    stats = durable(term_doc.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("ctf")))
+    rows = matches_batch(term_doc, stats, single).join(stats.select("term", "ctf"), "term").join(index.doc_stats.select("doc_id", "length"), "doc_id").crossJoin(F.broadcast(index.scalars()))
+    scored = rows.groupBy("query_id", "doc_id").agg(F.sum(F.col("qtf") * smoothed(F.col("tf"), F.col("length"), F.col("ctf"), F.col("total_terms"))).alias("score"), F.count("*").alias("held"), F.max("n_terms").alias("n_terms"))
+    scored = scored.where((F.col("held") == F.col("n_terms")) & (F.col("score") != 0))
     w = Window.partitionBy("query_id").orderBy(F.round("score", DIGITS).desc(), F.asc("doc_id"))
-    return scored.where(F.col("score") != 0).withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= top)
+    best = scored.withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= top)
+    return lists.join(best.select(F.col("query_id").alias("one"), "doc_id", "score", "rank"), "one").select("query_id", "doc_id", "score", "rank")
 
 
 def batch_terms(queries: DataFrame, query_id: str = "query_id", text: str = "query") -> DataFrame:
