@@ -44,6 +44,16 @@ def bhattacharyya(left: DataFrame, right: DataFrame) -> DataFrame:
     return a.join(b, "term").where(F.col("q1") != F.col("q2")).groupBy("q1", "q2").agg(F.sum(F.sqrt(F.col("p") * F.col("q"))).alias("coefficient"))
 
 
+def most_alike(left: DataFrame, right: DataFrame, top: int = 10) -> DataFrame:
+    """(q1, q2, coefficient, place): the ``top`` runs of ``right`` most like each run of ``left``, ties by q2.
+
+    The matrix of ``bhattacharyya`` has as many rows as pairs; this has ``top`` a
+    run, and pairs are cut in each task before the shuffle by run.
+    """
+    w = Window.partitionBy("q1").orderBy(F.round("coefficient", 9).desc(), F.asc("q2"))
+    return bhattacharyya(left, right).withColumn("place", F.row_number().over(w).cast("bigint")).where(F.col("place") <= top)
+
+
 def spearman(values: DataFrame, name: str, first: str, second: str) -> DataFrame:
     """(n, rho): Pearson's coefficient over the ordinal ranks of two columns; 0 if one doesn't vary.
 

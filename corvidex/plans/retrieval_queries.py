@@ -190,9 +190,9 @@ def prf_terms_excl_query(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def prf_similarity(spark: SparkSession, d: str) -> DataFrame:
-    """Every twentieth run against all runs."""
+    """The runs most like every twentieth run, among all runs."""
     runs = fb.clean_runs(table(spark, d, "prf"))
-    return fb.bhattacharyya(runs.where(F.col("run_id") % 20 == 0), runs).withColumn("coefficient", F.round("coefficient", 6))
+    return fb.most_alike(runs.where(F.col("run_id") % 20 == 0), runs).withColumn("coefficient", F.round("coefficient", 6))
 
 
 @query

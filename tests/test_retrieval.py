@@ -126,6 +126,8 @@ def test_likeness(spark):
     runs = spark.createDataFrame([(1, "a", 0.5), (1, "b", 0.5), (2, "a", 1.0), (3, "z", 1.0)], "run_id bigint, term string, prob double")
     got = {(r["q1"], r["q2"]): r["coefficient"] for r in fb.bhattacharyya(runs, runs).collect()}
     assert got == {(1, 2): pytest.approx(0.5**0.5), (2, 1): pytest.approx(0.5**0.5)}
+    more = spark.createDataFrame([(i, "a", 1.0 / i) for i in range(1, 6)], "run_id bigint, term string, prob double")
+    assert [(r["q2"], r["place"]) for r in fb.most_alike(more.where("run_id = 3"), more, 2).orderBy("place").collect()] == [(1, 1), (2, 2)]
 
 
 def test_rank_correlation(spark):
