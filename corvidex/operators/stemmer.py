@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from corvidex.functions.query import shape, stem
+from corvidex.session import ship
 
 # The published suffix tables, (suffix, instead), for stems of measure above 0.
 _LONG = [("ational", "ate"), ("tional", "tion"), ("enci", "ence"), ("anci", "ance"), ("izer", "ize"), ("bli", "ble"), ("alli", "al"), ("entli", "ent"), ("eli", "e"), ("ousli", "ous"), ("ization", "ize"), ("ation", "ate"), ("ator", "ate"), ("alism", "al"), ("iveness", "ive"), ("fulness", "ful"), ("ousness", "ous"), ("aliti", "al"), ("iviti", "ive"), ("biliti", "ble"), ("logi", "log")]
@@ -65,4 +66,5 @@ def _full_stems(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 
 def with_full_stem(words: DataFrame, word: str = "word", into: str = "stem") -> DataFrame:
+    ship(words.sparkSession)
     return words.withColumn(into, _full_stems(F.col(word)))

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,6 +39,26 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def ship(spark: SparkSession) -> None:
+    """Makes this package known to the Python workers of the session, once, wherever it is installed.
+
+    Workers unpickle functions and models by the names of their modules; without
+    this an executor needs the package on its own path.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_corvidex_shipped", False):
+        return
+    home = os.path.dirname(os.path.abspath(__file__))
+    name = os.path.join(sc._temp_dir, "corvidex_package.zip")  # the context's own folder on the driver; Spark hands the file out
+    with zipfile.ZipFile(name, "w", zipfile.ZIP_DEFLATED) as z:
+        for at, _, files in os.walk(home):
+            for f in files:
+                if f.endswith(".py"):
+                    z.write(os.path.join(at, f), os.path.relpath(os.path.join(at, f), os.path.dirname(home)))
+    sc.addPyFile(name)
+    sc._corvidex_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
