@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from corvidex.llm.features import Softmax, train_softmax
 from corvidex.llm.tokens import text_slices
+from corvidex.session import ship
 
 BODY, FRAME = 0, 1
 #: Pages the model is fitted on, about; a smaller table gives all pages.
@@ -359,6 +360,7 @@ def training_rows(pages: DataFrame, id_col: str, text_col: str, path_col: str) -
 
 def _mapped(pages: DataFrame, id_col: str, text_col: str, path_col: str, model: BodyModel | None, schema: str, emit) -> DataFrame:
     model = model or fit(training_rows(pages, id_col, text_col, path_col))
+    ship(pages.sparkSession)
     shared = pages.sparkSession.sparkContext.broadcast(model)
     rows = pages.select(pages[f"`{id_col}`"].alias("id_"), pages[f"`{text_col}`"].alias("text_"), pages[f"`{path_col}`"].alias("path_"))
 

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from corvidex.llm.tokens import text_slices
 from corvidex.llm.trees import Boosted, train_boosted
+from corvidex.session import ship
 
 #: Texts the trees are fitted on, about; a smaller table gives all texts.
 TRAIN_TEXTS = 4000
@@ -520,6 +521,7 @@ def training_texts(frames: list[tuple[DataFrame, str, str]]) -> list[str]:
 
 def _mapped(df: DataFrame, id_col: str, text_col: str, model: MarkupModel | None, schema: str, emit) -> DataFrame:
     model = model or fit(training_texts([(df, id_col, text_col)]))
+    ship(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)
     rows = df.select(df[f"`{id_col}`"].alias("id_"), df[f"`{text_col}`"].alias("text_"))
 

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corvidex.session import ship
+
 #: Characters trimmed around a value.
 BLANKS = " \t\r\n"
 
@@ -91,6 +93,7 @@ def ngram_counts(lists: DataFrame, longest: int = 1, buckets: int | None = None)
     spark = lists.sparkSession
     if longest < 1:
         raise ValueError("longest must be at least 1")
+    ship(spark)
     buckets = buckets or max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
     terms = F.filter("terms", lambda t: t.isNotNull())
     suffixes = (

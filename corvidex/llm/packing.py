@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corvidex.llm.tokens import TOKENIZER_DIR, load_model, text_slices, worker_encoder
-from corvidex.session import durable
+from corvidex.session import durable, ship
 
 #: Distinct lengths in a combination; the first may be repeated.
 DEPTH = 3
@@ -188,6 +188,7 @@ def placement(hist: np.ndarray, first: int = 0) -> tuple[np.ndarray, int]:
 
 def token_sizes(docs: DataFrame, id_col: str, text_col: str, tokenizers: list[str], tokenizer_dir: str = TOKENIZER_DIR) -> DataFrame:
     """(doc_id, sizes ARRAY<BIGINT>): tokens of each row by each tokenizer; 0 for null and empty texts."""
+    ship(docs.sparkSession)
     sc = docs.sparkSession.sparkContext
     models = [sc.broadcast(load_model(t, tokenizer_dir)) for t in tokenizers]
     rows = docs.select(docs[f"`{id_col}`"].alias("doc_id"), docs[f"`{text_col}`"].alias("text_to_size"))

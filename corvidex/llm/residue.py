@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from corvidex.llm.features import Softmax, train_softmax
 from corvidex.llm.tokens import text_slices
+from corvidex.session import ship
 
 CONTENT, FRAME, NOTICE, FILLER, UNFILLED = range(5)
 #: Long and short documents the classifier is fitted on, about, and segments of plain content in longer documents; fewer are all used.
@@ -292,6 +293,7 @@ def exclude(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hos
 def _decider(docs: DataFrame, id_col: str, text_col: str, host_col: str | None, model: ResidueModel | None):
     """A function for workers: a column of texts to a column of decisions."""
     model = model or fit(training_rows(docs, id_col, text_col, host_col))
+    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def decide(texts: pa.Array) -> pa.Array:

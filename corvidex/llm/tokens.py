@@ -22,6 +22,8 @@ import regex
 import sentencepiece
 from pyspark.sql import DataFrame
 
+from corvidex.session import ship
+
 #: Folder of the public vocabulary files; a parameter of every function here.
 TOKENIZER_DIR = "/opt/tokenizers"
 # Fixed value: the public pre-tokenisation pattern that belongs to the rank files.
@@ -183,6 +185,7 @@ def encode_corpus(
     are not read. Strings of special tokens in a text are ordinary text. No
     shuffle: a scan, an Arrow batch at a time.
     """
+    ship(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(load_model(tokenizer, tokenizer_dir))
     rows = docs.select(docs[f"`{id_col}`"].alias(id_col), docs[f"`{text_col}`"].alias("text_to_encode"))
 
@@ -208,6 +211,7 @@ def decode_corpus(
     tokenizer_dir: str = TOKENIZER_DIR,
 ) -> DataFrame:
     """(``id_col``, text): the inverse of ``encode_corpus``; null and empty lists give the empty text."""
+    ship(encoded.sparkSession)
     model = encoded.sparkSession.sparkContext.broadcast(load_model(tokenizer, tokenizer_dir))
     rows = encoded.select(encoded[f"`{id_col}`"].alias(id_col), encoded[f"`{ids_col}`"].alias("ids_to_decode"))
 
