@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from corvidex.operators import index, knowledge, mining
 from corvidex.operators.rank import RANKERS
 
+# Names of index types in settings.
 #: One index serves all types: positions are read only where a phrase asks for them.
 INDEXES: dict[str, Callable[..., object]] = {
     "fullscan": index.full_scan_documents,
