@@ -234,7 +234,8 @@ def nodes_of(text: str) -> list[Node]:
             mark = "## " if kind == "heading" else "- " if kind == "list" else "`" if kind == "code" else ""
             after = e + (kind == "list" and text[e : e + 1] == " ")  # the mark brings its own blank
             gone = name in ("cite", "citep", "citet", "ref", "eqref", "label", "includegraphics", "usepackage", "documentclass")
-            edits = ((s, e, ""),) if gone else ((s, inner[0], mark), (inner[1], e, "`" if kind == "code" else "")) if first >= 0 else ((s, after, mark),)
+            tied = gone and text[s - 1 : s] == "~"  # the blank that ties a reference to its word
+            edits = ((s - tied, e, ""),) if gone else ((s, inner[0], mark), (inner[1], e, "`" if kind == "code" else "")) if first >= 0 else ((s, after, mark),)
             nodes.append(Node(COMMAND, s, e, name, kind, inner, bool(args), m["star"], edits=edits))
         elif m["paren"] or m["bracket"]:
             inner = m.span("paren") if m["paren"] else m.span("bracket")
@@ -462,6 +463,26 @@ def kinds(chosen: list[Node]) -> list[str]:
     return [k for k in KINDS if k in found] or (["inline"] if chosen else [])
 
 
+def _edits(n: Node) -> tuple:
+    """The edits of a chosen node, those of its children included where their meaning hangs on it."""
+    if n.family not in (TAG, ESCAPED) or len(n.edits) < 2:
+        return n.edits
+    (a, b, first), (c, d, last) = n.edits[:2]
+    parts = [x for x in n.children if x.family == n.family and len(x.edits) == 2]
+    if n.name == "pre":  # a block of code within a block is one block
+        for x in parts:
+            if x.name == "code":
+                x.edits = tuple((f, t, "") for f, t, _ in x.edits)
+    elif n.name in ("mfrac", "msup", "msub") and len(parts) == 2:
+        opens = ("{", "{") if n.name == "mfrac" else ("", "^{" if n.name == "msup" else "_{")
+        for x, mark in zip(parts, opens):
+            x.edits = ((*x.edits[0][:2], mark), (*x.edits[1][:2], "}" if mark else ""))
+        return ((a, b, first + ("\\frac" if n.name == "mfrac" else "")), (c, d, last))
+    elif n.name == "msqrt":
+        return ((a, b, first + "\\sqrt{"), (c, d, "}" + last))
+    return n.edits
+
+
 def clean(text: str | None, chosen: list[Node]) -> str | None:
     """The text with its markup taken out and its structure written alike whatever the language was.
 
@@ -470,13 +491,20 @@ def clean(text: str | None, chosen: list[Node]) -> str | None:
     """
     if not text or not chosen:
         return text
-    edits = sorted((e for n in chosen for e in n.edits), key=lambda e: (e[0], e[1] - e[0] == 0, -e[1]))
-    out, at = [], 0
-    for start, end, instead in edits:
+    for n in sorted(chosen, key=lambda n: (n.start, -n.end)):  # parents first: they settle what their children become
+        _edits(n)
+    edits = sorted((e for n in chosen for e in _edits(n)), key=lambda e: (e[0], e[1] - e[0] == 0, -e[1]))
+    out, at, end = [], 0, "\n"
+    for start, stop, instead in edits:
         if start < at:
             continue
-        out += (text[at:start], instead)
-        at = end
+        piece = text[at:start]
+        end = piece[-1:] or end
+        if end == "\n" and instead[:1] == "\n":
+            instead = instead[1:]
+        out += (piece, instead)
+        end = instead[-1:] or end
+        at = stop
     out.append(text[at:])
     return re.sub(r"\n{3,}", "\n\n", "".join(out)).strip("\n")
 

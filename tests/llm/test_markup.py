@@ -21,8 +21,8 @@ PLAIN = [
 ]
 MARKED = [
     ("<p>One <b>word</b> &amp; more</p>", ["inline"], "One word & more"),
-    ("<H2 class='x'>Setup</H2><ul><li>a</li><li>b</ul>", ["heading", "list"], "## Setup\n\n- a\n- b"),
-    ("<pre><code>for (i = 0; i &lt; 3) { *p* }</code></pre>", ["code"], "```\n`for (i = 0; i < 3) { *p* }`\n```"),
+    ("<H2 class='x'>Setup</H2><ul><li>a</li><li>b</ul>", ["heading", "list"], "## Setup\n- a\n- b"),
+    ("<pre><code>for (i = 0; i &lt; 3) { *p* }</code></pre>", ["code"], "```\nfor (i = 0; i < 3) { *p* }\n```"),
     ("&lt;h4&gt;Setup&lt;/h4&gt; x", ["heading"], "#### Setup\n x"),
     ("# Title\n\nA **bold** and *it* [link](http://x.example) ![pic](a.png)", ["heading"], "# Title\n\nA bold and it link pic"),
     ("Setup\n-----\ntext", ["heading"], "## Setup\ntext"),
@@ -37,6 +37,10 @@ MARKED = [
     ("Let \\(a_b\\) be \\[ c^2 \\]", ["formula"], "Let $a_b$ be $$ c^2 $$"),
     ("text\n\n    x.run(3)\n    y.run(4)\n\nmore", ["code"], None),
     ("Done.&nbsp;<!-- ad -->", ["inline"], None),
+    ("<math><mi>x</mi><mo>=</mo><mfrac><mi>a</mi><mn>3</mn></mfrac><msup><mi>b</mi><mn>2</mn></msup></math>", ["formula"], "$x=\\frac{a}{3}b^{2}$"),
+    ("<math><mfrac><mfrac><mi>a</mi><mi>b</mi></mfrac><msqrt><mi>c</mi></msqrt></mfrac></math>", ["formula"], "$\\frac{\\frac{a}{b}}{\\sqrt{c}}$"),
+    ("<ul>\n<li>a</li>\n<li>b</li>\n</ul>\nend", ["list"], "- a\n- b\n\nend"),
+    ("See it.~\\ref{sec:one} Now.", ["inline"], "See it. Now."),
 ]
 
 
