@@ -195,6 +195,13 @@ def prf_similarity(spark: SparkSession, d: str) -> DataFrame:
     return fb.most_alike(runs.where(F.col("run_id") % 20 == 0), runs).withColumn("coefficient", F.round("coefficient", 6))
 
 
+@query
+def prf_similarity_all(spark: SparkSession, d: str) -> DataFrame:
+    """Every twentieth run against all runs; pairs that share no term have no row, their coefficient is 0."""
+    runs = fb.clean_runs(table(spark, d, "prf"))
+    return fb.bhattacharyya(runs.where(F.col("run_id") % 20 == 0), runs).withColumn("coefficient", F.round("coefficient", 6))
+
+
 @query
 def spearman_pr_nv(spark: SparkSession, d: str) -> DataFrame:
     both = inputs.page_rank(spark, d).join(inputs.views(spark, d), "name").select("name", F.round("pr", 9).alias("pr"), "views")

@@ -230,6 +230,9 @@ SQL = {
  pairs AS (SELECT a.run_id AS q1, b.run_id AS q2, sum(sqrt(a.prob * b.prob)) AS coefficient FROM runs a JOIN runs b USING (term) WHERE a.run_id % 20 = 0 AND a.run_id <> b.run_id GROUP BY 1, 2),
  placed AS (SELECT *, row_number() OVER (PARTITION BY q1 ORDER BY round(coefficient, 9) DESC, q2) AS place FROM pairs)
  SELECT q1, q2, round(coefficient, 6) AS coefficient, place FROM placed WHERE place <= 10""",
+    "prf_similarity_all": """WITH once AS (SELECT run_id, max({'c0': c0, 'c1': c1}) AS r FROM prf GROUP BY run_id, pos_in_run),
+ runs AS (SELECT run_id, lower(trim(r.c0, E' \\t\\r\\n')) AS term, sum(r.c1) AS prob FROM once WHERE trim(r.c0, E' \\t\\r\\n') <> '' GROUP BY 1, 2)
+ SELECT a.run_id AS q1, b.run_id AS q2, round(sum(sqrt(a.prob * b.prob)), 6) AS coefficient FROM runs a JOIN runs b USING (term) WHERE a.run_id % 20 = 0 AND a.run_id <> b.run_id GROUP BY 1, 2""",
     "spearman_pr_nv": f"""WITH {_GRAPH}, {_VIEWS}, both_v AS (SELECT name, round(pr, 9) AS pr, views FROM r2 JOIN views USING (name)),
  ranked AS (SELECT row_number() OVER (ORDER BY pr DESC, name) AS a, row_number() OVER (ORDER BY views DESC, name) AS b FROM both_v)
  SELECT count(*) AS n, round(coalesce(corr(a, b), 0), 6) AS rho FROM ranked""",

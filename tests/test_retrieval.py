@@ -130,6 +130,15 @@ def test_likeness(spark):
     assert [(r["q2"], r["place"]) for r in fb.most_alike(more.where("run_id = 3"), more, 2).orderBy("place").collect()] == [(1, 1), (2, 2)]
 
 
+def test_likeness_keeps_every_pair(spark, tmp_path):
+    from corvidex.plans.retrieval_queries import QUERIES
+
+    rows = [(i, 0, "a", 1.0 / i) for i in range(1, 31)] + [(31, 0, "z", 1.0)]
+    spark.createDataFrame(rows, "run_id bigint, pos_in_run int, c0 string, c1 double").write.parquet(str(tmp_path / "prf.parquet"))
+    got = QUERIES["prf_similarity_all"](spark, str(tmp_path)).collect()
+    assert sorted((r["q1"], r["q2"]) for r in got) == [(20, i) for i in range(1, 31) if i != 20]
+
+
 def test_rank_correlation(spark):
     up = spark.createDataFrame([(str(i), float(i), i * i) for i in range(20)], "name string, a double, b bigint")
     assert fb.spearman(up, "name", "a", "b").first()["rho"] == pytest.approx(1)
