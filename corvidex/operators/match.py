@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from corvidex.functions.query import Query
 from corvidex.operators.index import Index
@@ -71,3 +72,20 @@ def matches_batch(term_doc: DataFrame, stats: DataFrame, queries: DataFrame) ->
     found = rarest.join(term_doc.select("term", "doc_id"), "term").select("query_id", "n_terms", "doc_id")
     wanted = found.join(queries.select("query_id", "term", "qtf"), "query_id")
     return wanted.join(term_doc, ["term", "doc_id"]).select("query_id", "doc_id", "term", "tf", "qtf", "n_terms")
+
+
+def phrases_batch(index: Index, found: DataFrame, phrases: DataFrame) -> DataFrame:
+    """(query_id, doc_id) of ``found`` that hold all phrases of the query, for many queries.
+
+    ``phrases``: query_id, words, each phrase of a query once; queries without
+    phrases have no rows. Words vote for starts as in ``phrase``, once for equal
+    phrases of several queries and only in documents that are asked for.
+    """
+    asked = phrases.withColumn("n_phrases", F.count("*").over(Window.partitionBy("query_id")))
+    wanted = asked.join(found.select("query_id", "doc_id"), "query_id")
+    slots = phrases.select("words").distinct().select("words", F.posexplode("words").alias("i", "term"))
+    votes = index.postings.join(slots, "term").join(wanted.select("words", "doc_id"), ["words", "doc_id"], "left_semi")
+    starts = votes.groupBy("words", "doc_id", (F.col("pos") - F.col("i")).alias("start")).agg(F.count("*").alias("n"))
+    held = starts.where(F.col("n") == F.size("words")).select("words", "doc_id").distinct()
+    whole = wanted.join(held, ["words", "doc_id"]).groupBy("query_id", "doc_id").agg(F.count("*").alias("n"), F.max("n_phrases").alias("n_phrases"))
+    return whole.where(F.col("n") == F.col("n_phrases")).select("query_id", "doc_id")

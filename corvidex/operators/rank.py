@@ -12,8 +12,8 @@ from corvidex.functions.query import Query
 from corvidex.functions.text import positions
 from corvidex.functions.words import KNOWLEDGE_WEIGHTS, QUERY_STOP_WORDS, WEIGHTS
 from corvidex.operators.index import Index
-from corvidex.operators.match import any_title_word, matches, matches_batch
-from corvidex.session import durable
+from corvidex.operators.match import any_title_word, matches, matches_batch, phrases_batch
+from corvidex.session import durable, ship
 
 #: Share of the collection's language model in the smoothed one.
 LAMBDA = 0.5
@@ -141,28 +141,65 @@ def best_answer(index: Index, query: Query, name: str = "favorite") -> DataFrame
     return index.doc_stats.join(F.broadcast(best), "doc_id").select("doc_id", "score", *columns)  # one row
 
 
-def query_likelihood_batch(index: Index, queries: DataFrame, top: int = 10) -> DataFrame:
+def query_likelihood_batch(index: Index, queries: DataFrame, top: int = 10, phrases: DataFrame | None = None, tops: DataFrame | None = None) -> DataFrame:
     """(query_id, doc_id, score, rank) of the ``top`` documents of many queries in one job.
 
-    ``queries``: query_id, term, qtf. Queries with the same terms are ranked once
-    and their result is given to each. Top rows are cut in each task before the
-    shuffle by query.
+    ``queries``: query_id, term, qtf. ``phrases``: query_id, words; a document
+    must hold each of a query's phrases. ``tops``: query_id, top, instead of
+    ``top`` where it isn't null. Queries with the same terms and phrases are
+    ranked once and their result is given to each. Top rows are cut in each task
+    before the shuffle by query.
     """
     lists = queries.groupBy("query_id").agg(F.to_json(F.sort_array(F.collect_list(F.struct("term", "qtf")))).alias("asked"))
+    if phrases is not None:
+        said = phrases.groupBy("query_id").agg(F.to_json(F.sort_array(F.collect_set("words"))).alias("said"))
+        lists = lists.join(said, "query_id", "left").select("query_id", F.concat_ws(" ", "asked", "said").alias("asked"))
+    if tops is not None:
+        lists = lists.join(tops.select("query_id", "top"), "query_id", "left").withColumn("top", F.coalesce("top", F.lit(top)))
     lists = durable(lists.withColumn("one", F.min("query_id").over(Window.partitionBy("asked"))))
-    single = durable(queries.join(lists.where(F.col("query_id") == F.col("one")).select("query_id"), "query_id", "left_semi").select("query_id", "term", "qtf"))
+    ones = lists.where(F.col("query_id") == F.col("one")).select("query_id")
+    single = durable(queries.join(ones, "query_id", "left_semi").select("query_id", "term", "qtf"))
     # rows of the queries' terms only, written once: they are matched, counted and scored
     term_doc = durable(index.term_doc.join(single.select("term").distinct(), "term", "left_semi"))
     stats = durable(term_doc.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("ctf")))
     rows = matches_batch(term_doc, stats, single).join(stats.select("term", "ctf"), "term").join(index.doc_stats.select("doc_id", "length"), "doc_id").crossJoin(F.broadcast(index.scalars()))
     scored = rows.groupBy("query_id", "doc_id").agg(F.sum(F.col("qtf") * smoothed(F.col("tf"), F.col("length"), F.col("ctf"), F.col("total_terms"))).alias("score"), F.count("*").alias("held"), F.max("n_terms").alias("n_terms"))
     scored = scored.where((F.col("held") == F.col("n_terms")) & (F.col("score") != 0))
+    if phrases is not None:
+        said = durable(phrases.join(ones, "query_id", "left_semi").select("query_id", "words").distinct())
+        scored = durable(scored)
+        free = scored.join(said.select("query_id").distinct(), "query_id", "left_anti")
+        scored = free.unionByName(scored.join(phrases_batch(index, scored, said), ["query_id", "doc_id"], "left_semi"))
+    # the largest bound is a number of the plan, so that rows are cut before the shuffle
+    most = top if tops is None else lists.agg(F.max("top")).first()[0] or 0
     w = Window.partitionBy("query_id").orderBy(F.round("score", DIGITS).desc(), F.asc("doc_id"))
-    best = scored.withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= top)
-    return lists.join(best.select(F.col("query_id").alias("one"), "doc_id", "score", "rank"), "one").select("query_id", "doc_id", "score", "rank")
+    best = scored.withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= most)
+    out = lists.join(best.select(F.col("query_id").alias("one"), "doc_id", "score", "rank"), "one")
+    return (out if tops is None else out.where(F.col("rank") <= F.col("top"))).select("query_id", "doc_id", "score", "rank")
 
 
 def batch_terms(queries: DataFrame, query_id: str = "query_id", text: str = "query") -> DataFrame:
     """(query_id, term, qtf) of a table of queries read as plain words; stop words dropped, null queries without terms."""
     words = positions(queries.select(F.col(query_id).alias("doc_id"), F.replace(F.col(text), F.lit('"'), F.lit(" ")).alias("text")))
     return words.where(~F.col("term").isin(*sorted(QUERY_STOP_WORDS))).groupBy(F.col("doc_id").alias("query_id"), "term").agg(F.count("*").alias("qtf"))
+
+
+def batch_parsed(queries: DataFrame, query_id: str = "query_id", text: str = "query") -> tuple[DataFrame, DataFrame]:
+    """(query_id, term, qtf) and (query_id, words) of a table of queries, read by ``parse_query``: the terms, and the phrases."""
+    rows = queries.select(F.col(query_id).alias("query_id"), F.col(text).alias("text"))
+    kind = dict(rows.dtypes)["query_id"]
+
+    def run(batches):
+        import pyarrow as pa
+
+        from corvidex.functions.query import parse_query
+
+        for b in batches:
+            parsed = [parse_query(t) for t in b.column("text").to_pylist()]
+            terms = pa.array([list(q.counts().items()) for q in parsed], pa.map_(pa.string(), pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column("query_id"), terms, pa.array([q.phrases for q in parsed], pa.list_(pa.list_(pa.string())))], ["query_id", "terms", "phrases"])
+
+    ship(queries.sparkSession)
+    # written once: terms and phrases are read apart
+    parsed = durable(rows.mapInArrow(run, f"query_id {kind}, terms map<string, bigint>, phrases array<array<string>>"))
+    return parsed.select("query_id", F.explode("terms").alias("term", "qtf")), parsed.select("query_id", F.explode("phrases").alias("words"))

@@ -95,6 +95,14 @@ def rank_ql_batch(spark: SparkSession, d: str) -> DataFrame:
     return _score(rank.query_likelihood_batch(inputs.index(spark, d), rank.batch_terms(table(spark, d, "search_query"))))
 
 
+@query
+def rank_ql_log(spark: SparkSession, d: str) -> DataFrame:
+    """Every query of the log with its phrases, as many documents as it asks for (10 if it doesn't say)."""
+    log = table(spark, d, "search_query")
+    terms, phrases = rank.batch_parsed(log)
+    return _score(rank.query_likelihood_batch(inputs.index(spark, d), terms, phrases=phrases, tops=log.select("query_id", F.col("numdocs").alias("top"))))
+
+
 @query
 def rank_comprehensive(spark: SparkSession, d: str) -> DataFrame:
     return _score(rank.page(rank.comprehensive(inputs.index(spark, d, scores=True), parse_query(PHRASE))))

@@ -184,6 +184,27 @@ _RESOLVE = """WITH names AS (SELECT unnest([{names}]) AS name), pairs AS (SELECT
 
 _TITLE_WORDS = f"len(list_intersect(list_filter(string_split_regex(string_split_regex(text, '\\r\\n|\\r|\\n')[1], '{_SPACE}'), lambda x: x <> ''), ['Best', 'warum', 'Cómo'])) > 0"
 
+def _renamed(sql: str, *names: str) -> str:
+    """CTEs ``names`` of ``sql`` with a q before the name, beside those of the collection."""
+    for n in names:
+        sql = sql.replace(f"{n} AS", f"q{n} AS").replace(f"FROM {n}", f"FROM q{n}")
+    return sql
+
+
+_LOG = f"""
+ qparts AS (SELECT query_id, unnest(p) AS part, generate_subscripts(p, 1) AS k FROM (SELECT query_id, regexp_extract_all(query, '"[^"]*"|[^"]+') AS p FROM search_query)),
+ qlists AS (SELECT query_id, k, starts_with(part, '"') AS quoted, list_filter(string_split_regex(replace(part, '"', ''), '{_SPACE}'), lambda x: x <> '') AS ws FROM qparts),
+ qraw AS (SELECT query_id, k, quoted, len(ws) AS n, unnest(ws) AS raw, generate_subscripts(ws, 1) - 1 AS i FROM qlists),
+ qwords AS (SELECT *, translate(lower(raw), {_lit(PUNCTUATION)}, '') AS w FROM qraw),
+ {_renamed(_stems("qwords"), "s1", "s2", "s3", "stems")},
+ said AS (SELECT query_id, k, i, n, quoted AND n > 1 AS in_phrase, CASE WHEN quoted AND n = 1 THEN raw ELSE term END AS term FROM qwords JOIN qstems USING (w) WHERE quoted OR term NOT IN ({_words(QUERY_STOP_WORDS)})),
+ q AS (SELECT query_id, term, count(*) AS qtf FROM said GROUP BY query_id, term),
+ qn AS (SELECT query_id, count(*) AS n FROM q GROUP BY query_id),
+ phrases AS (SELECT query_id, k, i, n, term FROM said WHERE in_phrase),
+ pn AS (SELECT query_id, count(DISTINCT k) AS n_phrases FROM phrases GROUP BY query_id),
+ starts AS (SELECT query_id, k, doc_id FROM phrases JOIN postings USING (term) GROUP BY query_id, k, n, doc_id, pos - i HAVING count(*) = n),
+ held AS (SELECT query_id, doc_id, count(DISTINCT k) AS n_held FROM starts GROUP BY query_id, doc_id)"""
+
 SQL = {
     "tokenize_stem": f"{_C} SELECT raw, term, count(*) AS n FROM stripped JOIN stems USING (w) GROUP BY raw, term",
     "postings": f"{_C} SELECT term, doc_id, pos FROM postings",
@@ -205,6 +226,11 @@ SQL = {
  rows AS (SELECT query_id, doc_id, sum(qtf * log2(0.5::DOUBLE * tf / length + 0.5::DOUBLE * ctf / total_terms)) AS score, count(*) AS hit FROM q JOIN term_doc USING (term) JOIN term_stats USING (term) JOIN lens USING (doc_id), scalars GROUP BY query_id, doc_id),
  ranked AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM rows JOIN qn USING (query_id) WHERE hit = n AND score <> 0)
  SELECT query_id, doc_id, round(score, 6) AS score, rank FROM ranked WHERE rank <= 10""",
+    "rank_ql_log": f"""{_C}, {_LOG},
+ rows AS (SELECT query_id, doc_id, sum(qtf * log2(0.5::DOUBLE * tf / length + 0.5::DOUBLE * ctf / total_terms)) AS score, count(*) AS hit FROM q JOIN term_doc USING (term) JOIN term_stats USING (term) JOIN lens USING (doc_id), scalars GROUP BY query_id, doc_id),
+ ranked AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank
+   FROM rows JOIN qn USING (query_id) LEFT JOIN pn USING (query_id) LEFT JOIN held USING (query_id, doc_id) WHERE hit = n AND score <> 0 AND coalesce(n_phrases, 0) = coalesce(n_held, 0))
+ SELECT query_id, doc_id, round(score, 6) AS score, rank FROM ranked JOIN search_query USING (query_id) WHERE rank <= coalesce(numdocs, 10)""",
     "rank_comprehensive": f"""{_FULL}, {_hits(_P, _PHRASES)}, {_ql(_P)},
  full_score AS (SELECT doc_id, 0.65::DOUBLE * score + 0.2::DOUBLE * sqrt(coalesce(pr, 0) + 1) + 0.15::DOUBLE * log2(coalesce(views, 0) + 1.0::DOUBLE) AS score FROM ql LEFT JOIN r2 ON r2.name = doc_id LEFT JOIN views ON views.name = doc_id) {_PAGE.format("full_score")}""",
     "rank_cosine": f"""{_C}, {_hits(_T)},

@@ -64,6 +64,29 @@ def test_batch_is_single(index, spark):
     assert {r["query_id"] for r in got} == {1, 2}
 
 
+def test_log_is_single(index, spark):
+    log = [(1, '"web search"', 10), (2, "web", 2), (3, "web", None), (4, "web", 40), (5, '"the web" search', 1), (6, '"web search"', 1), (7, None, 5), (8, "web search", 20), (9, '"web page" "page search"', None), (10, '"web', 3)]
+    log += [(11, '"web search" web', 5), (12, '"nosuch web"', 5)]
+    queries = spark.createDataFrame(log, "query_id bigint, query string, top int")
+    terms, phrases = rank.batch_parsed(queries)
+    got = {}
+    for r in rank.query_likelihood_batch(index, terms, phrases=phrases, tops=queries.select("query_id", "top")).collect():
+        got.setdefault(r["query_id"], {})[r["rank"]] = (r["doc_id"], round(r["score"], 9))
+    for q, text, top in log:
+        one = rank.page(rank.query_likelihood(index, parse_query(text)), top or 10).collect()
+        assert got.get(q, {}) == {k + 1: (r["doc_id"], round(r["score"], 9)) for k, r in enumerate(one)}
+    assert [len(got.get(q, {})) for q in (1, 2, 3, 8, 9)] == [1, 2, 4, 3, 1]
+
+
+def test_log_gives_as_many_as_asked(spark, tmp_path):
+    from corvidex.plans.retrieval_queries import QUERIES
+
+    spark.createDataFrame([(i, "word word" + " more" * i) for i in range(1, 31)], "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, "word", 20), (2, "word", None), (3, '"word word"', 40)], "query_id bigint, query string, numdocs int").write.parquet(str(tmp_path / "search_query.parquet"))
+    got = QUERIES["rank_ql_log"](spark, str(tmp_path)).groupBy("query_id").count().collect()
+    assert {r["query_id"]: r["count"] for r in got} == {1: 20, 2: 10, 3: 30}
+
+
 def test_index_round_trip(index, spark, tmp_path):
     ix.write(index, str(tmp_path), 2)
     back = ix.load(spark, str(tmp_path))
