@@ -46,9 +46,10 @@ MOST_WEIGHT = 6.0
 UNSEEN_EIGHTHS = 1
 
 # The syntax of unfilled template fields and of unset values.
+# Fields whose two ends can't be mistaken may be of any length within a line; their classes keep a scan linear.
 PLACEHOLDER = re.compile(
-    r"\{\{[^{}\n]{0,60}\}\}|\$\{[^{}\n]{1,60}\}|#\{[^{}\n]{1,60}\}|\{%[^{}\n]{1,60}%\}|<%=?[^<>\n]{1,60}%>|%%[^\s%][^%\n]{0,60}%%|<<[^<>\n]{1,60}>>"
-    r"|\[\[\+?[^\[\]\n]{1,60}\]\]|\*\|[^|\n]{1,60}\|\*|@@[^@\n]{1,60}@@|\b__\w{1,60}?__\b|\?\?\?\w[^?\n]{0,60}\?\?\?|\{[^\W\d][^{}\n;=]{0,60}\}|\{\d\}|\[[^\W\d][^\[\]\n;=]{1,60}\]"
+    r"\{\{[^{}\n]*\}\}|\$\{[^{}\n]+\}|#\{[^{}\n]+\}|\{%[^{}\n]+%\}|<%=?[^<>\n]+%>|%%[^\s%][^%\n]{0,60}%%|<<[^<>\n]{1,60}>>"
+    r"|\[\[\+?[^\[\]\n]+\]\]|\*\|[^|\n]{1,60}\|\*|@@[^@\n]{1,60}@@|\b__\w{1,60}?__\b|\?\?\?\w[^?\n]{0,60}\?\?\?|\{[^\W\d][^{}\n;=]{0,60}\}|\{\d\}|\[[^\W\d][^\[\]\n;=]{1,60}\]"
     r"|%[sd]\b|\(null\)|\bundefined\b|\bNaN\b|\bNone\b|\[object Object\]"
 )
 _MAYBE = re.compile(r"[{%\[*@?#]|<<|<%|__|\(null\)|undefined|NaN|None").search

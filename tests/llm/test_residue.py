@@ -59,6 +59,16 @@ def test_placeholders(text, n):
     assert residue.placeholders(text) == n
 
 
+LONG = "author_name | default of the profile | trim | capitalise_first_letters | shorten_to_sixty"
+
+
+@pytest.mark.parametrize("field", ["{{ %s }}", "${%s}", "#{%s}", "{%% %s %%}", "<%% %s %%>", "[[%s]]"])
+def test_long_placeholders(model, field):
+    text = f"Posted by {field % LONG} on a Monday."
+    assert len(LONG) > 60 and residue.placeholders(text) == 1
+    assert decide(model, f"Most trees are flat by default. The answer depends on how it stores its trees.\n{text}\nWe measured 3 ms for a cold tree.")
+
+
 def test_tables(spark, model):
     rows = [(1, CASES[0], "a"), (1, CASES[0], "a"), (2, TALK[0], None), (3, None, "b"), (4, "", "b"), (5, " \n\t", "b"), (None, CASES[3], "b"), (6, "Most trees in it are flat by default. " * 4000 + "Posted by {{x}} in {{y}} - {{z}} views.", "b")]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string").withColumn("residue", F.lit("x")).withColumn("id_", F.lit(0))
