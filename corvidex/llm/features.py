@@ -7,6 +7,8 @@ import zlib
 from dataclasses import dataclass
 
 import numpy as np
+from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import functions as F
 
 #: Hash buckets of n-gram features.
 BUCKETS = 1 << 15
@@ -83,14 +85,23 @@ class Softmax:
 def train_softmax(
     texts: list[str], dense: np.ndarray, labels: np.ndarray, classes: int, sample_weight: np.ndarray | None = None, l2: float = 3e-7, rounds: int = 100, rate: float = 0.3
 ) -> Softmax:
-    """Full-batch Adam from zero weights; deterministic."""
+    """Full-batch Adam from zero weights; deterministic. Of two classes only the second gets weights, as only their difference matters."""
+    if classes == 2:
+        one = _train(texts, dense, np.asarray(labels, float)[:, None], sample_weight, l2 / 2, rounds, 2 * rate)
+        return Softmax(*(np.concatenate([np.zeros_like(m), m], axis=1) for m in one))
+    target = np.zeros((len(texts), classes))
+    target[np.arange(len(texts)), labels] = 1
+    return Softmax(*_train(texts, dense, target, sample_weight, l2, rounds, rate))
+
+
+def _train(texts: list[str], dense: np.ndarray, target: np.ndarray, sample_weight: np.ndarray | None, l2: float, rounds: int, rate: float) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of n-grams and of dense features: logistic for one column of targets, multinomial for several."""
+    classes = target.shape[1]
     uni, bi, starts = grams(texts)
     n = np.diff(np.append(starts, len(uni)))
     scale = 1 / np.sqrt(n)
     w = np.ones(len(texts)) if sample_weight is None else sample_weight
     w = w / w.sum()
-    target = np.zeros((len(texts), classes))
-    target[np.arange(len(texts)), labels] = 1
     x = np.hstack([dense, np.ones((len(texts), 1))])
     idx = np.concatenate([uni, bi])
     used, idx = np.unique(idx, return_inverse=True)
@@ -101,8 +112,12 @@ def train_softmax(
     for step in range(1, rounds + 1):
         s = np.add.reduceat(a[idx[:half]] + a[idx[half:]], starts, axis=0)
         z = s * scale[:, None] + x @ b
-        z = np.exp(z - z.max(axis=1, keepdims=True))
-        g = (z / z.sum(axis=1, keepdims=True) - target) * w[:, None]
+        if classes == 1:
+            z = 1 / (1 + np.exp(-np.clip(z, -50, 50)))
+        else:
+            z = np.exp(z - z.max(axis=1, keepdims=True))
+            z /= z.sum(axis=1, keepdims=True)
+        g = (z - target) * w[:, None]
         gs = (g * scale[:, None])[owner]
         ga = np.stack([np.bincount(idx, weights=gs[:, k], minlength=len(used)) for k in range(classes)], 1) + l2 * a
         gb = x.T @ g + l2 * b
@@ -113,4 +128,21 @@ def train_softmax(
             p -= lr * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     weights = np.zeros((BUCKETS, classes), np.float32)
     weights[used] = a
-    return Softmax(weights, b.astype(np.float32))
+    return weights, b.astype(np.float32)
+
+
+def hash_sample(rows: DataFrame, text: str, most: int, where: Column | None = None) -> tuple[list[Row], int]:
+    """(rows, number of all): about ``most`` of the rows with text, chosen by a hash of the text, one row a text.
+
+    Which texts are chosen depends on the texts and on the number of all; copies
+    are chosen together, once. Never more than twice ``most``. Null and blank
+    texts are left out. A table with no more than ``most`` rows gives all texts.
+    """
+    some = rows.where(F.trim(text) != "") if where is None else rows.where((F.trim(text) != "") & where)
+    total = some.count()
+    if not total:
+        return [], 0
+    key = F.shiftrightunsigned(F.xxhash64(text), 1)
+    bound = min(int(most / total * 2**63), 2**63 - 1)
+    one = some.withColumn("hash_", key).where(F.col("hash_") <= F.lit(bound)).groupBy("hash_").agg(F.min(F.struct(*rows.columns)).alias("row_"))
+    return [r["row_"] for r in one.orderBy("hash_").limit(2 * most).collect()], total  # bounded by ``most``
