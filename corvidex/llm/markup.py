@@ -6,23 +6,28 @@ node (its name and attributes, what stands around and inside it, depth,
 density of its subtree, siblings) say how likely it is markup and not text that
 looks alike. The tree is then decoded from the leaves up and from the root
 down, so that choices agree: within code and formulas nothing is read as other
-markup. The trees are trained here, on nodes of a bounded sample of the table
-for which the rules of the languages leave no doubt.
+markup. The trees are trained here, on nodes of a bounded sample of the table.
+Their labels come from what the features don't hold: whether the end of an
+element was found and names like it are ended elsewhere, whether a formula,
+target or entity can be read, and which languages the rest of the text shows.
 """
 
 from __future__ import annotations
 
 import html
+import html.entities
+import math
 import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
+from corvidex.llm.features import hash_sample
 from corvidex.llm.tokens import text_slices
 from corvidex.llm.trees import Boosted, train_boosted
 from corvidex.session import ship
@@ -36,6 +41,8 @@ _ELEMENTS = frozenset(
     "a abbr address article aside b blockquote body br button caption center cite code col dd del details div dl dt em embed figcaption figure font footer form h1 h2 h3 h4 h5 h6 head header hr html i iframe img input ins kbd label li link main map mark math menu meta nav noscript ol option p param picture pre q s samp script section select small source span strike strong style sub summary sup svg table tbody td textarea tfoot th thead time title tr tt u ul var video wbr mi mo mn mrow mfrac msup msub msubsup msqrt mtext mtable mtr mtd mover munder ref nowiki gallery syntaxhighlight noinclude poem".split()
 )
 _VOID = frozenset("br hr img input link meta col embed wbr param".split())
+# Elements whose end may be left out.
+_OPEN_ENDED = frozenset("li p dt dd td th tr thead tbody tfoot option".split())
 _KIND_OF = {**{f"h{i}": "heading" for i in range(1, 7)}, "ul": "list", "ol": "list", "li": "list", "dl": "list", "dt": "list", "dd": "list", "pre": "code", "code": "code", "source": "code", "syntaxhighlight": "code", "tt": "code", "kbd": "code", "samp": "code", "math": "formula"}
 _BLOCKS = frozenset("p div br hr tr table blockquote section article header footer nav main aside figure ul ol dl pre h1 h2 h3 h4 h5 h6".split())
 # Commands and environments of LaTeX.
@@ -43,23 +50,24 @@ _COMMANDS = {**dict.fromkeys("chapter section subsection subsubsection paragraph
     "textbf textit textsc textrm textsf emph underline cite citep citet ref eqref label href url footnote caption includegraphics usepackage documentclass maketitle noindent newline linebreak bf it em tt centering begin end".split(), "inline"
 )
 _ENVIRONMENTS = {**dict.fromkeys("itemize enumerate description".split(), "list"), **dict.fromkeys("verbatim lstlisting minted alltt".split(), "code"), **dict.fromkeys("equation align eqnarray displaymath math gather multline equation* align*".split(), "formula")}
-_ENTITIES = frozenset("amp lt gt quot apos nbsp copy reg trade hellip mdash ndash lsquo rsquo ldquo rdquo laquo raquo euro deg middot bull times eacute egrave agrave uuml ouml auml szlig ccedil ntilde".split())
+# Wiki templates that show their last argument; others show nothing of their own in running text.
+_SHOWN_TEMPLATES = frozenset("lang nowrap nobr small big smaller larger center sub sup abbr transl ill quote".split())
 
-TAG, ESCAPED, COMMENT, ENTITY, TICKS, STRONG, EM, LINK, WIKI_LINK, WIKI_QUOTE, TEMPLATE, COMMAND, GROUP, DOLLARS, BRACKETS, BREAK, FENCE, BRACES, RULE, HASHES, EQUALS, BULLET, INDENT, ENVIRONMENT, QUOTE, CELL = range(26)
+TAG, ESCAPED, COMMENT, ENTITY, TICKS, STRONG, EM, LINK, WIKI_LINK, WIKI_QUOTE, TEMPLATE, COMMAND, GROUP, DOLLARS, BRACKETS, BREAK, FENCE, BRACES, RULE, HASHES, EQUALS, BULLET, INDENT, ENVIRONMENT, QUOTE, CELL, DEFINITION = range(27)
 
 _INLINE = re.compile(
     r"(?P<comment><!--.*?-->|&lt;!--.*?--&gt;)"
-    r"|<(?P<tclose>/?)(?P<tname>[A-Za-z][A-Za-z0-9]*)(?P<tattr>[^<>\n]{0,400}?)>"
-    r"|&lt;(?P<eclose>/?)(?P<ename>[A-Za-z][A-Za-z0-9]*)(?P<eattr>[^<>\n]{0,400}?)&gt;"
-    r"|&(?:amp;)?(?P<entity>#\d{1,7}|#x[0-9A-Fa-f]{1,6}|[A-Za-z]{2,8});"
+    r"|<(?P<tclose>/?)(?P<tname>[A-Za-z][A-Za-z0-9]*)(?P<tattr>(?>[^<>\"']+|\"[^\"<]*\"|'[^'<]*'|[\"'])*+)>"
+    r"|&lt;(?P<eclose>/?)(?P<ename>[A-Za-z][A-Za-z0-9]*)(?P<eattr>(?>[^<>&]|&(?!lt;|gt;))*+)&gt;"
+    r"|&(?:amp;)?(?P<entity>#\d{1,7}|#x[0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
     r"|(?P<ticks>`+)(?P<tickin>[^`\n]+?)(?P=ticks)(?!`)"
-    r"|(?P<image>!?)\[(?!\[)(?P<linktext>[^\[\]\n]*)\]\((?P<linkto>[^()\s]*)\)"
+    r"|(?P<image>!?)\[(?!\[)(?P<linktext>[^\[\]\n]*)\]\((?P<linkto>(?:[^()\s]|\([^()\s]*\))*)(?:[ \t]+(?:\"[^\"\n]*\"|'[^'\n]*'))?\)"
     r"|\[\[(?P<wiki>[^\[\]\n]+)\]\]"
     r"|\[(?P<ext>(?:https?|ftp)://[^\s\]]+)(?P<extname> [^\]\n]*)?\]"
+    r"|\[(?!\[)(?P<reftext>[^\[\]\n]+)\] ?\[(?P<refto>[^\[\]\n]*)\]"
     r"|(?P<strong>\*\*|__|~~)(?=\S)(?P<strongin>[^\n]+?)(?<=\S)(?P=strong)"
     r"|(?P<em>[*_])(?=[^\s*_])(?P<emin>[^*_\n]+?)(?<=\S)(?P=em)"
     r"|(?P<quotes>'{2,5})(?P<quotein>[^'\n](?:[^'\n]|'(?!'))*?)(?P=quotes)"
-    r"|\{\{(?!\{)(?P<template>[^{}\n]*)\}\}"
     r"|\{\\(?P<group>[a-z]+) (?P<groupin>[^{}\n]*)\}"
     r"|\\(?P<command>[A-Za-z]+)(?P<star>\*?)(?P<args>(?:\[[^\[\]\n]*\])?(?:\{(?:[^{}\n]|\\.|\{[^{}\n]*\})*\})*)"
     r"|\\\((?P<paren>.+?)\\\)|\\\[(?P<bracket>.+?)\\\]"
@@ -68,7 +76,10 @@ _INLINE = re.compile(
     re.S | re.M,
 )
 _ANY = re.compile(r"[<&`*_~\[{\\$]|''|(?m:^\s*(?:[+#=-]|\d+[.)]\s|>\s| {4}))").search
-_LINE = re.compile(r"[ \t]*(?:(?P<fence>```+|~~~+)(?P<lang>\w*)[ \t]*$|(?P<braces>\{\{\{|\}\}\})[ \t]*$|(?P<rule>-{3,}|={3,})[ \t]*$|(?P<hashes>#{1,6}) ?(?=\S)|(?P<equals>={1,6})(?=[^=]).*[^=](?P=equals)[ \t]*$|(?P<bullet>[*+-]|\*{2,4}|\d{1,3}[.)])[ \t]+(?=\S)|(?P<star>\*)(?=[\w¿])(?![^*\n]*\*)|(?P<quote>>) |(?P<cell>\|-|\{\||\|\}))")
+_LINE = re.compile(r"[ \t]*(?:(?P<fence>```+|~~~+)(?P<lang>\w*)[ \t]*$|(?P<braces>\{\{\{|\}\}\})[ \t]*$|(?P<rule>-{3,}|={3,})[ \t]*$|(?P<hashes>#{1,6}) ?(?=\S)|(?P<equals>={1,6})(?=[^=]).*[^=](?P=equals)[ \t]*$|(?P<bullet>[*+-]|\*{2,4}|\d{1,3}[.)])[ \t]+(?=\S)|(?P<star>\*)(?=[\w¿])(?![^*\n]*\*)|(?P<quote>>) |(?P<cell>\|-|\{\||\|\}|\|\+?|!)|(?P<definition>\[[^\[\]\n]+\]:[ \t]*\S+.*$))")
+_BRACES2 = re.compile(r"\{\{\{+|\}\}\}+|\{\{|\}\}")
+_CELLS = re.compile(r"\|\||!!")
+_DEFINITION = re.compile(r"(?m)^[ \t]*\[([^\[\]\n]+)\]:[ \t]*\S")
 _ENV = re.compile(r"\\begin\{(\w+\*?)\}(?:\[[^\]\n]*\])?(.*?)\\end\{\1\}", re.S)
 _ATTRIBUTES = re.compile(r"(?:\s+[\w:-]+(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|&#39;.*?&#39;|&quot;.*?&quot;|[^\s\"'=<>`]+))?)*\s*/?$")
 _VISIBLE = re.compile(r"[^\W_]")
@@ -98,9 +109,10 @@ def _line_nodes(text: str) -> list[Node]:
     before = ""
     previous: Node | None = None
     indent: Node | None = None
+    in_table = False
     for line in lines:
         end = at + len(line)
-        found = _LINE.match(line) if line[:1] in " \t*+-#=`~{}>|\\0123456789" else None
+        found = _LINE.match(line) if line[:1] in " \t*+-#=`~{}>|!\\[0123456789" else None
         node = None
         if open_fence is not None:
             if found and found["fence"] and found["fence"][0] == open_fence.name[0] and not found["lang"]:
@@ -110,7 +122,7 @@ def _line_nodes(text: str) -> list[Node]:
                 open_fence = None
         elif found:
             k = found.lastgroup
-            mark = next((found[g] for g in ("fence", "braces", "rule", "hashes", "equals", "bullet", "star", "quote", "cell") if found[g]), "")
+            mark = next((found[g] for g in ("fence", "braces", "rule", "hashes", "equals", "bullet", "star", "quote", "cell", "definition") if found[g]), "")
             if found["fence"]:
                 node = open_fence = Node(FENCE, at, end, mark, "code", (end, len(text)), False, edits=((at, end, "```" + (found["lang"] or "")),))
             elif found["braces"]:
@@ -135,11 +147,19 @@ def _line_nodes(text: str) -> list[Node]:
                 node = Node(EQUALS, at, end, mark, "heading", (at + line.index(inside) + n, at + line.index(inside) + len(inside) - n))
                 node.edits = ((at, node.inner[0], "#" * n + " "), (node.inner[1], end, ""))
             elif found["bullet"] or found["star"]:
-                node = Node(BULLET, at, end, mark if not mark[0].isdigit() else "1", "list", (at + found.end(), end), edits=((at, at + found.end(), ("  " * (len(mark) - 1) if mark[0] == "*" else "") + "- "),))
+                node = Node(BULLET, at, end, mark if not mark[0].isdigit() else "1", "list", (at + found.end(), end), edits=((at, at + found.end(), ("  " * (len(mark) - 1) if mark[0] == "*" else "") + (f"{mark[:-1]}. " if mark[0].isdigit() else "- ")),))
             elif found["quote"]:
                 node = Node(QUOTE, at, end, mark, "inline", (at + found.end(), end), edits=((at, at + found.end(), ""),))
             elif found["cell"]:
-                node = Node(CELL, at, end, mark, "inline", (at, end), edits=((at, end, ""),))
+                if mark == "{|":
+                    in_table = True
+                if mark in ("|-", "{|", "|}"):
+                    node = Node(CELL, at, end, mark, "inline", (at, end), edits=((at, min(end + 1, len(text)), ""),))
+                    in_table = in_table and mark != "|}"
+                elif in_table:
+                    node = _cells(text, at, end, at + found.end(), mark)
+            elif found["definition"]:
+                node = Node(DEFINITION, at, end, "[", "inline", (at, end), edits=((at, end, ""),))
         if node is None and open_fence is None and line.startswith("    ") and line.strip():
             if indent is not None:
                 indent.end, indent.inner = end, (indent.start, end)
@@ -156,12 +176,69 @@ def _line_nodes(text: str) -> list[Node]:
         previous, before, at = node if node is not None else (previous if not line.strip() else None), line, end + 1
     if open_fence is not None:
         open_fence.end, open_fence.inner = len(text), (open_fence.inner[0], len(text))
+    number, at = 0, -1
     for n in nodes:  # lines of # one after another number a list, they aren't headings
         if n.family == HASHES and n.run > 1 and n.name == "#":
-            n.kind, n.edits = "list", ((n.edits[0][0], n.edits[0][1], "- "), *n.edits[1:])
+            number = number + 1 if n.start == at + 1 else 1
+            n.kind, n.edits, at = "list", ((n.edits[0][0], n.edits[0][1], f"{number}. "), *n.edits[1:]), n.end
     return nodes
 
 
+def _cells(text: str, start: int, end: int, at: int, mark: str) -> Node:
+    """A row of cells of a wiki table: marks out, a tab between cells, attributes of cells out."""
+    edits, first = [], start
+    while True:
+        found = _CELLS.search(text, at, end)
+        stop = found.start() if found else end
+        bar = text.find("|", at, stop)
+        skip = bar + 1 if bar >= 0 and "=" in text[at:bar] and "[[" not in text[at:bar] else at
+        while text[skip : skip + 1] == " " and skip < stop:
+            skip += 1
+        edits.append((first, skip, "" if first == start else "\t"))
+        if not found:
+            break
+        first = len(text[:stop].rstrip(" ")) if stop > skip else stop
+        at = found.end()
+    return Node(CELL, start, end, mark, "inline", (start, end), edits=tuple(edits))
+
+
+def _template_nodes(text: str) -> list[Node]:
+    """Templates of any depth and over any lines, by a stack of braces; triple braces are parameters or code."""
+    nodes: list[Node] = []
+    stack: list[int] = []
+    for m in _BRACES2.finditer(text):
+        n = m.end() - m.start()
+        if m[0][0] == "{":
+            if n != 3:
+                stack += [m.start() + 2 * i for i in range(n // 2)]
+        else:
+            at = m.start()
+            for _ in range(n // 2):
+                if not stack:
+                    break
+                start, end = stack.pop(), at + 2
+                inner = text[start + 2 : at]
+                name = re.match(r"\s*([^|{}\n]*)", inner)[1].strip()
+                if name.lower().split("-")[0] in _SHOWN_TEMPLATES and "|" in inner:
+                    cut = _last_bar(inner)
+                    nodes.append(Node(TEMPLATE, start, end, name, "inline", (start + 2 + cut, at), edits=((start, start + 2 + cut, ""), (at, end, ""))))
+                else:
+                    nodes.append(Node(TEMPLATE, start, end, name, "inline", (start + 2, at), edits=((start, end, ""),)))
+                at = end
+    return nodes
+
+
+def _last_bar(inner: str) -> int:
+    """Where the last argument of a template begins, bars of inner templates and links aside."""
+    depth, cut = 0, 0
+    for m in re.finditer(r"\{\{|\[\[|\}\}|\]\]|\|", inner):
+        if m[0] == "|":
+            cut = m.end() if not depth else cut
+        else:
+            depth += 1 if m[0][0] in "{[" else -1
+    return cut
+
+
 def nodes_of(text: str) -> list[Node]:
     """All candidate nodes of a text, sorted by place, the wider first."""
     if not _ANY(text):
@@ -174,14 +251,25 @@ def nodes_of(text: str) -> list[Node]:
             mark = "```" if kind == "code" else "$$" if kind == "formula" else ""
             nodes.append(Node(ENVIRONMENT, m.start(), m.end(), m[1], kind, m.span(2), edits=((m.start(), m.start(2), mark), (m.end(2), m.end(), mark))))
             environments |= {m.start(), m.end() - len(m[1]) - 6}
+    if "{{" in text:
+        nodes += _template_nodes(text)
+    targets = {x.lower() for x in _DEFINITION.findall(text)} if "]:" in text else set()
+    targets = {x for x in targets if text.lower().count(f"[{x}]") > 1}  # a definition nobody refers to is none
+    if any(n.family == DEFINITION for n in nodes):
+        nodes = [n for n in nodes if n.family != DEFINITION or text[n.start : n.end].partition("]")[0].strip(" \t[").lower() in targets]
     open_tags: list[Node] = []
-    for m in _INLINE.finditer(text):
+    at = 0
+    while (m := _INLINE.search(text, at)) is not None:
+        at = m.end()
         s, e = m.span()
         k = m.lastgroup
         if m["tname"] or m["ename"]:
             escaped = bool(m["ename"])
             name, closing, attr = (m["ename"].lower(), m["eclose"], m["eattr"]) if escaped else (m["tname"].lower(), m["tclose"], m["tattr"])
             family = ESCAPED if escaped else TAG
+            if "\n" in attr and not _ATTRIBUTES.match(attr):  # a tag over several lines must be one
+                at = m.end("ename") if escaped else m.end("tname")
+                continue
             if closing:
                 for i in range(len(open_tags) - 1, -1, -1):
                     o = open_tags[i]
@@ -200,11 +288,18 @@ def nodes_of(text: str) -> list[Node]:
         elif m["comment"]:
             nodes.append(Node(COMMENT, s, e, "!--", edits=((s, e, ""),)))
         elif m["entity"]:
+            if m["entity"][0] != "#" and m["entity"] + ";" not in html.entities.html5:
+                continue
             nodes.append(Node(ENTITY, s, e, m["entity"], edits=((s, e, html.unescape("&" + m["entity"] + ";")),)))
         elif m["ticks"]:
             nodes.append(Node(TICKS, s, e, m["ticks"], "code", m.span("tickin")))
         elif m["linkto"] is not None:
             nodes.append(Node(LINK, s, e, m["image"], "inline", m.span("linktext"), edits=((s, m.start("linktext"), ""), (m.end("linktext"), e, ""))))
+        elif m["reftext"]:
+            if (m["refto"] or m["reftext"]).lower() not in targets:
+                at = m.end("reftext")
+                continue
+            nodes.append(Node(LINK, s, e, "[]", "inline", m.span("reftext"), edits=((s, m.start("reftext"), ""), (m.end("reftext"), e, ""))))
         elif m["wiki"]:
             keep = m.start("wiki") + m["wiki"].rfind("|") + 1
             nodes.append(Node(WIKI_LINK, s, e, "[[", "inline", (keep, m.end("wiki")), edits=((s, keep, ""), (m.end("wiki"), e, ""))))
@@ -218,8 +313,6 @@ def nodes_of(text: str) -> list[Node]:
         elif m["quotes"]:
             n = len(m["quotes"])
             nodes.append(Node(WIKI_QUOTE, s, e, m["quotes"], "inline", m.span("quotein"), edits=((s, s + n, ""), (e - n, e, ""))))
-        elif m["template"] is not None:
-            nodes.append(Node(TEMPLATE, s, e, "{{", "inline", m.span("template"), edits=((s, e, ""),)))
         elif m["group"]:
             nodes.append(Node(GROUP, s, e, m["group"], "code" if m["group"] == "tt" else "inline", m.span("groupin"), edits=((s, m.start("groupin"), ""), (e - 1, e, ""))))
         elif m["command"]:
@@ -259,6 +352,10 @@ def _tag_text(name: str, closing: bool) -> str:
         return "\n" if closing else "\n" + "#" * int(name[1]) + " "
     if name == "li":
         return "" if closing else "\n- "
+    if name in ("td", "th"):
+        return "" if closing else "\t"
+    if name == "tr":
+        return "\n"
     if kind == "code":
         return ("\n```" if closing else "```\n") if name in ("pre", "source", "syntaxhighlight") else "`"
     if kind == "formula":
@@ -296,35 +393,50 @@ def attribute_tokens(n: Node) -> int:
     return 1 + zlib.crc32(re.match(r"\s*([\w:-]*)", n.attributes)[1].lower().encode()) % 6
 
 
-FEATURES = 20
+FEATURES = 19
 
 
 def known_name(n: Node) -> bool:
     if n.family in (TAG, ESCAPED):
         return n.name in _ELEMENTS
-    if n.family == ENTITY:
-        return n.name[0] == "#" or n.name in _ENTITIES
     if n.family in (COMMAND, GROUP):
         return n.name in _COMMANDS
     return n.family != ENVIRONMENT or n.name.rstrip("*") in _ENVIRONMENTS or len(n.name) > 3
 
 
-def features(text: str, nodes: list[Node]) -> list[tuple]:
-    """A row of features for each node, after ``link``."""
-    same: dict[int, int] = {}
-    for n in nodes:
-        same[n.family] = same.get(n.family, 0) + 1
-    crowd = 100 * len(nodes) / (len(text) + 1)
+def features(text: str, roots: list[Node], nodes: list[Node]) -> list[tuple]:
+    """A row of features for each of ``nodes``, after ``link``: what stands in, at and around a node, and its place in the tree.
+
+    Nothing in a row tells what ``evidence_label`` looks at: whether the node's
+    end was found, whether what is inside can be read, and what else the text holds.
+    """
+    hidden: dict[int, int] = {}  # characters of marks in the subtree
+    below: dict[int, int] = {}
+    order: list[Node] = []
+    siblings: dict[int, tuple[int, float, int]] = {}
+    stack = [roots]
+    while stack:
+        group = stack.pop()
+        families: dict[int, int] = {}
+        for x in group:
+            families[x.family] = families.get(x.family, 0) + 1
+        for i, x in enumerate(group):
+            siblings[id(x)] = (min(len(group), 50), families[x.family] / len(group), min(i, 20))
+            order.append(x)
+            if x.children:
+                stack.append(x.children)
+    for x in reversed(order):
+        hidden[id(x)] = sum(t - f for f, t, _ in x.edits) + sum(hidden[id(c)] for c in x.children)
+        below[id(x)] = len(x.children) + sum(below[id(c)] for c in x.children)
     out = []
     size = len(text)
     for n in nodes:
         a, b = n.inner
         marks = sum(text.count(c, a, b) for c in "\\^_={}+") if n.family in (DOLLARS, BRACKETS, EM, STRONG, TICKS) else 0
-        hidden = sum(t - f for x in n.children for f, t, _ in x.edits)
+        many, alike, place = siblings[id(n)]
         out.append((
             n.family,
             known_name(n),
-            n.paired,
             attribute_tokens(n),
             _char(text[n.start - 1 : n.start]),
             _char(text[n.end : n.end + 1]) if n.end < size else 0,
@@ -332,59 +444,91 @@ def features(text: str, nodes: list[Node]) -> list[tuple]:
             _char(text[b - 1 : b]) if b > a else 0,
             (b - a) ** 0.5,
             n.depth,
-            min(same[n.family], 20),
+            many,
+            alike,
+            place,
             min(n.run, 10),
-            1 - hidden / max(1, n.end - n.start),
-            crowd,
+            1 - min(1.0, hidden[id(n)] / max(1, n.end - n.start)),
+            min(below[id(n)], 50),
             marks / (b - a + 1),
             text[a : a + (b > a)].isdigit(),
             n.start == 0 or text[n.start - 1] == "\n",
-            len(n.children),
             bool(_VISIBLE.search(text, a, b)),
-            len(n.name),
         ))
     return out
 
 
-def rule_label(text: str, n: Node, row: tuple) -> int | None:
-    """1 markup, 0 plain text, None where the rules of the languages leave a doubt."""
-    known, paired, attributes, before, after, first, last = row[1:8]
+# Languages, and the families whose nodes, where they can be read whole, show that a text is written in one.
+HTML, MARKDOWN, WIKI, TEX = "html", "markdown", "wiki", "tex"
+_LANGUAGE = {TAG: HTML, ESCAPED: HTML, COMMENT: HTML, ENTITY: HTML, LINK: MARKDOWN, FENCE: MARKDOWN, TICKS: MARKDOWN, STRONG: MARKDOWN, EM: MARKDOWN, RULE: MARKDOWN, HASHES: MARKDOWN, BULLET: MARKDOWN, QUOTE: MARKDOWN, INDENT: MARKDOWN, DEFINITION: MARKDOWN} | {
+    WIKI_LINK: WIKI, WIKI_QUOTE: WIKI, TEMPLATE: WIKI, BRACES: WIKI, EQUALS: WIKI, CELL: WIKI, COMMAND: TEX, GROUP: TEX, DOLLARS: TEX, BRACKETS: TEX, BREAK: TEX, ENVIRONMENT: TEX
+}
+_WORD_PAIR = re.compile(r"(?<![\\\w])[^\W\d_]{3,} +[^\W\d_]{2,}|(?<![\\\w])[^\W\d_]{2,} +[^\W\d_]{3,}")
+_SIGNS = re.compile(r"[=^_+*/<>-]|\\[A-Za-z]+")
+
+
+def reads_as_formula(inner: str) -> bool | None:
+    """Whether the text between formula marks can be read as one; None where it may be."""
+    bare = re.sub(r"\\(?:text|mathrm|operatorname|mbox)\{[^{}]*\}", "x", inner)
+    if _WORD_PAIR.search(bare) or bare != bare.strip(" ") and not _SIGNS.search(bare):
+        return False
+    return True if _SIGNS.search(bare) else None
+
+
+def certain_languages(text: str, nodes: list[Node]) -> dict[str, set[int]]:
+    """The families of each language of which a node in the text was read whole: begun, ended, and with a target or arguments."""
+    out: dict[str, set[int]] = {HTML: set(), MARKDOWN: set(), WIKI: set(), TEX: set()}
+    for n in nodes:
+        f = n.family
+        whole = n.paired and (
+            f in (COMMENT, FENCE, WIKI_LINK, ENVIRONMENT, BRACES, DEFINITION)
+            or (f in (TAG, ESCAPED) and n.name not in _VOID and n.end - n.inner[1] > 2)
+            or (f == LINK and bool(re.search(r"[/.#]", text[n.inner[1] : n.end])))
+            or (f == COMMAND and n.end > n.inner[1])
+            or (f == TEMPLATE and n.name[:1].isalpha())
+            or (f in (BRACKETS, DOLLARS) and bool(reads_as_formula(text[slice(*n.inner)])))
+            or (f == HASHES and n.run == 1)
+            or f == EQUALS
+        )
+        if whole:
+            out[_LANGUAGE[f]].add(f)
+    return out
+
+
+def evidence_label(text: str, n: Node, certain: dict[str, set[int]], paired_share: dict[str, float]) -> int | None:
+    """1 markup, 0 plain text, None where there is no evidence beyond the node itself.
+
+    Evidence: the end of an element was found in the text, or its name is one
+    that is ended elsewhere (``paired_share``); a formula, target, entity or
+    environment can be read; other families of the node's language were read
+    whole in the same text.
+    """
     f = n.family
+    mine = certain[_LANGUAGE[f]]
     if f in (TAG, ESCAPED):
-        if not known:
-            return 0
-        return 1 if attributes != 7 and before != 3 else None
-    if f in (COMMENT, FENCE, LINK, WIKI_LINK, ENVIRONMENT, BRACKETS, BRACES):
+        if n.paired:
+            return 1 if n.name in _VOID or not n.attributes or _ATTRIBUTES.match(n.attributes) else None
+        if n.name in _OPEN_ENDED and mine:
+            return 1
+        return None if paired_share.get(n.name, 0.0) >= 0.5 else 0
+    if f in (DOLLARS, BRACKETS):
+        found = reads_as_formula(text[slice(*n.inner)])
+        return None if found is None else int(found)
+    if f in (COMMENT, ENTITY, WIKI_LINK, ENVIRONMENT, DEFINITION):
         return 1
-    if f == ENTITY:
-        return 1 if known else 0
-    if f == TICKS:
-        return 1 if row[18] or row[14] or before == 0 else None
-    if f in (STRONG, EM):
-        if before in (1, 3) or after in (1, 3):
-            return 0
-        return 1 if first in (1, 2) and last in (1, 2) and row[8] < 12 else None
-    if f == WIKI_QUOTE:
-        return 1 if before != 1 and first == 1 else 0 if before == 1 else None
+    if f in (FENCE, BRACES):
+        return 1 if n.paired else None
+    if f == LINK:
+        return 1 if f in mine else None
     if f == TEMPLATE:
-        return 1 if row[18] else 0
+        return 1 if n.name[:1].isalpha() else 0
     if f in (COMMAND, GROUP):
-        if before in (1, 3) or text[n.start - 1 : n.start] == ":":
-            return 0
-        return 1 if known else None
-    if f == DOLLARS:
-        if first == 0 or last == 0 or (n.name == "$" and row[15] and not row[14]):
-            return 0 if n.name == "$" else 1
-        return 1 if row[14] > 0 else None
-    if f == BREAK:
-        return 1
-    if f == BULLET:
-        return 1 if n.run > 1 else None
-    if f in (HASHES, EQUALS):
-        return 1 if paired else 0
-    if f == RULE:
-        return 1 if paired else None
-    return None
+        if n.end > n.inner[1] and n.inner[1] > n.inner[0]:
+            return 1
+        return None if mine - {f} or f in mine else 0
+    if f in (EM, STRONG) and re.match(r"\w", text[n.end : n.end + 1] or " ") and re.match(r"\w", text[n.start - 1 : n.start] or " "):
+        return 0  # cuts a word in two
+    return 1 if mine - {f} else None
 
 
 @dataclass
@@ -397,13 +541,19 @@ class MarkupModel:
 _NOT_IN_CODE = frozenset((TICKS, STRONG, EM, LINK, WIKI_LINK, WIKI_QUOTE, TEMPLATE, COMMAND, GROUP, DOLLARS, BRACKETS, BREAK, RULE, HASHES, EQUALS, BULLET, INDENT, QUOTE, CELL, FENCE, BRACES))
 
 
+def _log_odds_parts(o: float) -> tuple[float, float]:
+    """Log probabilities of yes and no."""
+    return min(0.0, o) - math.log1p(math.exp(-abs(o))), min(0.0, -o) - math.log1p(math.exp(-abs(o)))
+
+
 def decode(roots: list[Node], odds: dict[int, float]) -> list[Node]:
     """The most likely choice of markup nodes that has no contradiction between a node and its descendants.
 
-    ``odds``: log odds by id of the node. A node chosen as code or formula
-    forbids the marks of other languages below it.
+    ``odds``: log odds by id of the node, given that no code or formula is around
+    it. A node chosen as code or formula settles that the marks of other
+    languages below it are text; of all choices the most probable is taken.
     """
-    best: dict[int, tuple[float, float]] = {}  # id -> gain over all plain, free and within code
+    best: dict[int, tuple[float, float]] = {}  # id -> log probability of the best choice below and at a node, free and within code
 
     order: list[Node] = []
     stack = list(roots)
@@ -412,11 +562,11 @@ def decode(roots: list[Node], odds: dict[int, float]) -> list[Node]:
         order.append(n)
         stack += n.children
     for n in reversed(order):
-        o = odds[id(n)]
+        yes, no = _log_odds_parts(odds[id(n)])
         free = sum(best[id(c)][0] for c in n.children)
         closed = sum(best[id(c)][1] for c in n.children)
         below = closed if n.kind in ("code", "formula") else free
-        best[id(n)] = (max(o + below, free), closed if n.family in _NOT_IN_CODE else max(o + closed, closed))
+        best[id(n)] = (max(yes + below, no + free), closed if n.family in _NOT_IN_CODE else max(yes, no) + closed)
     chosen: list[Node] = []
     todo = [(n, False) for n in roots]
     while todo:
@@ -428,7 +578,8 @@ def decode(roots: list[Node], odds: dict[int, float]) -> list[Node]:
             free = sum(best[id(c)][0] for c in n.children)
             closed = sum(best[id(c)][1] for c in n.children)
             hides = n.kind in ("code", "formula")
-            take = o + (closed if hides else free) > free
+            yes, no = _log_odds_parts(o)
+            take = yes + (closed if hides else free) > no + free
             deeper = take and hides
         if take:
             chosen.append(n)
@@ -444,7 +595,7 @@ def read(texts: list[str | None], model: MarkupModel) -> list[list[Node]]:
         roots = link(nodes)
         trees.append((roots, nodes))
         if nodes:
-            rows += features(t, nodes)
+            rows += features(t, roots, nodes)
     odds = model.trees.log_odds(np.array(rows, float).reshape(-1, FEATURES))
     out, at = [], 0
     for roots, nodes in trees:
@@ -457,6 +608,18 @@ def read(texts: list[str | None], model: MarkupModel) -> list[list[Node]]:
     return out
 
 
+def _within_code(roots: list[Node]) -> set[int]:
+    """Ids of the nodes below a code or formula node that was read whole."""
+    out: set[int] = set()
+    todo = [(n, False) for n in roots]
+    while todo:
+        n, inside = todo.pop()
+        if inside and n.family in _NOT_IN_CODE:
+            out.add(id(n))
+        todo += [(c, inside or (n.paired and n.kind in ("code", "formula"))) for c in n.children]
+    return out
+
+
 def kinds(chosen: list[Node]) -> list[str]:
     """What the markup expresses: of KINDS, or ``inline`` if none; empty without markup."""
     found = {n.kind for n in chosen}
@@ -469,6 +632,9 @@ def _edits(n: Node) -> tuple:
         return n.edits
     (a, b, first), (c, d, last) = n.edits[:2]
     parts = [x for x in n.children if x.family == n.family and len(x.edits) == 2]
+    if n.name == "ol":
+        for i, x in enumerate((x for x in n.children if x.name == "li" and x.family == n.family), 1):
+            x.edits = ((*x.edits[0][:2], f"\n{i}. "), *x.edits[1:])
     if n.name == "pre":  # a block of code within a block is one block
         for x in parts:
             if x.name == "code":
@@ -500,7 +666,7 @@ def clean(text: str | None, chosen: list[Node]) -> str | None:
             continue
         piece = text[at:start]
         end = piece[-1:] or end
-        if end == "\n" and instead[:1] == "\n":
+        if end == "\n" and instead[:1] in ("\n", "\t"):
             instead = instead[1:]
         out += (piece, instead)
         end = instead[-1:] or end
@@ -510,16 +676,24 @@ def clean(text: str | None, chosen: list[Node]) -> str | None:
 
 
 def fit(texts: list[str | None]) -> MarkupModel:
-    """Trees for the nodes of ``texts`` that the rules are sure of; every eighth text is kept for the report."""
+    """Trees for the nodes of ``texts`` for which there is evidence; every eighth text is kept for the report."""
+    read_texts = [(t, nodes) for t in texts if t and (nodes := nodes_of(t))]
+    pairs: dict[str, list[int]] = {}
+    for _, nodes in read_texts:
+        for n in nodes:
+            if n.family in (TAG, ESCAPED):
+                seen = pairs.setdefault(n.name, [0, 0])
+                seen[0] += n.paired
+                seen[1] += 1
+    share = {k: a / b for k, (a, b) in pairs.items()}
     x, y, held = [], [], []
-    for i, t in enumerate(texts):
-        nodes = nodes_of(t) if t else []
-        if not nodes:
-            continue
-        link(nodes)
-        for n, row in zip(nodes, features(t, nodes)):
-            label = rule_label(t, n, row)
-            if label is not None:
+    for i, (t, nodes) in enumerate(read_texts):
+        roots = link(nodes)
+        certain = certain_languages(t, nodes)
+        within = _within_code(roots)
+        for n, row in zip(nodes, features(t, roots, nodes)):
+            label = evidence_label(t, n, certain, share)
+            if label is not None and id(n) not in within:  # odds are those of nodes with no code around them
                 x.append(row)
                 y.append(label)
                 held.append(i % 8 == 0)
@@ -528,23 +702,20 @@ def fit(texts: list[str | None]) -> MarkupModel:
         return MarkupModel(Boosted([np.zeros(0)] * FEATURES, np.zeros((0, 15), np.int64), np.zeros((0, 15), np.int64), np.zeros((0, 16)), base), {"nodes": len(y)})
     x, y, held = np.array(x, float), np.array(y, float), np.array(held)
     use = ~held if 0 < y[~held].mean() < 1 else np.ones(len(y), bool)
-    share = y[use].mean()
-    trees = train_boosted(x[use], y[use], np.where(y[use] > 0, 0.5 / share, 0.5 / (1 - share)))
-    report = {"nodes": int(use.sum()), "markup_share": float(share)}
+    mean = y[use].mean()
+    trees = train_boosted(x[use], y[use], np.where(y[use] > 0, 0.5 / mean, 0.5 / (1 - mean)))
+    report = {"nodes": int(use.sum()), "markup_share": float(mean)}
     if held.any():
-        report |= {"held_nodes": int(held.sum()), "held_accuracy": float(((trees.log_odds(x[held]) > 0) == (y[held] > 0)).mean())}
+        got, want = trees.log_odds(x[held]) > 0, y[held] > 0
+        report |= {"held_nodes": int(held.sum()), "held_accuracy": float((got == want).mean())}
+        report |= {f"held_recall_{k}": float((got[want == v] == v).mean()) for k, v in (("plain", False), ("markup", True)) if (want == v).any()}
     return MarkupModel(trees, report)
 
 
 def training_texts(frames: list[tuple[DataFrame, str, str]]) -> list[str]:
-    """About TRAIN_TEXTS texts of all (table, identifier, text column), chosen by a hash of the identifier; never more than twice as many."""
-    texts = None
-    for df, key, column in frames:
-        one = df.select(df[f"`{column}`"].alias("text"), F.pmod(F.xxhash64(df[f"`{key}`"]), F.lit(1 << 20)).alias("h")).where(F.length("text") > 0)
-        texts = one if texts is None else texts.unionAll(one)
-    share = min(1.0, TRAIN_TEXTS / max(1, texts.count()))
-    picked = texts.where(F.col("h") < int(share * (1 << 20))).orderBy("h", "text").limit(2 * TRAIN_TEXTS)
-    return [r["text"] for r in picked.select("text").collect()]
+    """About TRAIN_TEXTS texts of all (table, identifier, text column), chosen by a hash of the text; never more than twice as many."""
+    texts = reduce(DataFrame.unionAll, (df.select(df[f"`{column}`"].alias("text")) for df, _, column in frames))
+    return [r["text"] for r in hash_sample(texts, "text", TRAIN_TEXTS)[0]]
 
 
 def _mapped(df: DataFrame, id_col: str, text_col: str, model: MarkupModel | None, schema: str, emit) -> DataFrame:
