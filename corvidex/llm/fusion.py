@@ -18,6 +18,10 @@ from pyspark.sql.window import Window
 from corvidex.session import durable
 
 
+#: Share of all rows from which on a value's rank is broadcast.
+HOT_SHARE = 1e-3
+
+
 def sums_before(df: DataFrame, group: list[str], order: list[Column], weight: Column, name: str) -> DataFrame:
     """``df`` with column ``name``: the sum of ``weight`` over the rows of the group that come earlier.
 
@@ -75,7 +79,7 @@ def median_rank(items: DataFrame, group: str, item: str, scores: dict[str, float
     values = sums_before(values, key, order, F.col("n"), "before").withColumn(
         "rank", F.when(F.col("missing"), F.col("before") + F.col("n") + 1.0).otherwise(F.col("before") + (F.col("n") + 1) / 2.0)
     )
-    ranked = long.join(values.select(*key, "missing", "value", "rank"), [*key, "missing", "value"])
+    ranked = _with_ranks(long, values.select(*key, "missing", "value", "n", "rank"), [*key, "missing", "value"])
     wide = ranked.groupBy("gk", "gn", "g", "item").agg(*(F.max(F.when(F.col("score") == i, F.col("rank"))).alias(f"r{i}") for i in range(len(names))))
     ranks, weights = [F.col(f"r{i}") for i in range(len(names))], list(scores.values())
     mean = reduce(lambda a, b: a + b, (r * F.lit(float(w)) for r, w in zip(ranks, weights))) / F.lit(float(sum(weights)))
@@ -84,6 +88,22 @@ def median_rank(items: DataFrame, group: str, item: str, scores: dict[str, float
     return placed.select(F.col("g").alias(group), F.col("item").alias(item), "median_rank", "mean_rank", (F.col("earlier") + 1).alias("position"))
 
 
+def _with_ranks(long: DataFrame, values: DataFrame, keys: list[str]) -> DataFrame:
+    """``long`` with the rank of each row's value.
+
+    A value may be that of most rows of a group (a missing score, a zero). Values
+    with at least HOT_SHARE of all rows are at most 1 / HOT_SHARE and are
+    broadcast; their rows are then spread by item through the join by value, in
+    which they find nothing.
+    """
+    values = durable(values)
+    rows = values.agg(F.sum("n")).first()[0] or 0
+    hot = F.broadcast(values.where(F.col("n") >= F.lit(max(1.0, rows * HOT_SHARE))).select(*keys, F.col("rank").alias("hot_rank")))
+    spread = F.when(F.col("hot_rank").isNotNull(), 1 + F.pmod(F.xxhash64("item"), F.lit(1 << 16))).otherwise(F.lit(0))
+    marked = long.join(hot, keys, "left").withColumn("spread_", spread)
+    return marked.join(values.select(*keys, "rank").withColumn("spread_", F.lit(0).cast("bigint")), [*keys, "spread_"], "left").withColumn("rank", F.coalesce("hot_rank", "rank")).drop("hot_rank", "spread_")
+
+
 def result_scores(scored: DataFrame, knowledge: DataFrame) -> DataFrame:
     """(query_id, doc_id, score, pagerank, numviews, vote): each result counted once, vote of the newest answer.
 

@@ -9,12 +9,16 @@ into the term below. One sort gives the counts of n-grams of every length.
 
 A first term may be most of the collection, so the route is the first term and
 a bucket of the record: record sets of different buckets are disjoint, so the
-partial results, one row per n-gram and bucket, simply add up.
+partial results, one row per n-gram and bucket, simply add up. Rows of equal
+suffixes come sorted by record, so that records of single terms are counted by
+their changes; only prefixes that longer n-grams flow into keep record sets, and
+the number of buckets grows with the rows, so that a set stays small.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -22,6 +26,8 @@ from pyspark.sql import functions as F
 
 from corvidex.session import ship
 
+#: Rows of lists a bucket gets on average; no record set within it is larger.
+BUCKET_RECORDS = 200_000
 #: Characters trimmed around a value.
 BLANKS = " \t\r\n"
 
@@ -31,10 +37,35 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{Nd}]+)"), F.lit(1))
 
 
+def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``stacked`` for suffixes of one term: nothing flows together, so records are counted by their changes."""
+    names = ["field", "gram", "total", "records"]
+    where: tuple | None = None
+    total = records = 0
+    last: object = None
+    for batch in batches:
+        out: list[tuple] = []
+        for field, bucket, suffix, record in zip(*(batch.column(c).to_pylist() for c in ("field", "bucket", "suffix", "record"))):
+            key = (field, bucket, suffix[0])
+            if key != where:
+                if where is not None:
+                    out.append((where[0], [where[2]], total, records))
+                where, total, records, last = key, 0, 0, _NONE
+            total += 1
+            records += last is _NONE or record != last
+            last = record
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else ((),) * 4, _KINDS)], names=names)
+    if where is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip((where[0], [where[2]], total, records), _KINDS)], names=names)
+
+
+_NONE = object()
+_KINDS = [pa.string(), pa.list_(pa.string()), pa.int64(), pa.int64()]
+
+
 def stacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of all prefixes of suffixes that come sorted by field, bucket and descending suffix."""
     names = ["field", "gram", "total", "records"]
-    kinds = [pa.string(), pa.list_(pa.string()), pa.int64(), pa.int64()]
     out: list[tuple] = []
     where: tuple = (None, None)
     path: list[str] = []
@@ -54,7 +85,7 @@ def stacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def flush() -> Iterator[pa.RecordBatch]:
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), _KINDS)], names=names)
             out.clear()
 
     for batch in batches:
@@ -94,7 +125,8 @@ def ngram_counts(lists: DataFrame, longest: int = 1, buckets: int | None = None)
     if longest < 1:
         raise ValueError("longest must be at least 1")
     ship(spark)
-    buckets = buckets or max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    if not buckets:
+        buckets = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")), lists.count() // BUCKET_RECORDS if longest > 1 else 0)
     terms = F.filter("terms", lambda t: t.isNotNull())
     suffixes = (
         lists.select("field", "record", terms.alias("terms"))
@@ -102,8 +134,8 @@ def ngram_counts(lists: DataFrame, longest: int = 1, buckets: int | None = None)
         .select("field", "record", F.explode(F.transform("terms", lambda t, i: F.slice("terms", i + 1, longest))).alias("suffix"))
         .withColumn("bucket", F.pmod(F.xxhash64("record"), F.lit(buckets)).cast("int"))
     )
-    routed = suffixes.repartition("field", F.col("suffix")[0], "bucket").sortWithinPartitions("field", "bucket", F.desc("suffix"))
-    partial = routed.mapInArrow(stacked, "field string, gram array<string>, total bigint, records bigint")
+    routed = suffixes.repartition("field", F.col("suffix")[0], "bucket").sortWithinPartitions("field", "bucket", F.desc("suffix"), "record")
+    partial = routed.mapInArrow(single if longest == 1 else stacked, "field string, gram array<string>, total bigint, records bigint")
     return partial.groupBy("field", "gram").agg(F.sum("total").alias("total"), F.sum("records").alias("records"))
 
 
@@ -139,6 +171,7 @@ def marked_terms(lists: DataFrame, longest: int = 1, common_share: float = 0.1,
     """
     sizes = lists.groupBy("field").agg(F.count_distinct("record").alias("all_records"))
     counts = ngram_counts(lists, longest)
-    mark = F.when(F.col("records") * round(1 / common_share) > F.col("all_records"), "common").when(F.col("records") <= rare_records, "rare")
+    share = Fraction(str(common_share))  # compared as whole numbers
+    mark = F.when(F.col("records") * share.denominator > F.col("all_records") * share.numerator, "common").when(F.col("records") <= rare_records, "rare")
     # one row per field: as many as the caller names, a handful
     return counts.join(F.broadcast(sizes), "field").select("field", "gram", "total", "records", mark.alias("mark"))

@@ -3,7 +3,9 @@
 The plan is made from the histogram of lengths alone, whose size is bounded by
 the capacity: shallow combinations of lengths that fill a container up to a
 small window are enumerated, non-negative least squares finds how often each is
-to be repeated so that together they use up the histogram, the repeats are
+to be repeated so that together they use up the histogram. Which combinations
+are tried is settled by rounds of pricing: those are added that use up most of
+what the last solution left over. The repeats are
 rounded down, and what is left is packed greedily, largest first, into the room
 that is left, then into new containers. The plan is a list of groups (lengths of
 a container, number of such containers). Rows then find their place by their
@@ -29,55 +31,104 @@ from corvidex.session import durable, ship
 DEPTH = 3
 #: Free tokens that an enumerated combination may leave, as a share of the capacity.
 WINDOW = 1 / 256
-#: Combinations the solver considers at most; further lengths are simply left to the greedy part.
-MAX_COMBINATIONS = 60_000
+#: Rounds of pricing, the best beginnings that are looked at in each, and the fillings kept of each.
+ROUNDS, BEGINNINGS, FILLINGS = 4, 512, 16
 #: Rows a bucket gets on average where all rows have one length, and the bounds of the number of buckets.
 BUCKET_ROWS, MIN_BUCKETS, MAX_BUCKETS = 100_000, 64, 1 << 16
 
 
-def combinations(hist: np.ndarray, window: int, limit: int = MAX_COMBINATIONS) -> tuple[np.ndarray, np.ndarray]:
-    """(lengths, times): rows of up to DEPTH lengths and how often each is used in a container.
+def beginnings(hist: np.ndarray) -> np.ndarray:
+    """(length, times): every length that occurs, with each number of times worth trying in a container."""
+    cap = len(hist) - 1
+    a = np.flatnonzero(hist[1:]) + 1
+    fits = cap // a
+    times = np.stack([np.full(len(a), 1), np.full(len(a), 2), np.full(len(a), 3), np.maximum(1, fits // 2), np.maximum(1, fits - 1), fits])
+    rows = np.stack([np.tile(a, len(times)), times.ravel()], 1)
+    rows = rows[(rows[:, 1] <= cap // rows[:, 0]) & (rows[:, 1] <= hist[rows[:, 0]])]
+    return np.unique(rows, axis=0)
 
-    ``hist[n]`` is the number of items of length n, ``len(hist) - 1`` the
-    capacity. For every length a that occurs and multiplicities m of it, the
-    rest of the container is filled by one length, or by a length b of an even
-    choice among those that occur and the longest occurring one that then fits.
-    Only rows that leave at most ``window`` free are kept.
-    """
+
+def first_combinations(hist: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """(lengths, times): each beginning with the longest length that then fits, where at most ``window`` is left free."""
     cap = len(hist) - 1
-    present = np.flatnonzero(hist)
-    present = present[present > 0]
-    if not len(present):
-        return np.zeros((0, DEPTH), np.int64), np.zeros((0, DEPTH), np.int64)
-    longest = np.zeros(cap + 1, np.int64)  # the longest occurring length of at most n
-    longest[present] = present
+    begin = beginnings(hist)
+    longest = np.where(hist > 0, np.arange(cap + 1), 0)
+    longest[0] = 0
     longest = np.maximum.accumulate(longest)
-    times_of = {a: sorted({1, 2, 3, max(1, cap // (2 * a)), max(1, cap // a - 1), max(1, cap // a)} & set(range(1, cap // a + 1))) for a in map(int, present)}
-    starts = np.array([(a, m) for a, ms in times_of.items() for m in ms if m <= hist[a]], np.int64).reshape(-1, 2)
-    if not len(starts):
+    room = cap - begin[:, 0] * begin[:, 1]
+    rest = longest[room]
+    ok = room - rest <= window
+    lengths = np.stack([begin[:, 0], rest, np.zeros(len(begin), np.int64)], 1)[ok]
+    return lengths, np.stack([begin[:, 1][ok], lengths[:, 1] > 0, np.zeros(len(lengths), np.int64)], 1).astype(np.int64)
+
+
+def priced_combinations(hist: np.ndarray, window: int, price: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(lengths, times): the combinations that use up most of what is left over, ``price`` being the residual of each length.
+
+    The BEGINNINGS best of all beginnings are filled with every length that
+    occurs and the best third length within the window; the FILLINGS best of each
+    are given. No length is left out: one that is short of use has a high price
+    and comes first in a later round.
+    """
+    cap = len(hist) - 1
+    begin = beginnings(hist)
+    if not len(begin):
         return np.zeros((0, DEPTH), np.int64), np.zeros((0, DEPTH), np.int64)
-    step = max(1, len(present) * len(starts) // limit)
-    seconds = np.concatenate([[0], present[:: max(1, step)]])
-    a, m = np.repeat(starts[:, 0], len(seconds)), np.repeat(starts[:, 1], len(seconds))
-    b = np.tile(seconds, len(starts))
-    room = cap - a * m - b
-    ok = room >= 0
-    a, m, b, room = a[ok], m[ok], b[ok], room[ok]
-    c = longest[room]
-    ok = room - c <= window
-    rows = np.stack([a, b, c], 1)[ok]
-    times = np.stack([m[ok], rows[:, 1] > 0, rows[:, 2] > 0], 1).astype(np.int64)
-    if not len(rows):
-        return rows, times
-    key = np.unique(np.concatenate([rows, times], 1), axis=0)
-    return key[:, :DEPTH], key[:, DEPTH:]
-
-
-def solve_counts(hist: np.ndarray, lengths: np.ndarray, times: np.ndarray, rounds: int = 300) -> np.ndarray:
-    """Non-negative repeats x with least sum over lengths of (used - available)^2.
-
-    Accelerated projected gradient; the matrix has DEPTH entries a column and is
-    never written out.
+    gain = begin[:, 1] * price[begin[:, 0]]
+    best = begin[np.argsort(-gain, kind="stable")[:BEGINNINGS]]
+    seconds = np.concatenate([[0], np.flatnonzero(hist[1:]) + 1])
+    worth = np.where(hist > 0, price, -np.inf)
+    worth[0] = -np.inf
+    # the best third length for each room: the dearest of those that leave at most ``window``
+    padded = np.concatenate([np.full(window, -np.inf), worth])
+    view = np.lib.stride_tricks.sliding_window_view(padded, window + 1)
+    at = view.argmax(axis=1)
+    third, third_worth = np.arange(cap + 1) - window + at, view[np.arange(cap + 1), at]
+    none = (np.arange(cap + 1) <= window) & (third_worth < 0)
+    third, third_worth = np.where(none | ~np.isfinite(third_worth), 0, third), np.where(none, 0.0, third_worth)
+    second_worth = np.where(seconds > 0, price[seconds], 0.0)
+    out = []
+    for a, m in best:
+        room = cap - a * m - seconds
+        ok = np.flatnonzero(room >= 0)
+        total = second_worth[ok] + third_worth[room[ok]]
+        ok, total = ok[np.isfinite(total)], total[np.isfinite(total)]
+        for i in ok[np.argpartition(-total, FILLINGS - 1)[:FILLINGS]] if len(ok) > FILLINGS else ok:
+            out.append((a, seconds[i], third[room[i]], m))
+    rows = np.array(out, np.int64).reshape(-1, 4)
+    lengths = rows[:, :3]
+    return lengths, np.stack([rows[:, 3], lengths[:, 1] > 0, lengths[:, 2] > 0], 1).astype(np.int64)
+
+
+def solved_combinations(hist: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(lengths, times, repeats) by column generation: solve, price by the residual, add the best combinations, solve again."""
+    window = max(1, int((len(hist) - 1) * WINDOW))
+    target = hist.astype(float)
+    target[0] = 0
+    lengths, times = first_combinations(hist, window)
+    x = solve_counts(hist, lengths, times)
+    for _ in range(ROUNDS):
+        used = sum(np.bincount(lengths[:, j], weights=times[:, j] * x, minlength=len(hist)) for j in range(DEPTH)) if len(x) else np.zeros(len(hist))
+        price = target - used
+        price[0] = 0
+        if price.max(initial=0.0) < 0.5:  # less than an item of any length is left
+            break
+        more, more_times = priced_combinations(hist, window, price)
+        rows = np.concatenate([np.concatenate([lengths, times], 1), np.concatenate([more, more_times], 1)])
+        rows, first = np.unique(rows, axis=0, return_index=True)
+        x = np.concatenate([x, np.zeros(len(more))])[first]
+        lengths, times = rows[:, :DEPTH], rows[:, DEPTH:]
+        x = solve_counts(hist, lengths, times, start=x)
+    return lengths, times, x
+
+
+def solve_counts(hist: np.ndarray, lengths: np.ndarray, times: np.ndarray, rounds: int = 120, start: np.ndarray | None = None) -> np.ndarray:
+    """Non-negative repeats x with least sum over lengths n of n * (used - available)^2.
+
+    Long items weigh more: what is left over of them needs containers of its own.
+
+    Accelerated projected gradient from ``start``; the matrix has DEPTH entries a
+    column and is never written out.
     """
     if not len(lengths):
         return np.zeros(0)
@@ -92,7 +143,10 @@ def solve_counts(hist: np.ndarray, lengths: np.ndarray, times: np.ndarray, round
     def forward(x: np.ndarray) -> np.ndarray:
         return sum(np.bincount(lengths[:, j], weights=t[:, j] * x, minlength=n) for j in range(lengths.shape[1]))
 
+    weight = np.arange(n) / max(1, n - 1)
+
     def back(r: np.ndarray) -> np.ndarray:
+        r = weight * r
         return sum(t[:, j] * r[lengths[:, j]] for j in range(lengths.shape[1]))
 
     v = np.ones(len(lengths))
@@ -100,7 +154,7 @@ def solve_counts(hist: np.ndarray, lengths: np.ndarray, times: np.ndarray, round
         v = back(forward(v))
         norm = np.linalg.norm(v)
         v /= norm
-    x = y = np.zeros(len(lengths))
+    x = y = np.zeros(len(lengths)) if start is None else start / scale
     s = 1.0
     for _ in range(rounds):
         nxt = np.maximum(0, y - back(forward(y) - target) / (norm * 1.05))
@@ -114,14 +168,16 @@ def plan_containers(hist: np.ndarray) -> list[tuple[int, list[tuple[int, int]]]]
     """Groups (number of containers, [(length, times in each)]) that use ``hist`` up exactly.
 
     ``hist[n]``: items of length n, for n up to the capacity ``len(hist) - 1``.
-    Items of length 0 take no room and are not planned.
+    Items of length 0 take no room and are not planned. Where rounding leaves so
+    much over that the greedy part would need fewer containers if it packed
+    everything (few items of each of many lengths), its plan is taken.
     """
     cap = len(hist) - 1
     left = hist.astype(np.int64).copy()
     left[0] = 0
+    everything = left.copy()
     groups: list[list] = []  # [count, content, free]
-    lengths, times = combinations(left, max(1, int(cap * WINDOW)))
-    x = solve_counts(left, lengths, times)
+    lengths, times, x = solved_combinations(left)
     for i in np.argsort(-x, kind="stable"):
         if x[i] < 1:
             break
@@ -134,7 +190,16 @@ def plan_containers(hist: np.ndarray) -> list[tuple[int, list[tuple[int, int]]]]
             for n, k in merged.items():
                 left[n] -= k * count
             groups.append([count, tuple(merged.items()), cap - sum(n * k for n, k in merged.items())])
-    # what is left, largest first, to the tightest room it fits
+    plan = _greedy(groups, left)
+    least = max(int(everything[cap // 2 + 1 :].sum()), -(-int(everything @ np.arange(cap + 1)) // cap))
+    if sum(n for n, _ in plan) > least:
+        plan = min(plan, _greedy([], everything), key=lambda p: sum(n for n, _ in p))
+    return plan
+
+
+def _greedy(groups: list, left: np.ndarray) -> list[tuple[int, list[tuple[int, int]]]]:
+    """``groups`` with the items of ``left`` put in, largest first, to the tightest room they fit, else to new containers."""
+    cap = len(left) - 1
     by_free: dict[int, list[tuple[int, tuple]]] = defaultdict(list)
     frees: list[int] = []
 

@@ -37,14 +37,33 @@ def test_little_room_is_left():
 def test_least_squares_finds_a_perfect_packing():
     hist = np.zeros(101, np.int64)
     hist[[70, 30, 50, 25]] = [40, 40, 30, 60]
-    lengths, times = packing.combinations(hist, 0)
-    assert len(lengths) and all((row * t).sum() == 100 for row, t in zip(lengths, times))
-    x = packing.solve_counts(hist, lengths, times)
+    lengths, times, x = packing.solved_combinations(hist)
+    assert len(lengths) and all(99 <= (row * t).sum() <= 100 for row, t in zip(lengths, times))
     used = sum(np.bincount(lengths[:, j], weights=times[:, j] * x, minlength=101) for j in range(packing.DEPTH))
     assert (x >= 0).all() and np.abs(used[1:] - hist[1:]).max() < 1
     assert sum(c for c, _ in packing.plan_containers(hist)) == hist @ np.arange(101) / 100
 
 
+@pytest.mark.parametrize("capacity", [8192, 32768])
+@pytest.mark.parametrize("shape", ["flat", "long"])
+def test_full_histograms(capacity, shape):
+    """Thousands of different lengths: no length is left out, and hardly any room."""
+    rng = np.random.default_rng(5)
+    sizes = rng.integers(1, capacity + 1, 60_000) if shape == "flat" else np.minimum(rng.lognormal(np.log(capacity) - 2.5, 1.2, 60_000).astype(int) + 1, capacity)
+    hist = np.bincount(sizes, minlength=capacity + 1)
+    used: Counter = Counter()
+    containers = 0
+    for count, content in packing.plan_containers(hist):
+        containers += count
+        assert sum(n * k for n, k in content) <= capacity
+        for n, k in content:
+            used[n] += count * k
+    assert used == Counter({n: int(c) for n, c in enumerate(hist) if n and c})
+    # items over half the capacity can't share a container, and everything needs its room
+    least = max(int((sizes > capacity / 2).sum()), -(-int(sizes.sum()) // capacity))
+    assert containers <= least * (1.001 if shape == "long" else 1.002) + 1
+
+
 SPECS = [(1, "byte_bpe_50k", 16), (2, "byte_bpe_50k", 64), (3, "byte_bpe_multi_50k", 16)]
 
 
