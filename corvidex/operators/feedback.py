@@ -20,7 +20,7 @@ def expansion_terms(index: Index, query: Query, name: str = "favorite", num_docs
     """
     best = page(ranker(name)(index, query), num_docs).select("doc_id")
     left_out = sorted(EXPANSION_STOP_WORDS | (set() if include_query else set(query.terms)))
-    counts = index.term_doc.join(F.broadcast(best), "doc_id", "left_semi").where(~F.col("term").isin(left_out)).groupBy("term").agg(F.sum("tf").alias("tf"))
+    counts = index.by_document().join(F.broadcast(best), "doc_id", "left_semi").where(~F.col("term").isin(left_out)).groupBy("term").agg(F.sum("tf").alias("tf"))
     top = counts.orderBy(F.desc("tf"), F.asc("term")).limit(num_terms)
     # a handful of rows: their sum needs one partition
     return top.select("term", (F.col("tf") / F.sum("tf").over(Window.partitionBy(F.lit(1)))).alias("prob"))

@@ -16,20 +16,30 @@ from corvidex.functions.query import Query
 from corvidex.functions.text import plain_tokens, positions, raw_tokens
 from corvidex.session import durable
 
-TABLES = ("postings", "term_doc", "term_stats", "doc_stats")
+TABLES = ("postings", "term_doc", "term_stats", "doc_stats", "doc_terms", "totals")
+#: What is kept of a document beside its words.
+FEATURES = ("title", "url", "file_path", "name", "vote", "answer", "page_rank", "num_views")
 
 
 @dataclass
 class Index:
-    """postings(term, doc_id, pos), term_doc(term, doc_id, tf), term_stats(term, df, ctf), doc_stats(doc_id, length, ...)."""
+    """postings(term, doc_id, pos), term_doc(term, doc_id, tf), term_stats(term, df, ctf), doc_stats(doc_id, length, ...).
+
+    A written index also has ``forward``, the rows of term_doc laid out by
+    document, and ``totals``, its scalars.
+    """
 
     postings: DataFrame
     term_doc: DataFrame
     term_stats: DataFrame
     doc_stats: DataFrame
+    forward: DataFrame | None = None
+    totals: DataFrame | None = None
 
     def scalars(self) -> DataFrame:
         """One row: num_docs, total_terms."""
+        if self.totals is not None:
+            return self.totals
         return self.doc_stats.agg(F.count("*").alias("num_docs"), F.coalesce(F.sum("length"), F.lit(0)).cast("bigint").alias("total_terms"))
 
     def stats_of(self, terms: list[str]) -> DataFrame:
@@ -46,11 +56,15 @@ class Index:
         wanted = F.col("term").isin(terms) if terms else F.lit(False)
         term_doc = durable(self.term_doc.where(wanted))
         stats = term_doc.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("ctf"))
-        return Index(durable(self.postings.where(wanted)) if query.phrases else self.postings, term_doc, stats, self.doc_stats)
+        return Index(durable(self.postings.where(wanted)) if query.phrases else self.postings, term_doc, stats, self.doc_stats, self.forward, self.totals)
 
     def doc_terms(self, doc_id: int) -> DataFrame:
         """(term, tf) of one document; empty where there is none."""
-        return self.term_doc.where(F.col("doc_id") == doc_id).select("term", "tf")
+        return self.by_document().where(F.col("doc_id") == doc_id).select("term", "tf")
+
+    def by_document(self) -> DataFrame:
+        """The rows of term_doc to be looked up by document."""
+        return self.term_doc if self.forward is None else self.forward
 
     def doc(self, doc_id: int) -> DataFrame:
         return self.doc_stats.where(F.col("doc_id") == doc_id)
@@ -65,14 +79,14 @@ class Index:
 def build(docs: DataFrame, doc: str = "doc_id", text: str = "text", page_rank: DataFrame | None = None, num_views: DataFrame | None = None, key: str = "name") -> Index:
     """An index of ``docs``; every document has a row in doc_stats, even without words.
 
-    Columns title, url, name, vote and answer are kept in doc_stats if there.
+    Columns of FEATURES are kept in doc_stats if there.
     ``page_rank`` (name, pr) and ``num_views`` (name, views) are joined on
     ``key``; absent values are 0. An empty table gives empty tables.
     """
     postings = positions(docs, doc, text)
     term_doc = postings.groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
     term_stats = term_doc.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("ctf"))
-    lengths = docs.select(F.col(doc).alias("doc_id"), *(c for c in ("title", "url", "name", "vote", "answer", "page_rank", "num_views") if c in docs.columns), length_of(F.col(text)).alias("length"))
+    lengths = docs.select(F.col(doc).alias("doc_id"), *(c for c in FEATURES if c in docs.columns), length_of(F.col(text)).alias("length"))
     if page_rank is not None:
         lengths = lengths.join(page_rank.select(F.col("name").alias(key), F.col("pr").alias("page_rank")), key, "left").withColumn("page_rank", F.coalesce("page_rank", F.lit(0.0)))
     if num_views is not None:
@@ -91,13 +105,28 @@ def full_scan_documents(rows: DataFrame) -> DataFrame:
 
 
 def write(index: Index, path: str, partitions: int | None = None) -> None:
-    """The four tables as Parquet under ``path``, replacing what is there; postings sorted by term, doc and position."""
+    """The tables as Parquet under ``path``, replacing what is there.
+
+    The text is read once, for the postings; everything else is made from what is
+    already written. Postings and counts are sorted by term, so that terms prune
+    row groups, and counts a second time by document.
+    """
     spark = index.postings.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    index.postings.repartitionByRange(n, "term", "doc_id").sortWithinPartitions("term", "doc_id", "pos").write.mode("overwrite").parquet(f"{path}/postings")
-    index.term_doc.repartitionByRange(n, "term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/term_doc")
-    index.term_stats.repartitionByRange(n, "term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/term_stats")
-    index.doc_stats.write.mode("overwrite").parquet(f"{path}/doc_stats")
+
+    def put(rows: DataFrame, name: str, *order: str) -> DataFrame:
+        rows.repartitionByRange(n, *order[:2]).sortWithinPartitions(*order).write.mode("overwrite").parquet(f"{path}/{name}")
+        return spark.read.parquet(f"{path}/{name}")
+
+    postings = put(index.postings, "postings", "term", "doc_id", "pos")
+    term_doc = put(postings.groupBy("term", "doc_id").agg(F.count("*").alias("tf")), "term_doc", "term", "doc_id")
+    put(term_doc.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("ctf")), "term_stats", "term")
+    put(term_doc, "doc_terms", "doc_id", "term")
+    # every kept word is a posting, so lengths are counts; documents without words have none
+    lengths = term_doc.groupBy("doc_id").agg(F.sum("tf").alias("length"))
+    stats = index.doc_stats.drop("length").join(lengths, "doc_id", "left").withColumn("length", F.coalesce("length", F.lit(0)))
+    stats = put(stats, "doc_stats", "doc_id")
+    Index(postings, term_doc, term_doc, stats).scalars().write.mode("overwrite").parquet(f"{path}/totals")
 
 
 def load(spark: SparkSession, path: str) -> Index:

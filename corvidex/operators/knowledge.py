@@ -19,6 +19,7 @@ def qa_index(rows: DataFrame) -> Index:
         "doc_id",
         "title",
         "answer",
+        *(c for c in ("url", "file_path") if c in rows.columns),
         F.coalesce(F.col("vote").cast("bigint"), F.lit(0)).alias("vote"),
         F.coalesce(F.col("num_views").cast("bigint"), F.lit(0)).alias("num_views"),
         F.coalesce(F.nanvl(F.col("page_rank").cast("double"), F.lit(0.0)), F.lit(0.0)).alias("page_rank"),
@@ -34,4 +35,4 @@ def opens_gate(raw: str, tags: DataFrame) -> DataFrame:
 
 def newest(rows: DataFrame) -> DataFrame:
     """One row per knowledge_id of the knowledge table, whatever the number of deliveries."""
-    return rows.groupBy("knowledge_id").agg(*(F.max_by(c, "crawled_at").alias(c) for c in ("doc_id", "title", "knowledge", "pagerank", "numviews", "vote")))
+    return rows.groupBy("knowledge_id").agg(*(F.max_by(c, "crawled_at").alias(c) for c in ("doc_id", "title", "url", "filePath", "knowledge", "pagerank", "numviews", "vote")))

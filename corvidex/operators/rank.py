@@ -21,6 +21,11 @@ LAMBDA = 0.5
 DIGITS = 9
 
 
+def best_first() -> tuple[Column, Column]:
+    """The order of results: by score, then by document."""
+    return F.round("score", DIGITS).desc(), F.asc("doc_id")
+
+
 def smoothed(tf: Column, length: Column, ctf: Column, total: Column, lam: float = LAMBDA) -> Column:
     """log2 of the probability of a term in a document, smoothed with the collection."""
     return F.log2((1 - lam) * tf / length + lam * ctf / total)
@@ -69,7 +74,7 @@ def cosine(index: Index, query: Query) -> DataFrame:
     norm_q = wq.agg(F.sqrt(F.sum(F.col("wq") * F.col("wq"))).alias("nq"))
     hits = durable(matches(mine, query))
     # norms need all terms of a matching document, so the documents are cut down first
-    weights = tf_idf_weights(Index(index.postings, index.term_doc.join(hits, "doc_id", "left_semi"), index.term_stats, index.doc_stats))
+    weights = tf_idf_weights(Index(index.postings, index.by_document().join(hits, "doc_id", "left_semi"), index.term_stats, index.doc_stats, totals=index.totals))
     rows = weights.join(F.broadcast(wq), "term", "left").groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("nd"), F.sum(F.col("w") * F.col("wq")).alias("dot"))
     rows = rows.crossJoin(F.broadcast(norm_q)).where((F.col("nd") > 0) & (F.col("nq") > 0))
     return rows.select("doc_id", (F.col("dot") / (F.col("nd") * F.col("nq"))).alias("score")).where(F.col("score") != 0)
@@ -117,7 +122,7 @@ def page(scored: DataFrame, num: int = 10, number: int = 1) -> DataFrame:
     """
     if num < 1 or number < 1:
         raise ValueError("num and page start at 1")
-    return scored.orderBy(F.round("score", DIGITS).desc(), F.asc("doc_id")).offset(num * (number - 1)).limit(num)
+    return scored.orderBy(*best_first()).offset(num * (number - 1)).limit(num)
 
 
 def knowledge_score(index: Index, query: Query, name: str = "favorite") -> DataFrame:
@@ -137,7 +142,7 @@ def knowledge_score(index: Index, query: Query, name: str = "favorite") -> DataF
 def best_answer(index: Index, query: Query, name: str = "favorite") -> DataFrame:
     """The best question with its answer, or no row."""
     best = page(knowledge_score(index, query, name), 1)
-    columns = [c for c in ("title", "answer", "vote", "page_rank", "num_views") if c in index.doc_stats.columns]
+    columns = [c for c in ("title", "url", "file_path", "answer", "vote", "page_rank", "num_views") if c in index.doc_stats.columns]
     return index.doc_stats.join(F.broadcast(best), "doc_id").select("doc_id", "score", *columns)  # one row
 
 
@@ -172,7 +177,7 @@ def query_likelihood_batch(index: Index, queries: DataFrame, top: int = 10, phra
         scored = free.unionByName(scored.join(phrases_batch(index, scored, said), ["query_id", "doc_id"], "left_semi"))
     # the largest bound is a number of the plan, so that rows are cut before the shuffle
     most = top if tops is None else lists.agg(F.max("top")).first()[0] or 0
-    w = Window.partitionBy("query_id").orderBy(F.round("score", DIGITS).desc(), F.asc("doc_id"))
+    w = Window.partitionBy("query_id").orderBy(*best_first())
     best = scored.withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= most)
     out = lists.join(best.select(F.col("query_id").alias("one"), "doc_id", "score", "rank"), "one")
     return (out if tops is None else out.where(F.col("rank") <= F.col("top"))).select("query_id", "doc_id", "score", "rank")

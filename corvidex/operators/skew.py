@@ -1,14 +1,17 @@
 """Per-key results where a few keys hold most of the records.
 
 ``occurrence_counts`` finds the heavy keys with a bounded sketch, takes their
-rows out by a broadcast join, spreads those over (key, document, position), and
-leaves the ordinary shuffle by key to the light keys, none of which can exceed
-the sketch's threshold. The two halves are disjoint and are put together by a
-union.
+rows out by a broadcast join and spreads those over (key, document, position). The
+light keys take the ordinary shuffle, by key and document: a key just below the
+threshold, which is a share and grows with the rows, is still spread over its
+documents, and only one partial count a task and key is gathered by key. The two
+halves are disjoint and are put together by a union.
 """
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -76,10 +79,11 @@ def occurrence_counts(
         .agg(F.sum("tf").alias("occurrences"), F.count("doc_id").alias("docs"))
         .withColumn("heavy", F.lit(True))
     )
-    # Light keys: one shuffle by the key serves the three groupings that follow.
+    # Light keys: one shuffle by key and document serves the next two groupings;
+    # the last one gets partial sums.
     cold = (
         rows.join(F.broadcast(heavy), "term", "left_anti")
-        .repartition("term")
+        .repartition("term", "doc_id")
         .groupBy("term", "doc_id", "pos")
         .agg(F.lit(1).alias("one"))
         .groupBy("term", "doc_id")
@@ -100,5 +104,6 @@ def dominant_terms(counts: DataFrame, share: float = 0.02) -> DataFrame:
     counts = durable(counts)
     total = counts.agg(F.sum("occurrences").alias("total"))
     # shares are compared as whole numbers, so that a term of exactly the share counts
-    parts = round(1 / share)
-    return counts.crossJoin(F.broadcast(total)).where(F.col("occurrences") * parts >= F.col("total")).select("term")
+    exact = Fraction(str(share))
+    at_least = F.col("occurrences") * exact.denominator >= F.col("total") * exact.numerator
+    return counts.crossJoin(F.broadcast(total)).where(at_least).select("term")

@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvidex.operators import index as ix
 from corvidex.operators import knowledge as kn
 from corvidex.operators import mining
-from corvidex.session import table
+from corvidex.session import scratch, table
 
 
 def documents(spark: SparkSession, d: str) -> DataFrame:
-    """(doc_id, text, title): the title is the first line."""
-    return table(spark, d, "documents").select("doc_id", "text", F.split("text", r"\r\n|\r|\n")[0].alias("title"))
+    """(doc_id, text, title, url, file_path): the title is the first line."""
+    names = (F.concat_ws("/", F.lower("source"), "name").alias("url"), F.concat_ws("/", F.lit("data"), "kind", "name").alias("file_path"))
+    return table(spark, d, "documents").select("doc_id", "text", F.split("text", r"\r\n|\r|\n")[0].alias("title"), *names)
 
 
 def edges(spark: SparkSession, d: str) -> DataFrame:
@@ -48,9 +51,37 @@ def index(spark: SparkSession, d: str, scores: bool = False) -> ix.Index:
     return ix.build(docs.withColumn("name", F.col("doc_id")), page_rank=page_rank(spark, d), num_views=views(spark, d))
 
 
+_WRITTEN: dict[tuple, ix.Index] = {}
+
+
+def _once(spark: SparkSession, d: str, name: str, build) -> ix.Index:
+    """The index of a folder's table, written to the shared folder once a session, as a service would keep it."""
+    key = (spark.sparkContext.applicationId, d, name)
+    if key not in _WRITTEN:
+        path = scratch(spark, f"index-{name}")
+        ix.write(build(), path)
+        _WRITTEN[key] = ix.load(spark, path)
+    return _WRITTEN[key]
+
+
+def written_index(spark: SparkSession, d: str, scores: bool = False) -> ix.Index:
+    """``index``, written once; with ``scores`` PageRank and views are joined to the documents' rows."""
+    found = _once(spark, d, "documents", lambda: index(spark, d))
+    if not scores:
+        return found
+    pr, nv = page_rank(spark, d), views(spark, d)
+    stats = found.doc_stats.join(pr.select(F.col("name").alias("doc_id"), F.col("pr").alias("page_rank")), "doc_id", "left").join(nv.select(F.col("name").alias("doc_id"), F.col("views").alias("num_views")), "doc_id", "left")
+    stats = stats.withColumn("page_rank", F.coalesce("page_rank", F.lit(0.0))).withColumn("num_views", F.coalesce("num_views", F.lit(0)))
+    return replace(found, doc_stats=stats)
+
+
+def written_questions(spark: SparkSession, d: str) -> ix.Index:
+    return _once(spark, d, "questions", lambda: questions(spark, d))
+
+
 def questions(spark: SparkSession, d: str) -> ix.Index:
     rows = kn.newest(table(spark, d, "knowledge"))
-    return kn.qa_index(rows.select(F.col("knowledge_id").alias("doc_id"), "title", F.col("knowledge").alias("question"), F.col("knowledge").alias("answer"), "vote", F.col("numviews").alias("num_views"), F.col("pagerank").alias("page_rank")))
+    return kn.qa_index(rows.select(F.col("knowledge_id").alias("doc_id"), "title", "url", F.col("filePath").alias("file_path"), F.col("knowledge").alias("question"), F.col("knowledge").alias("answer"), "vote", F.col("numviews").alias("num_views"), F.col("pagerank").alias("page_rank")))
 
 
 def run(spark: SparkSession, d: str) -> DataFrame:

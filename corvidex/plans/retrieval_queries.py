@@ -15,9 +15,10 @@ from corvidex.operators import index as ix
 from corvidex.operators import knowledge as kn
 from corvidex.operators import match, mining, rank, spelling
 from corvidex.plans import inputs
-from corvidex.plans.retrieval_sql import MISSPELLED, NAMES, PAIRS, SQL, TAGS
-from corvidex.session import shared_dir, table
-from corvidex.sources.writers import json_object, text_line
+from corvidex.plans.retrieval_sql import MISSPELLED, SQL, TAGS
+from corvidex.session import scratch, table
+from corvidex.serve import Engine, Request
+from corvidex.sources.writers import json_object, knowledge_json, text_line
 
 Q = Callable[[SparkSession, str], DataFrame]
 TERMS, PHRASE, ASKED = "closed buffers", '"closed too early" buffer', "tables returning null"
@@ -61,17 +62,17 @@ def corpus_scalars(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def doc_term_map(spark: SparkSession, d: str) -> DataFrame:
-    return inputs.index(spark, d).doc_terms(10)
+    return inputs.written_index(spark, d).doc_terms(10)
 
 
 @query
 def match_conjunctive(spark: SparkSession, d: str) -> DataFrame:
-    return match.all_terms(inputs.index(spark, d), parse_query(TERMS))
+    return match.all_terms(inputs.written_index(spark, d), parse_query(TERMS))
 
 
 @query
 def match_phrase(spark: SparkSession, d: str) -> DataFrame:
-    return match.matches(inputs.index(spark, d), parse_query(PHRASE))
+    return match.matches(inputs.written_index(spark, d), parse_query(PHRASE))
 
 
 @query
@@ -82,17 +83,17 @@ def match_title_any(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def rank_ql(spark: SparkSession, d: str) -> DataFrame:
-    return _score(rank.page(rank.query_likelihood(inputs.index(spark, d), parse_query(TERMS))))
+    return _score(rank.page(rank.query_likelihood(inputs.written_index(spark, d), parse_query(TERMS))))
 
 
 @query
 def rank_ql_page2(spark: SparkSession, d: str) -> DataFrame:
-    return _score(rank.page(rank.query_likelihood(inputs.index(spark, d), parse_query(TERMS)), 10, 2))
+    return _score(rank.page(rank.query_likelihood(inputs.written_index(spark, d), parse_query(TERMS)), 10, 2))
 
 
 @query
 def rank_ql_batch(spark: SparkSession, d: str) -> DataFrame:
-    return _score(rank.query_likelihood_batch(inputs.index(spark, d), rank.batch_terms(table(spark, d, "search_query"))))
+    return _score(rank.query_likelihood_batch(inputs.written_index(spark, d), rank.batch_terms(table(spark, d, "search_query"))))
 
 
 @query
@@ -100,27 +101,27 @@ def rank_ql_log(spark: SparkSession, d: str) -> DataFrame:
     """Every query of the log with its phrases, as many documents as it asks for (10 if it doesn't say)."""
     log = table(spark, d, "search_query")
     terms, phrases = rank.batch_parsed(log)
-    return _score(rank.query_likelihood_batch(inputs.index(spark, d), terms, phrases=phrases, tops=log.select("query_id", F.col("numdocs").alias("top"))))
+    return _score(rank.query_likelihood_batch(inputs.written_index(spark, d), terms, phrases=phrases, tops=log.select("query_id", F.col("numdocs").alias("top"))))
 
 
 @query
 def rank_comprehensive(spark: SparkSession, d: str) -> DataFrame:
-    return _score(rank.page(rank.comprehensive(inputs.index(spark, d, scores=True), parse_query(PHRASE))))
+    return _score(rank.page(rank.comprehensive(inputs.written_index(spark, d, scores=True), parse_query(PHRASE))))
 
 
 @query
 def rank_cosine(spark: SparkSession, d: str) -> DataFrame:
-    return _score(rank.page(rank.cosine(inputs.index(spark, d), parse_query(TERMS))))
+    return _score(rank.page(rank.cosine(inputs.written_index(spark, d), parse_query(TERMS))))
 
 
 @query
 def rank_conjunctive(spark: SparkSession, d: str) -> DataFrame:
-    return _score(rank.page(rank.conjunctive(inputs.index(spark, d), parse_query(PHRASE))))
+    return _score(rank.page(rank.conjunctive(inputs.written_index(spark, d), parse_query(PHRASE))))
 
 
 @query
 def rank_numview(spark: SparkSession, d: str) -> DataFrame:
-    return _score(rank.page(rank.num_view(inputs.index(spark, d, scores=True), parse_query(TERMS))))
+    return _score(rank.page(rank.num_view(inputs.written_index(spark, d, scores=True), parse_query(TERMS))))
 
 
 @query
@@ -131,12 +132,12 @@ def rank_fullscan(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def knowledge_top1_ql(spark: SparkSession, d: str) -> DataFrame:
-    return _score(rank.best_answer(inputs.questions(spark, d), parse_query(ASKED))).select("doc_id", "score", "answer")
+    return _score(rank.best_answer(inputs.written_questions(spark, d), parse_query(ASKED))).select("doc_id", "score", "answer")
 
 
 @query
 def knowledge_top1_comprehensive(spark: SparkSession, d: str) -> DataFrame:
-    return _score(rank.best_answer(inputs.questions(spark, d), parse_query(ASKED), "comprehensive")).select("doc_id", "score", "answer")
+    return _score(rank.best_answer(inputs.written_questions(spark, d), parse_query(ASKED), "comprehensive")).select("doc_id", "score", "answer")
 
 
 @query
@@ -153,10 +154,25 @@ def link_extract(spark: SparkSession, d: str) -> DataFrame:
     return mining.links(pages, "result_id", "html", r'<[a|A].*?href="/?([^ /#"]*)".*?>')
 
 
+def _part_pages(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(name), (name, html): a page for each part, every fifth one a redirect, and pages that link to the next part of an order."""
+    parts = table(spark, d, "part").select(F.concat(F.lit("P"), F.col("p_partkey")).alias("name"), (F.col("p_partkey") % 5 == 0).alias("moved"))
+    names = parts.select("name").unionAll(parts.where("moved").select(F.concat("name", F.lit(".html"))))
+    pairs = inputs.edges(spark, d)
+    html = F.format_string('<p><a class="k" href="P%d">next</a>\n<a href="/q/1">no</a> <A HREF="no">no</A>\n<a href="P%d#top">no</a></p>', "dst", "dst")
+    return names, pairs.select(F.concat(F.lit("P"), F.col("src")).alias("name"), html.alias("html"))
+
+
+@query
+def link_targets(spark: SparkSession, d: str) -> DataFrame:
+    """Links to simple names, by the usual pattern."""
+    return mining.links(_part_pages(spark, d)[1])
+
+
 @query
 def redirect_resolve(spark: SparkSession, d: str) -> DataFrame:
-    names = spark.createDataFrame([(n,) for n in NAMES], "name string")
-    return mining.resolve(spark.createDataFrame(PAIRS, "src string, dst string"), names)
+    names, pages = _part_pages(spark, d)
+    return mining.resolve(mining.links(pages), names)
 
 
 @query
@@ -172,11 +188,9 @@ def num_views(spark: SparkSession, d: str) -> DataFrame:
 @query
 def num_views_stream(spark: SparkSession, d: str) -> DataFrame:
     """The view counts of the users' events as a stream that has been read to its end."""
-    import uuid
-
     from corvidex.streaming.views import start, streaming_views
 
-    at = f"{shared_dir(spark)}/views-{uuid.uuid4().hex}"
+    at = scratch(spark, "views")
     schema = table(spark, d, "events").schema
     events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
     lines = events.select(F.concat_ws(" ", "event_type", F.col("user_id").cast("string"), F.floor("value").cast("string")).alias("line"))
@@ -188,12 +202,12 @@ def num_views_stream(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def prf_terms(spark: SparkSession, d: str) -> DataFrame:
-    return fb.expansion_terms(inputs.index(spark, d), parse_query(TERMS), num_docs=10, num_terms=8).withColumn("prob", F.round("prob", 6))
+    return fb.expansion_terms(inputs.written_index(spark, d), parse_query(TERMS), num_docs=10, num_terms=8).withColumn("prob", F.round("prob", 6))
 
 
 @query
 def prf_terms_excl_query(spark: SparkSession, d: str) -> DataFrame:
-    return fb.expansion_terms(inputs.index(spark, d), parse_query(TERMS), num_docs=10, num_terms=8, include_query=False).withColumn("prob", F.round("prob", 6))
+    return fb.expansion_terms(inputs.written_index(spark, d), parse_query(TERMS), num_docs=10, num_terms=8, include_query=False).withColumn("prob", F.round("prob", 6))
 
 
 @query
@@ -324,16 +338,54 @@ def spell_suggestions(spark: SparkSession, d: str) -> DataFrame:
     """Suggestions for misspelled queries; empty where there is nothing to change."""
     from corvidex.session import durable
 
-    idx = inputs.index(spark, d)
+    idx = inputs.written_index(spark, d)
     dic = durable(spelling.dictionary(table(spark, d, "documents")))
     asked = ["closed bufer", "tabel returns null", "closed buffer"]
     return spark.createDataFrame([(q, spelling.spell_check(idx, q, dic)) for q in asked], "query string, suggestion string")
 
 
+def _engine(spark: SparkSession, d: str) -> Engine:
+    return Engine(inputs.written_index(spark, d, scores=True), inputs.written_questions(spark, d), texts=inputs.documents(spark, d).select("doc_id", "text"))
+
+
+def _fields(rows: DataFrame, *fields: str) -> DataFrame:
+    """The fields of JSON objects as columns, numbers to six digits."""
+    kinds = {"id": "bigint", "score": "double", "pagerank": "double", "numviews": "bigint", "vote": "bigint"}
+    o = rows.select(F.from_json("json", ", ".join(f"{f} {kinds.get(f, 'string')}" for f in fields)).alias("o")).select("o.*")
+    return o.select(*(F.round(f, 6).alias(f) if kinds.get(f) == "double" else F.url_decode(f).alias(f) if f in ("title", "snippet", "knowledge") else F.col(f) for f in fields))
+
+
 @query
 def request_search(spark: SparkSession, d: str) -> DataFrame:
-    """A page of results with the features of the documents, as a request asks for it."""
-    from corvidex.serve import Engine, Request
+    """A page of results as a request asks for it, with all fields of the response."""
+    r = Request.parse("query=closed+buffers&ranker=comprehensive&num=7&page=2&format=html&num=--5&page=x")
+    return _fields(_engine(spark, d).result_objects(r), "id", "title", "url", "filePath", "score", "pagerank", "numviews", "snippet")
+
+
+@query
+def request_know(spark: SparkSession, d: str) -> DataFrame:
+    """The best answer as a request asks for it."""
+    answer = _engine(spark, d).know(Request.parse(f"query={ASKED}&ranker=comprehensive"))
+    return _fields(answer.select(knowledge_json().alias("json")), "id", "title", "url", "filePath", "knowledge", "score", "pagerank", "numviews", "vote")
+
+
+@query
+def request_prf(spark: SparkSession, d: str) -> DataFrame:
+    """Expansion terms as a request asks for them."""
+    return _engine(spark, d).prf(Request.parse(f"query={TERMS}&ranker=ql&numdocs=10&numterms=8")).withColumn("prob", F.round("prob", 6))
+
+
+@query
+def qa_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Question pages built of the answers, whose texts stand in nested elements, and read again."""
+    from corvidex.sources.readers import qa_pages as read
 
-    engine = Engine(inputs.index(spark, d, scores=True), inputs.questions(spark, d))
-    return _score(engine.results(Request.parse("query=closed+buffers&ranker=comprehensive&num=7&page=2"))).withColumn("page_rank", F.round("page_rank", 6))
+    rows = kn.newest(table(spark, d, "knowledge"))
+    bare = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), "[<>&\\x00-\\x20\\u0085\\u00A0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000]+", " ")
+    html = F.concat(
+        F.lit("<html><head><title>"), bare("title"), F.lit('</title></head><body><div class="vote-count-post">'), F.coalesce(F.col("vote").cast("string"), F.lit("none")),
+        F.lit('</div><div class="post-text"><p>'), bare("title"), F.lit("</p><ul><li>one</li><li><b>tw</b>o</li></ul><pre><code>a &lt; b &amp;&amp; c</code></pre></div>"),
+        F.lit('<td class="x post-text"><div><p>'), bare("knowledge"), F.lit("</p></div><p>end&frac12;</p><script>no()</script></td>"),
+        F.lit('<p class="label-key">a</p><p class="label-key">b</p><p class="label-key">c</p><p class="label-key"><b>'), F.coalesce(F.col("numviews").cast("string"), F.lit("no")), F.lit(" times</b></p></body></html>"),
+    )
+    return read(rows.select(F.col("knowledge_id").alias("name"), html.alias("html")))

@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 from corvidex.functions.words import EXPANSION_STOP_WORDS, PUNCTUATION, QUERY_STOP_WORDS
+from corvidex.operators.stemmer import _LAST, _LONG, _MIDDLE
 
 MISSPELLED = ["buffr", "claosed", "tabel", "qeury", "depnds", "retrys", "nulll", "servr"]
 TAGS = ["java", "python", "thread", "search", "web", "script", "index"]
-NAMES = ["A", "A.html", "B", "C", "D.html", ".hidden"]
-PAIRS = [("B", "A"), ("B", "A.html"), ("B", "C"), ("C", "B"), ("C", "C"), ("A.html", "B"), ("C", "gone"), ("A", "B"), ("D.html", "A"), ("C", ".hidden"), (".hidden", "C")]
 
 _SPACE = "[ \\t\\n\\x0B\\f\\r]+"
 
@@ -145,7 +144,7 @@ _EDIT2 = """near2 AS (SELECT word, candidate, cnt FROM unknown, usable WHERE abs
    AND len(list_filter(string_split(regexp_replace(candidate, '[a-z]', '', 'g'), ''), lambda c: c <> '' AND NOT contains(word, c))) = 0)"""
 _SPELL = f"WITH {_DICT}, {_ASKED}, {_USABLE}, {_EDIT1}, {_EDIT2}"
 
-_NEWEST = """newest AS (SELECT knowledge_id, title, knowledge, vote, numviews, pagerank FROM (SELECT *, row_number() OVER (PARTITION BY knowledge_id ORDER BY crawled_at DESC) AS k FROM knowledge) WHERE k = 1),
+_NEWEST = """newest AS (SELECT knowledge_id, title, url, "filePath", knowledge, vote, numviews, pagerank FROM (SELECT *, row_number() OVER (PARTITION BY knowledge_id ORDER BY crawled_at DESC) AS k FROM knowledge) WHERE k = 1),
  qa AS (SELECT knowledge_id AS doc_id, concat_ws(' ', title, knowledge) AS text, knowledge AS answer, coalesce(vote, 0) AS vote, coalesce(numviews, 0) AS num_views, CASE WHEN pagerank IS NULL OR isnan(pagerank) THEN 0 ELSE pagerank END AS page_rank FROM newest)"""
 _ANSWER = ["table", "return", "null"]
 _KNOW = f"WITH {_NEWEST}, {_collection('qa')}, {_hits(_ANSWER)}, {_ql(_ANSWER)}"
@@ -166,21 +165,49 @@ def _html(x: str) -> str:
     return f"trim(regexp_replace({out}, '{_SPACE}', ' ', 'g'))"
 
 
-def _snippet() -> str:
+def _bare(x: str) -> str:
+    return f"regexp_replace(coalesce({x}, ''), '[<>&\\x00-\\x20\\x{{0085}}\\x{{00A0}}\\x{{1680}}\\x{{2000}}-\\x{{200A}}\\x{{2028}}\\x{{2029}}\\x{{202F}}\\x{{205F}}\\x{{3000}}]+', ' ', 'g')"
+
+
+def _snippet(tokens: tuple[str, ...] = ("null", "close", "buffer")) -> str:
     """The query snippet, token by token in nested selects."""
     sql = "SELECT doc_id, text, lower(text) AS body, 1::BIGINT AS start, '...' AS out FROM documents"
-    for t in ("null", "close", "buffer"):
+    size = 250 // len(tokens)
+    for t in tokens:
         found = f"(CASE WHEN instr(substr(body, start), '{t}') > 0 THEN instr(substr(body, start), '{t}') + start - 1 ELSE 0 END)"
-        sql = f"SELECT doc_id, text, body, CASE WHEN place > 0 THEN place + 83 ELSE 1 END AS start, CASE WHEN place > 0 THEN out || substr(body, place, 83) || '...' ELSE out END AS out FROM (SELECT *, {found} AS place FROM ({sql}))"
+        sql = f"SELECT doc_id, text, body, CASE WHEN place > 0 THEN place + {size} ELSE 1 END AS start, CASE WHEN place > 0 THEN out || substr(body, place, {size}) || '...' ELSE out END AS out FROM (SELECT *, {found} AS place FROM ({sql}))"
     return f"SELECT doc_id, left(text, 250) || '...' AS lead, CASE WHEN length(out) < 10 THEN left(text, 250) || '...' WHEN text IS NULL THEN NULL ELSE out END AS snippet FROM ({sql})"
 
 
-_RESOLVE = """WITH names AS (SELECT unnest([{names}]) AS name), pairs AS (SELECT * FROM (VALUES {pairs}) t(src, dst)),
- moved AS (SELECT name, name || '.html' AS target FROM names WHERE name || '.html' IN (SELECT name FROM names)),
- nodes AS (SELECT name FROM names WHERE NOT starts_with(name, '.') AND name NOT IN (SELECT name FROM moved))
- SELECT DISTINCT src, coalesce(target, dst) AS dst FROM pairs LEFT JOIN moved ON moved.name = dst WHERE src IN (SELECT name FROM nodes) AND coalesce(target, dst) IN (SELECT name FROM nodes)""".format(
-    names=", ".join(map(_lit, NAMES)), pairs=", ".join(f"({_lit(a)}, {_lit(b)})" for a, b in PAIRS)
-)
+_RESOLVE = """WITH parts AS (SELECT 'P' || p_partkey AS name, p_partkey % 5 = 0 AS moved FROM part),
+ names AS (SELECT name FROM parts UNION ALL SELECT name || '.html' FROM parts WHERE moved),
+ pairs AS (SELECT 'P' || a.l_partkey AS src, 'P' || b.l_partkey AS dst FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1),
+ moved AS (SELECT name, name || '.html' AS target FROM parts WHERE moved),
+ nodes AS (SELECT name FROM names WHERE name NOT IN (SELECT name FROM moved))
+ SELECT DISTINCT src, coalesce(target, dst) AS dst FROM pairs LEFT JOIN moved ON moved.name = dst WHERE src IN (SELECT name FROM nodes) AND coalesce(target, dst) IN (SELECT name FROM nodes)"""
+
+
+def _steps() -> str:
+    """The SELECT of the full stems of ``dic``, after ``stems`` of its words."""
+    sql, n = "SELECT w, term AS t FROM stems", 0
+
+    def step(rest: str, then: str, extra: str = "") -> None:
+        nonlocal sql, n
+        n += 1
+        sql = f"SELECT w, CASE WHEN {then} END AS t FROM (SELECT *, {_shape('rest')} AS form FROM (SELECT *, {rest} AS rest FROM (SELECT *{extra} FROM ({sql}))))"
+
+    m = "((length(form) - length(replace(form, 'vc', ''))) / 2)"
+    step("CASE WHEN ends_with(t, 'y') THEN left(t, length(t) - 1) END", "contains(form, 'v') THEN rest || 'i' ELSE t")
+    for pairs in (_LONG, _MIDDLE):
+        found = "CASE " + " ".join(f"WHEN ends_with(t, '{a}') THEN '{a}'" for a, _ in sorted(pairs, key=lambda p: -len(p[0]))) + " END AS suf"
+        instead = "CASE suf " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in pairs) + " END"
+        step("left(t, length(t) - length(suf))", f"{m} > 0 THEN rest || {instead} ELSE t", ", " + found)
+    found = "CASE " + " ".join(f"WHEN ends_with(t, '{a}') THEN '{a}'" for a in sorted(_LAST, key=lambda p: -len(p))) + " END AS suf"
+    step("left(t, length(t) - length(suf))", f"{m} > 1 AND (suf <> 'ion' OR right(rest, 1) IN ('s', 't')) THEN rest ELSE t", ", " + found)
+    step("CASE WHEN ends_with(t, 'e') THEN left(t, length(t) - 1) END", f"{m} > 1 OR {m} = 1 AND NOT (ends_with(form, 'cvc') AND right(rest, 1) NOT IN ('w', 'x', 'y')) THEN rest ELSE t")
+    step("CASE WHEN ends_with(t, 'll') THEN left(t, length(t) - 1) END", f"{m} > 1 THEN rest ELSE t")
+    return f"SELECT w AS word, CASE WHEN length(w) < 3 THEN w ELSE t END AS stem FROM ({sql})"
+
 
 _TITLE_WORDS = f"len(list_intersect(list_filter(string_split_regex(string_split_regex(text, '\\r\\n|\\r|\\n')[1], '{_SPACE}'), lambda x: x <> ''), ['Best', 'warum', 'Cómo'])) > 0"
 
@@ -245,7 +272,12 @@ SQL = {
  SELECT doc_id, round(s, 6) AS score, answer FROM k ORDER BY round(s, 9) DESC, doc_id LIMIT 1""",
     "tag_gate": f"SELECT DISTINCT query_id FROM (SELECT query_id, unnest(string_split_regex(trim(lower(translate(query, {_lit(PUNCTUATION)}, ''))), ' +')) AS tag FROM search_query) WHERE tag IN ({_words(TAGS)})",
     "link_extract": """SELECT result_id AS src, unnest(regexp_extract_all(line, '<[a|A].*?href="/?([^ /#"]*)".*?>', 1)) AS dst FROM (SELECT result_id, unnest(string_split_regex(max(snippet), '\\r\\n|\\r|\\n')) AS line FROM scored_document GROUP BY result_id)""",
+    "link_targets": _RESOLVE.split(" moved AS")[0].rstrip(", \n").replace("SELECT 'P' || a", "SELECT DISTINCT 'P' || a") + " SELECT src, dst FROM pairs",
     "redirect_resolve": _RESOLVE,
+    "full_stems": f"WITH {_DICT}, words AS (SELECT word AS w FROM dic), {_stems('words')} {_steps()}",
+    "qa_pages": f"""WITH {_NEWEST}, bare AS (SELECT *, {_bare('title')} AS t, {_bare('knowledge')} AS k FROM newest)
+ SELECT knowledge_id AS name, trim(t) AS title, trim(trim(t) || ' one two a < b && c') AS question, trim(trim(k) || ' end½') AS answer,
+   coalesce(vote, 0)::INT AS vote, coalesce(numviews, 0)::INT AS num_views FROM bare""",
     "page_rank": f"WITH {_GRAPH} SELECT name, round(pr, 6) AS pr FROM r2",
     "num_views": f"WITH {_VIEWS} SELECT name, views FROM views",
     "num_views_stream": "SELECT user_id::VARCHAR AS name, sum(floor(value)::INT)::BIGINT AS views FROM events WHERE value IS NOT NULL AND user_id IS NOT NULL GROUP BY user_id",
@@ -283,7 +315,14 @@ SQL = {
     "snippet": _snippet(),
     "title_encoded": "SELECT result_id, replace(replace(replace(url_encode(max(title)), '%20', '+'), '~', '%7E'), '%2A', '*') AS title FROM scored_document GROUP BY result_id",
     "same_content": "SELECT doc_id FROM documents WHERE text IN (SELECT text FROM documents WHERE doc_id % 20 = 0 AND text IS NOT NULL)",
-    "request_search": f"""{_FULL}, {_hits(_T)}, {_ql(_T)}, titles AS (SELECT doc_id, string_split_regex(text, '\\r\\n|\\r|\\n')[1] AS title FROM documents),
+    "request_search": f"""{_FULL}, {_hits(_T)}, {_ql(_T)}, titles AS (SELECT doc_id, string_split_regex(text, '\\r\\n|\\r|\\n')[1] AS title, concat_ws('/', lower(source), name) AS url, concat_ws('/', 'data', kind, name) AS fp FROM documents),
+ snips AS ({_snippet(tuple(_T))}),
  full_score AS (SELECT doc_id, coalesce(pr, 0) AS page_rank, coalesce(views, 0) AS num_views, 0.65::DOUBLE * score + 0.2::DOUBLE * sqrt(coalesce(pr, 0) + 1) + 0.15::DOUBLE * log2(coalesce(views, 0) + 1.0::DOUBLE) AS score FROM ql LEFT JOIN r2 ON r2.name = doc_id LEFT JOIN views ON views.name = doc_id)
- SELECT doc_id, title, round(page_rank, 6) AS page_rank, num_views, round(score, 6) AS score FROM full_score JOIN titles USING (doc_id) ORDER BY round(full_score.score, 9) DESC, doc_id LIMIT 7 OFFSET 7""",
+ SELECT doc_id AS id, coalesce(title, '') AS title, url, fp AS "filePath", round(full_score.score, 6) AS score, round(page_rank, 6) AS pagerank, num_views AS numviews, coalesce(snippet, '') AS snippet
+ FROM full_score JOIN titles USING (doc_id) JOIN snips USING (doc_id) ORDER BY round(full_score.score, 9) DESC, doc_id LIMIT 7 OFFSET 7""",
+    "request_know": f"""{_KNOW}, more AS (SELECT knowledge_id, coalesce(url, '') AS url, coalesce("filePath", '') AS fp FROM newest),
+ k AS (SELECT doc_id, answer, page_rank, num_views, vote, 0.6::DOUBLE * score + 0.1::DOUBLE * sqrt(page_rank + 1) + 0.05::DOUBLE * log2(num_views + 1.0::DOUBLE) + 0.35::DOUBLE * CASE WHEN vote >= 0 THEN log2(vote + 1.0::DOUBLE) ELSE 0 END AS s FROM ql JOIN qa USING (doc_id))
+ SELECT doc_id AS id, coalesce(newest.title, '') AS title, more.url, fp AS "filePath", coalesce(answer, '') AS knowledge, round(s, 6) AS score, round(page_rank, 6) AS pagerank, num_views AS numviews, k.vote
+ FROM k JOIN more ON more.knowledge_id = doc_id JOIN newest ON newest.knowledge_id = doc_id ORDER BY round(s, 9) DESC, doc_id LIMIT 1""",
+    "request_prf": _expansion(set(EXPANSION_STOP_WORDS)),
 }

@@ -6,6 +6,7 @@ import atexit
 import os
 import shutil
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,26 +15,45 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, from ``spark.checkpoint.dir``.
 
-    Only where the setting is absent (tests, one machine) a temporary folder is
-    made and set; it is removed when the process ends.
+    Only where the setting is absent on one machine (tests) a temporary folder is
+    made and set; it is removed when the process ends. On a cluster the setting
+    is needed: RuntimeError without it, as executors would write to different
+    disks. Checkpoints that nothing refers to any more are removed by Spark.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    clean = "spark.cleaner.referenceTracking.cleanCheckpoints"
+    if not sc.getConf().contains(clean):
+        sc._jsc.sc().conf().set(clean, "true")  # read whenever a checkpoint is made
     if named:
-        if not spark.sparkContext.getCheckpointDir():
-            spark.sparkContext.setCheckpointDir(named)
+        if not sc.getCheckpointDir():
+            sc.setCheckpointDir(named)
         return named
-    current = spark.sparkContext.getCheckpointDir()
+    current = sc.getCheckpointDir()
     if not current:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         current = tempfile.mkdtemp(prefix="corvidex-")
         atexit.register(shutil.rmtree, current, ignore_errors=True)
-        spark.sparkContext.setCheckpointDir(current)
+        sc.setCheckpointDir(current)
     return current
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder; what is written there is removed when the session ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(at)
+    files.deleteOnExit(at)
+    return path
+
+
 def durable(df: DataFrame) -> DataFrame:
     """``df`` written once to the shared folder, with its lineage cut.
 
     Lost executors don't matter: the rows are files that every executor reads.
+    The files go when the frame does.
     """
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)

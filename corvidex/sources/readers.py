@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvidex.functions.text import html_text, html_title
+from corvidex.functions import html_tree
+from corvidex.session import ship
 
 
 def html_pages(spark: SparkSession, paths: str | list[str], skip_html_suffix: bool = True) -> DataFrame:
@@ -18,23 +21,42 @@ def html_pages(spark: SparkSession, paths: str | list[str], skip_html_suffix: bo
 
 
 def html_documents(pages: DataFrame, base_url: str = "") -> DataFrame:
-    """(name, title, text, url) of pages with name and html."""
-    return pages.select("name", html_title(F.col("html")).alias("title"), html_text(F.col("html")).alias("text"), F.concat(F.lit(base_url), F.col("name")).alias("url"))
+    """(name, title, text, url) of pages with name and html; all elements and entities are read by a parser. Null pages have empty texts."""
+    return _parsed(pages, "title string, text string", lambda p: (p.title(), p.text())).withColumn("url", F.concat(F.lit(base_url), F.col("name")))
 
 
 def qa_pages(pages: DataFrame) -> DataFrame:
     """(name, title, question, answer, vote, num_views) of question pages with name and html.
 
-    Question and answer are the first and second element of class post-text, vote
-    the first of class vote-count-post, views the first word of the fourth of
-    class label-key; numbers that can't be read are 0.
+    Question and answer are the whole first and second element of class
+    post-text, whatever elements they hold; vote is the first of class
+    vote-count-post, views the first word of the fourth of class label-key;
+    numbers that can't be read are 0. Absent elements give the empty text.
     """
-    nth = lambda cls, n: F.get(F.regexp_extract_all("html", F.lit(rf'(?is)<(?:\w+)[^>]*class="[^"]*\b{cls}\b[^"]*"[^>]*>(.*?)</(?:div|td|span|p)>'), F.lit(1)), F.lit(n))
-    number = lambda c: F.coalesce(F.expr("1") * F.col(c).try_cast("int"), F.lit(0))
-    rows = pages.select("name", html_title(F.col("html")).alias("title"), html_text(nth("post-text", 0)).alias("question"), html_text(nth("post-text", 1)).alias("answer"), F.btrim(html_text(nth("vote-count-post", 0))).alias("v"), F.split(html_text(nth("label-key", 3)), " ")[0].alias("n"))
+    classes = ("post-text", "vote-count-post", "label-key")
+
+    def read(p: html_tree.Page) -> tuple:
+        return p.title(), p.of_class("post-text", 0), p.of_class("post-text", 1), p.of_class("vote-count-post", 0), p.of_class("label-key", 3).split(" ")[0]
+
+    rows = _parsed(pages, "title string, question string, answer string, v string, n string", read, classes)
+    number = lambda c: F.coalesce(F.col(c).try_cast("int"), F.lit(0))
     return rows.select("name", "title", "question", "answer", number("v").alias("vote"), number("n").alias("num_views"))
 
 
+def _parsed(pages: DataFrame, schema: str, read: Callable, classes: tuple[str, ...] = ()) -> DataFrame:
+    """(name, ...) of every page, parsed in Arrow batches; ``read`` takes a parsed page to a row of ``schema``."""
+    ship(pages.sparkSession)
+    names = ["name", *(c.split()[0] for c in schema.split(", "))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [read(html_tree.parse(h, classes)) for h in b.column("html").to_pylist()]
+            columns = zip(*rows) if rows else [[] for _ in names[1:]]
+            yield pa.RecordBatch.from_arrays([b.column("name"), *(pa.array(c, pa.string()) for c in columns)], names=names)
+
+    return pages.select("name", "html").mapInArrow(run, f"name {dict(pages.dtypes)['name']}, {schema}")
+
+
 def tsv_corpus(spark: SparkSession, path: str) -> DataFrame:
     """(title, body, num_views) of a file of three tab-separated columns; the third may be missing (0)."""
     rows = spark.read.csv(path, sep="\t", quote="", schema="title string, body string, num_views string")
@@ -52,6 +74,11 @@ def scores(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def links(spark: SparkSession, path: str) -> DataFrame:
+    """(src, dst) of a written link graph."""
+    return spark.read.parquet(path).select("src", F.explode("dsts").alias("dst"))
+
+
 def log_lines(spark: SparkSession, path: str) -> DataFrame:
     """(line) of an access log."""
     return spark.read.text(path).select(F.col("value").alias("line"))

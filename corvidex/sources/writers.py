@@ -33,6 +33,31 @@ def json_object(score: str = "score") -> Column:
     )
 
 
+def knowledge_json(score: str = "score") -> Column:
+    """A best answer as JSON; title and answer are URL-encoded."""
+    return F.to_json(
+        F.struct(
+            F.col("doc_id").alias("id"),
+            F.url_encode(F.coalesce("title", F.lit(""))).alias("title"),
+            F.coalesce("url", F.lit("")).alias("url"),
+            F.coalesce("file_path", F.lit("")).alias("filePath"),
+            F.url_encode(F.coalesce("answer", F.lit(""))).alias("knowledge"),
+            F.col(score).alias("score"),
+            F.col("page_rank").alias("pagerank"),
+            F.col("num_views").alias("numviews"),
+            F.col("vote"),
+        )
+    )
+
+
+def write_links(links: DataFrame, path: str) -> None:
+    """The link graph: (src, dsts ARRAY) of each page with links, targets once each and sorted, replacing what is there.
+
+    A page's targets are one array, as many as the page holds links.
+    """
+    links.groupBy("src").agg(F.sort_array(F.collect_set("dst")).alias("dsts")).write.mode("overwrite").parquet(path)
+
+
 def write_scores(rows: DataFrame, path: str) -> None:
     """Page ranks or view counts, replacing what is there."""
     rows.write.mode("overwrite").parquet(path)

@@ -26,6 +26,19 @@ def test_question_pages(spark):
     assert got[0] == ("1", "Q", "ask me", "answer", 12, 34) and got[1][4:] == (0, 0) and got[2][4:] == (0, 0)
 
 
+def test_question_pages_of_many_elements(spark):
+    page = '<title>Q</title><div class="post-text"><p>Para one.</p><p>Para <b>tw</b>o.</p><pre><code>if a &lt; b:\n  x</code></pre><ul><li>i<li>j</ul><div>in</div></div><td class="post-text" id="b"><div>ans<br>wer</div><p>more &frac12;</p><script>no</script></td><p>out</p>'
+    r = readers.qa_pages(spark.createDataFrame([("1", page), ("2", None), ("3", "")], "name string, html string")).orderBy("name").collect()
+    assert r[0]["question"] == "Para one. Para two. if a < b: x i j in" and r[0]["answer"] == "ans wer more ½"
+    assert [x["question"] for x in r[1:]] == ["", ""]
+
+
+def test_link_graph(spark, tmp_path):
+    pairs = spark.createDataFrame([("A", "C"), ("A", "B"), ("A", "B"), ("B", "A")], "src string, dst string")
+    writers.write_links(pairs, str(tmp_path / "g"))
+    assert sorted(tuple(r) for r in readers.links(spark, str(tmp_path / "g")).collect()) == [("A", "B"), ("A", "C"), ("B", "A")]
+
+
 def test_flat_files(spark, tmp_path):
     (tmp_path / "c.tsv").write_text('a "b\tbody here\t7\nx\ty\n')
     assert [tuple(r) for r in readers.tsv_corpus(spark, str(tmp_path / "c.tsv")).collect()] == [('a "b', "body here", 7), ("x", "y", 0)]
@@ -63,6 +76,28 @@ def test_requests(spark):
     assert [x["id"] for x in out["results"]] == [1] and out["results"][0]["title"] == "T+one" and out["knowledge"] is None
     with pytest.raises(ValueError):
         engine.search(Request(query="web"))
+    assert [x["id"] for x in json.loads(engine.search(Request(query="T", ranker="fullscan", format="html", num=1)))["results"]] == [1]
+    assert json.loads(Engine(ix.build(docs), texts=docs).search(Request(query="pages", ranker="ql", format="html")))["results"][0]["snippet"] == "...pages..."
+    assert engine.search(Request(query="web", ranker="ql", num=-5, spellcheck=False)) == "No results retrieved!"
+
+
+@pytest.mark.parametrize("options", ["num=--5", "num=²", "num=1e3", "num=", "page=99999999999", "ranker=other", "format=xml", "know=1"])
+def test_bad_options_are_ignored(options):
+    assert Request.parse("query=web&" + options) == Request(query="web")
+
+
+def test_answers_and_expansion(spark):
+    from corvidex.operators.knowledge import qa_index
+
+    rows = [(1, "sort list", "how to sort", "use sorted", 3, 10, 0.5, "u/1", "f/1"), (2, "open file", "how to open", "use open", None, None, None, "u/2", "f/2")]
+    questions = qa_index(spark.createDataFrame(rows, "doc_id bigint, title string, question string, answer string, vote int, num_views int, page_rank double, url string, file_path string"))
+    engine = Engine(questions, questions)
+    assert engine.know_response(Request(query="sort", ranker="ql")).startswith("1\tsort list\t") and "use sorted" in engine.know_response(Request(query="sort", ranker="ql"))
+    best = json.loads(engine.know_response(Request(query="sort", ranker="ql", format="html")))
+    assert best["results"] == [] and {k: best["knowledge"][k] for k in ("id", "url", "filePath", "knowledge", "numviews", "vote", "pagerank")} == {"id": 1, "url": "u/1", "filePath": "f/1", "knowledge": "use+sorted", "numviews": 10, "vote": 3, "pagerank": 0.5}
+    assert engine.know_response(Request(query="nosuch", ranker="ql")) == "No results retrieved!"
+    lines = engine.prf_response(Request(query="sort", ranker="ql", numterms=2)).splitlines()
+    assert len(lines) == 2 and lines[0].startswith("sort\t")
 
 
 def test_streams(spark, tmp_path):
