@@ -6,7 +6,6 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from corvidex.functions.words import GAINS
 
@@ -29,63 +28,84 @@ def judged(run: DataFrame, qrels: DataFrame) -> DataFrame:
     return rows.withColumn("rel", F.when(F.col("gain") > 1, 1).otherwise(0))
 
 
-def precision_recall_f(rows: DataFrame, alpha: float = 0.5) -> DataFrame:
-    """(query, p_k, r_k, f_k for k of CUTS). Recall is of the relevant documents in the run; 0 without any."""
-    hits = [F.sum(F.when(F.col("rank") <= k, F.col("rel")).otherwise(0)).alias(f"h{k}") for k in CUTS]
-    t = rows.groupBy("query").agg(*hits, F.sum("rel").alias("all"))
+def _runs(rows: DataFrame) -> DataFrame:
+    """(query, run, hits): each query's run by rank as one array, as long as a result list, and the ranks of its relevant documents."""
+    runs = rows.groupBy("query").agg(F.sort_array(F.collect_list(F.struct("rank", "gain", "rel"))).alias("run"))
+    return runs.withColumn("hits", F.transform(F.filter("run", lambda x: x["rel"] == 1), lambda x: x["rank"]))
+
+
+def _sum(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
+
+
+def _precisions() -> Column:
+    """The precision at each relevant document."""
+    return F.transform("hits", lambda r, i: (i + 1) / r)
+
+
+def _precision_recall_f(alpha: float) -> list[Column]:
+    found = F.size("hits").cast("double")
+    out: dict[str, Column] = {}
     for k in CUTS:
-        t = t.withColumn(f"p_{k}", F.col(f"h{k}") / F.lit(float(k))).withColumn(f"r_{k}", F.when(F.col("all") > 0, F.col(f"h{k}") / F.col("all")).otherwise(0.0))
-        p, r = F.col(f"p_{k}"), F.col(f"r_{k}")
-        t = t.withColumn(f"f_{k}", F.when((p == 0) | (r == 0), 0.0).otherwise(1 / (alpha / p + (1 - alpha) / r)))
-    return t.select("query", *(f"{m}_{k}" for m in "prf" for k in CUTS))
+        hits = F.size(F.filter("hits", lambda r: r <= k)).cast("double")  # noqa: B023
+        p, r = hits / F.lit(float(k)), F.when(found > 0, hits / found).otherwise(0.0)
+        out[f"p_{k}"], out[f"r_{k}"] = p, r
+        out[f"f_{k}"] = F.when((p == 0) | (r == 0), 0.0).otherwise(1 / (alpha / p + (1 - alpha) / r))
+    return [out[f"{m}_{k}"].alias(f"{m}_{k}") for m in "prf" for k in CUTS]
+
+
+def _at_recall(level: Column) -> Column:
+    k = F.floor(F.size("hits") * level / 10).cast("int")
+    return F.when(k > 0, F.get(_precisions(), k - 1)).otherwise(0.0)
 
 
-def _with_hits(rows: DataFrame) -> DataFrame:
-    """Relevant documents up to each rank. A window holds one query's run, which is as long as a result list."""
-    w = Window.partitionBy("query").orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return rows.withColumn("hits", F.sum("rel").over(w))
+def _average_precision() -> Column:
+    return F.when(F.size("hits") > 0, _sum(_precisions()) / F.size("hits")).otherwise(0.0)
+
+
+def _ndcg(k: int) -> Column:
+    top = F.filter("run", lambda x: x["rank"] <= k)
+    dcg = _sum(F.transform(top, lambda x: x["gain"] / F.log2(x["rank"] + 1.0)))
+    best = F.reverse(F.array_sort(F.transform(top, lambda x: x["gain"])))
+    ideal = _sum(F.transform(best, lambda g, i: g / F.log2(i + 2.0)))
+    return F.when(ideal > 0, dcg / ideal).otherwise(0.0).alias(f"ndcg_{k}")
+
+
+def _reciprocal_rank() -> Column:
+    return F.coalesce(1.0 / F.get("hits", F.lit(0)), F.lit(0.0))
+
+
+def precision_recall_f(rows: DataFrame, alpha: float = 0.5) -> DataFrame:
+    """(query, p_k, r_k, f_k for k of CUTS). Recall is of the relevant documents in the run; 0 without any."""
+    return _runs(rows).select("query", *_precision_recall_f(alpha))
 
 
 def precision_at_recall(rows: DataFrame) -> DataFrame:
     """(query, level, precision) for recall 0, 0.1 .. 1: the precision where the k-th relevant document stands.
 
     k is the level times the relevant documents of the run, rounded down; where k
-    is 0 the precision of the level before holds, 0 at first.
+    is 0 the precision is 0.
     """
-    hits = _with_hits(rows)
-    at = hits.where(F.col("rel") == 1).groupBy("query").agg(F.collect_list(F.struct(F.col("hits").alias("k"), (F.col("hits") / F.col("rank")).alias("p"))).alias("ps"))
-    totals = rows.groupBy("query").agg(F.sum("rel").alias("total"))
-    t = totals.join(at, "query", "left").select("query", "total", F.map_from_entries(F.coalesce("ps", F.array().cast("array<struct<k:bigint,p:double>>"))).alias("ps"), F.explode(F.sequence(F.lit(0), F.lit(10))).alias("level"))
-    k = F.expr("CAST(floor(total * level / 10) AS BIGINT)")
-    return t.select("query", "level", F.coalesce(F.element_at("ps", k), F.lit(0.0)).alias("precision"))
+    levels = _runs(rows).withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(10))))
+    return levels.select("query", "level", _at_recall(F.col("level")).alias("precision"))
 
 
 def average_precision(rows: DataFrame) -> DataFrame:
     """(query, ap): mean of the precisions at the relevant documents of the run; 0 without any."""
-    hits = _with_hits(rows).groupBy("query").agg(F.sum(F.when(F.col("rel") == 1, F.col("hits") / F.col("rank")).otherwise(0.0)).alias("s"), F.sum("rel").alias("n"))
-    return hits.select("query", F.when(F.col("n") > 0, F.col("s") / F.col("n")).otherwise(0.0).alias("ap"))
+    return _runs(rows).select("query", _average_precision().alias("ap"))
 
 
 def ndcg(rows: DataFrame) -> DataFrame:
     """(query, ndcg_k): discounted gain over that of the same K documents in the best order; 0 without any gain."""
-    out = []
-    for k in CUTS:
-        top = rows.where(F.col("rank") <= k)
-        w = Window.partitionBy("query").orderBy(F.desc("gain"), F.asc("rank"))
-        top = top.withColumn("best", F.row_number().over(w))
-        d = top.groupBy("query").agg(F.sum(F.col("gain") / F.log2(F.col("rank") + 1.0)).alias("dcg"), F.sum(F.col("gain") / F.log2(F.col("best") + 1.0)).alias("ideal"))
-        out.append(d.select("query", F.when(F.col("ideal") > 0, F.col("dcg") / F.col("ideal")).otherwise(0.0).alias(f"ndcg_{k}")))
-    return reduce(lambda a, b: a.join(b, "query"), out)
+    return _runs(rows).select("query", *map(_ndcg, CUTS))
 
 
 def reciprocal_rank(rows: DataFrame) -> DataFrame:
     """(query, rr): one over the rank of the first relevant document; 0 without any."""
-    return rows.groupBy("query").agg(F.coalesce(1.0 / F.min(F.when(F.col("rel") == 1, F.col("rank"))), F.lit(0.0)).alias("rr"))
+    return _runs(rows).select("query", _reciprocal_rank().alias("rr"))
 
 
 def metrics(run: DataFrame, qrels: DataFrame) -> DataFrame:
-    """A row of all 25 metrics per query; runs shorter than a cut count as if filled up with documents of no gain."""
-    rows = judged(run, qrels)
-    curve = precision_at_recall(rows).groupBy("query").agg(*(F.max(F.when(F.col("level") == i, F.col("precision"))).alias(f"pr_{i}") for i in range(11)))
-    parts = [precision_recall_f(rows), curve, average_precision(rows), ndcg(rows), reciprocal_rank(rows)]
-    return reduce(lambda a, b: a.join(b, "query"), parts)
+    """A row of all 25 metrics per query from one grouping; runs shorter than a cut count as if filled up with documents of no gain."""
+    curve = [_at_recall(F.lit(i)).alias(f"pr_{i}") for i in range(11)]
+    return _runs(judged(run, qrels)).select("query", *_precision_recall_f(0.5), *curve, _average_precision().alias("ap"), *map(_ndcg, CUTS), _reciprocal_rank().alias("rr"))

@@ -54,6 +54,14 @@ def most_alike(left: DataFrame, right: DataFrame, top: int = 10) -> DataFrame:
     return bhattacharyya(left, right).withColumn("place", F.row_number().over(w).cast("bigint")).where(F.col("place") <= top)
 
 
+def one_to_one(first: DataFrame, second: DataFrame, name: str) -> DataFrame:
+    """The rows of both by ``name``; the job fails if a name is missing from one of them."""
+    marked = first.withColumn("in_first", F.lit(True)).join(second.withColumn("in_second", F.lit(True)), name, "full")
+    whole = F.col("in_first").isNotNull() & F.col("in_second").isNotNull()
+    checked = F.when(whole, True).otherwise(F.raise_error(F.concat(F.col(name).cast("string"), F.lit(" is not in both tables"))).cast("boolean"))
+    return marked.where(checked).drop("in_first", "in_second")
+
+
 def spearman(values: DataFrame, name: str, first: str, second: str) -> DataFrame:
     """(n, rho): Pearson's coefficient over the ordinal ranks of two columns; 0 if one doesn't vary.
 

@@ -50,6 +50,8 @@ def page_rank(pages: DataFrame, edges: DataFrame, iterations: int = 2, lam: floa
     edges = edges.select("src", "dst").distinct()
     degree = edges.groupBy("src").agg(F.count("*").alias("degree"))
     edges = edges.join(degree, "src")
+    if iterations > 2:  # read in every round
+        edges = durable(edges)
     ranks = pages.select("name").distinct().withColumn("pr", F.lit(1.0))
     for i in range(1, iterations + 1):
         given = edges.join(ranks.withColumnRenamed("name", "src"), "src").groupBy(F.col("dst").alias("name")).agg(F.sum(F.col("pr") / F.col("degree")).alias("given"))

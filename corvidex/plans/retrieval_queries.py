@@ -62,7 +62,8 @@ def corpus_scalars(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def doc_term_map(spark: SparkSession, d: str) -> DataFrame:
-    return inputs.written_index(spark, d).doc_terms(10)
+    """The terms of every twentieth document, by the forward index."""
+    return inputs.written_index(spark, d).by_document().where("doc_id % 20 = 0").select("doc_id", "term", "tf")
 
 
 @query
@@ -188,7 +189,7 @@ def num_views(spark: SparkSession, d: str) -> DataFrame:
 @query
 def num_views_stream(spark: SparkSession, d: str) -> DataFrame:
     """The view counts of the users' events as a stream that has been read to its end."""
-    from corvidex.streaming.views import start, streaming_views
+    from corvidex.streaming.views import current, start, streaming_views
 
     at = scratch(spark, "views")
     schema = table(spark, d, "events").schema
@@ -197,7 +198,7 @@ def num_views_stream(spark: SparkSession, d: str) -> DataFrame:
     running = start(streaming_views(lines), f"{at}/table", f"{at}/checkpoint")
     running.processAllAvailable()
     running.stop()
-    return spark.read.parquet(f"{at}/table")
+    return current(spark, f"{at}/table")
 
 
 @query
@@ -226,7 +227,9 @@ def prf_similarity_all(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def spearman_pr_nv(spark: SparkSession, d: str) -> DataFrame:
-    both = inputs.page_rank(spark, d).join(inputs.views(spark, d), "name").select("name", F.round("pr", 9).alias("pr"), "views")
+    pr, views = inputs.page_rank(spark, d), inputs.views(spark, d)
+    # parts stand for pages; those that are documents too have both
+    both = fb.one_to_one(pr.join(views, "name", "left_semi"), views.join(pr, "name", "left_semi"), "name").select("name", F.round("pr", 9).alias("pr"), "views")
     return fb.spearman(both, "name", "pr", "views").withColumn("rho", F.round("rho", 6))
 
 
@@ -274,23 +277,26 @@ def spell_dictionary(spark: SparkSession, d: str) -> DataFrame:
     return spelling.dictionary(table(spark, d, "documents"))
 
 
-def _misspelled(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(w,) for w in MISSPELLED], "word string")
+def _asked_words(spark: SparkSession, d: str) -> DataFrame:
+    """(word): the words of every twentieth query of the log, and misspelled ones."""
+    words = F.split(F.btrim(F.lower(tx.strip_punctuation(F.col("query")))), " +")
+    asked = table(spark, d, "search_query").where("query_id % 20 = 0").select(F.explode(words).alias("word")).where("word <> ''")
+    return asked.unionAll(spark.createDataFrame([(w,) for w in MISSPELLED], "word string")).distinct()
 
 
 @query
 def spell_edit1(spark: SparkSession, d: str) -> DataFrame:
-    return spelling.candidates1(_misspelled(spark), spelling.dictionary(table(spark, d, "documents")))
+    return spelling.candidates1(_asked_words(spark, d), spelling.dictionary(table(spark, d, "documents")))
 
 
 @query
 def spell_edit2(spark: SparkSession, d: str) -> DataFrame:
-    return spelling.candidates2(_misspelled(spark), spelling.dictionary(table(spark, d, "documents")))
+    return spelling.candidates2(_asked_words(spark, d), spelling.dictionary(table(spark, d, "documents")))
 
 
 @query
 def spell_correct(spark: SparkSession, d: str) -> DataFrame:
-    return spelling.correct(_misspelled(spark), spelling.dictionary(table(spark, d, "documents")))
+    return spelling.correct(_asked_words(spark, d), spelling.dictionary(table(spark, d, "documents")))
 
 
 @query
@@ -312,9 +318,9 @@ def title_encoded(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def result_lines(spark: SparkSession, d: str) -> DataFrame:
-    """All results as text lines and JSON objects."""
+    """All results as text lines and JSON objects, scores to six digits."""
     once = table(spark, d, "scored_document").groupBy("result_id").agg(*(F.max(c).alias(c) for c in ("doc_id", "title", "url", "filePath", "score", "pagerank", "numviews", "snippet")))
-    rows = once.select("result_id", "doc_id", "title", "url", F.col("filePath").alias("file_path"), "score", F.coalesce(F.nanvl("pagerank", F.lit(0.0)), F.lit(0.0)).alias("page_rank"), F.coalesce("numviews", F.lit(0)).alias("num_views"), "snippet")
+    rows = once.select("result_id", "doc_id", "title", "url", F.col("filePath").alias("file_path"), F.col("score").cast("decimal(20,6)").alias("score"), F.coalesce(F.nanvl("pagerank", F.lit(0.0)), F.lit(0.0)).cast("decimal(20,6)").alias("page_rank"), F.coalesce("numviews", F.lit(0)).alias("num_views"), "snippet")
     return rows.select("result_id", text_line().alias("line"), json_object().alias("json"))
 
 

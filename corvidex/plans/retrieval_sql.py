@@ -130,7 +130,7 @@ _PRF_COLUMNS = ", ".join(f"round({m}_{k}, 6) AS {m}_{k}" for m in "prf" for k in
 _ND_COLUMNS = ", ".join(f"round(ndcg_{k}, 6) AS ndcg_{k}" for k in (1, 5, 10))
 
 _DICT = "dic AS (SELECT word, count(*) AS cnt FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-zA-Z0-9_]+')) AS word FROM documents) GROUP BY word)"
-_ASKED = "asked AS (SELECT unnest([" + _words(MISSPELLED) + "]) AS word), unknown AS (SELECT word FROM asked WHERE word NOT IN (SELECT word FROM dic))"
+_ASKED = f"asked AS (SELECT unnest([{_words(MISSPELLED)}]) AS word UNION SELECT word FROM (SELECT unnest(string_split_regex(trim(lower(translate(query, {_lit(PUNCTUATION)}, ''))), ' +')) AS word FROM search_query WHERE query_id % 20 = 0) WHERE word <> ''), unknown AS (SELECT word FROM asked WHERE word NOT IN (SELECT word FROM dic))"
 _USABLE = f"usable AS (SELECT word AS candidate, cnt FROM dic WHERE word NOT IN ({_words(QUERY_STOP_WORDS)}))"
 _EDIT1 = """letters AS (SELECT chr(c::INT) AS c FROM (SELECT unnest(range(97, 123)) AS c)),
  spots AS (SELECT word, unnest(range(0, length(word) + 1)) AS i FROM unknown),
@@ -165,6 +165,10 @@ def _html(x: str) -> str:
     return f"trim(regexp_replace({out}, '{_SPACE}', ' ', 'g'))"
 
 
+def _encoded(x: str) -> str:
+    return f"replace(replace(replace(url_encode({x}), '%20', '+'), '~', '%7E'), '%2A', '*')"
+
+
 def _bare(x: str) -> str:
     return f"regexp_replace(coalesce({x}, ''), '[<>&\\x00-\\x20\\x{{0085}}\\x{{00A0}}\\x{{1680}}\\x{{2000}}-\\x{{200A}}\\x{{2028}}\\x{{2029}}\\x{{202F}}\\x{{205F}}\\x{{3000}}]+', ' ', 'g')"
 
@@ -238,7 +242,7 @@ SQL = {
     "term_stats": f"{_C} SELECT term, df, ctf FROM term_stats",
     "doc_stats": f"{_FULL} SELECT doc_id, length, round(coalesce(pr, 0), 6) AS page_rank, coalesce(views, 0) AS num_views FROM lens LEFT JOIN r2 ON r2.name = doc_id LEFT JOIN views ON views.name = doc_id",
     "corpus_scalars": f"{_C} SELECT num_docs, total_terms FROM scalars",
-    "doc_term_map": f"{_C} SELECT term, tf FROM term_doc WHERE doc_id = 10",
+    "doc_term_map": f"{_C} SELECT doc_id, term, tf FROM term_doc WHERE doc_id % 20 = 0",
     "match_conjunctive": f"{_C}, {_hits(_T)} SELECT doc_id FROM hits",
     "match_phrase": f"{_C}, {_hits(_P, _PHRASES)} SELECT doc_id FROM hits",
     "match_title_any": f"SELECT doc_id FROM documents WHERE {_TITLE_WORDS}",
@@ -314,6 +318,10 @@ SQL = {
  SELECT knowledge_id, trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '{_SPACE}', ' ', 'g')) AS title, {_html("html")} AS text FROM pages""",
     "snippet": _snippet(),
     "title_encoded": "SELECT result_id, replace(replace(replace(url_encode(max(title)), '%20', '+'), '~', '%7E'), '%2A', '*') AS title FROM scored_document GROUP BY result_id",
+    "result_lines": f"""WITH once AS (SELECT result_id, max(doc_id) AS doc_id, max(title) AS title, max(url) AS url, max("filePath") AS fp, max(score)::DECIMAL(20,6) AS score,
+   coalesce(CASE WHEN NOT isnan(max(pagerank)) THEN max(pagerank) END, 0)::DECIMAL(20,6) AS pr, coalesce(max(numviews), 0) AS nv, max(snippet) AS snippet FROM scored_document GROUP BY result_id)
+ SELECT result_id, doc_id || chr(9) || coalesce(title, '') || chr(9) || score || chr(9) || 'PR:' || pr || chr(9) || 'NV:' || nv || chr(9) AS line,
+   '{{"id":' || doc_id || ',"title":"' || {_encoded("coalesce(title, '')")} || '","url":"' || coalesce(url, '') || '","filePath":"' || coalesce(fp, '') || '","score":' || score || ',"pagerank":' || pr || ',"numviews":' || nv || ',"snippet":"' || {_encoded("coalesce(snippet, '')")} || '"}}' AS json FROM once""",
     "same_content": "SELECT doc_id FROM documents WHERE text IN (SELECT text FROM documents WHERE doc_id % 20 = 0 AND text IS NOT NULL)",
     "request_search": f"""{_FULL}, {_hits(_T)}, {_ql(_T)}, titles AS (SELECT doc_id, string_split_regex(text, '\\r\\n|\\r|\\n')[1] AS title, concat_ws('/', lower(source), name) AS url, concat_ws('/', 'data', kind, name) AS fp FROM documents),
  snips AS ({_snippet(tuple(_T))}),

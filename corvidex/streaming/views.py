@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -21,5 +21,17 @@ def windowed_views(events: DataFrame, time: str = "ts", name: str = "name", amou
 
 
 def start(views: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Keeps ``path`` at the current counts: every batch replaces the table."""
-    return views.writeStream.outputMode("complete").option("checkpointLocation", checkpoint).foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(path)).start()
+    """Keeps the counts under ``path``: every batch adds a folder with the names it changed; nothing is replaced, so readers always find a table.
+
+    A batch that is run again after a failure writes the same folder again.
+    """
+
+    def put(df: DataFrame, batch: int) -> None:
+        df.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+    return views.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(put).start()
+
+
+def current(spark: SparkSession, path: str) -> DataFrame:
+    """(name, views): the newest count of each name under ``path``."""
+    return spark.read.parquet(path).groupBy("name").agg(F.max_by("views", "batch").alias("views"))

@@ -51,3 +51,31 @@ def test_counts_are_added_up_before_the_shuffle(spark, sf):
 
 def test_a_page_is_not_a_full_sort(written):
     assert "TakeOrderedAndProject" in plan(rank.page(rank.query_likelihood(written, parse_query("closed buffers")), 10))
+
+
+@pytest.mark.parametrize("name", ["rank_ql", "rank_cosine", "rank_comprehensive", "match_phrase", "prf_terms"])
+def test_rankings_do_not_read_the_text_again(spark, sf, name):
+    """The text is read once, when the index is written; what is asked of it later reads the index."""
+    df = QUERIES[name](spark, sf)
+    p = plan(df)
+    scans = re.findall(r"FileScan parquet \[([^\]]*)\]", p)
+    assert not any(re.search(r"\btext#", s) for s in scans)
+
+
+def test_an_index_is_written_from_one_pass(spark, sf, tmp_path):
+    idx = inputs.index(spark, sf)
+    ix.write(idx, str(tmp_path / "i"), 2)
+    again = ix.load(spark, str(tmp_path / "i"))
+    assert again.scalars().collect() == idx.scalars().collect()
+    assert sorted(map(tuple, again.doc_stats.select("doc_id", "length").collect())) == sorted(map(tuple, idx.doc_stats.select("doc_id", "length").collect()))
+    assert re.search(r"PushedFilters: \[.*EqualTo\(doc_id", plan(again.doc_terms(10)))
+    assert sorted(map(tuple, again.doc_terms(10).collect())) == sorted(map(tuple, idx.doc_terms(10).collect()))
+
+
+def test_all_metrics_come_from_one_grouping(spark, sf):
+    from corvidex.operators import evaluate as ev
+
+    run = spark.createDataFrame([(1, 1, 5), (1, 2, 6), (2, 1, 5)], "query int, rank bigint, doc_id bigint")
+    qrels = spark.createDataFrame([(1, 5, "Good"), (2, 5, "Bad")], "query int, doc_id bigint, grade string")
+    p = plan(ev.metrics(run, qrels))
+    assert "Window" not in p and p.count("collect_list") <= 4

@@ -7,7 +7,7 @@ from corvidex.operators import index as ix
 from corvidex.operators import mining
 from corvidex.serve import Engine, Request
 from corvidex.sources import readers, writers
-from corvidex.streaming.views import start, streaming_views, windowed_views
+from corvidex.streaming.views import current, start, streaming_views, windowed_views
 
 
 def test_html_directory(spark, tmp_path):
@@ -108,11 +108,32 @@ def test_streams(spark, tmp_path):
     (tmp_path / "in/b").write_text("de A 1\nde B 2\n")
     running.processAllAvailable()
     running.stop()
-    assert {r["name"]: r["views"] for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {"A": 8, "B": 2}
+    assert {r["name"]: r["views"] for r in current(spark, str(tmp_path / "out")).collect()} == {"A": 8, "B": 2}
     events = spark.createDataFrame([("2015-01-01 00:10:00", "A", 1), ("2015-01-01 00:50:00", "A", 2), ("2015-01-01 01:10:00", "A", 4)], "t string, name string, n int").withColumn("ts", F.col("t").cast("timestamp"))
     assert sorted(r["views"] for r in windowed_views(events).collect()) == [3, 4]
 
 
+def test_one_to_one(spark):
+    from corvidex.operators.feedback import one_to_one
+
+    a, b = spark.createDataFrame([("x", 1.0), ("y", 2.0)], "name string, pr double"), spark.createDataFrame([("x", 3), ("y", 4)], "name string, views int")
+    assert sorted(tuple(r) for r in one_to_one(a, b, "name").collect()) == [("x", 1.0, 3), ("y", 2.0, 4)]
+    for first, second in ((a.limit(1), b), (a, b.where("name = 'x'"))):
+        with pytest.raises(Exception, match="not in both tables"):
+            one_to_one(first, second, "name").collect()
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from corvidex import session
+
+    conf = SimpleNamespace(get=lambda *_: None, contains=lambda _: True)
+    sc = SimpleNamespace(getConf=lambda: conf, getCheckpointDir=lambda: None, master="spark://host:7077")
+    with pytest.raises(RuntimeError):
+        session.shared_dir(SimpleNamespace(conf=conf, sparkContext=sc))
+
+
 def test_registry():
     from corvidex.registry import INDEXES, RANKERS, find
 

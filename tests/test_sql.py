@@ -16,7 +16,7 @@ def test_same_rows(spark, sf, name):
 
 
 def test_only_results_as_text_have_no_sql():
-    assert set(ALL) - set(SQL) == {"result_lines", "spell_suggestions"}
+    assert set(ALL) - set(SQL) == {"spell_suggestions"}
 
 
 def test_entry_runs(spark, sf):
