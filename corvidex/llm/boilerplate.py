@@ -348,8 +348,8 @@ def labels(p: Pages, counts: dict[str, int], pages: int) -> tuple[np.ndarray, np
     List items and program text are body, rows of links frame. Else, from what
     all pages hold: a line that also occurs as a sentence of paragraphs, or
     marked up as a heading, is body, and so is a label of the form of such
-    headings; another line that recurs is frame. Where words that open lines
-    recur but hardly ever open a sentence within a paragraph, the first segment
+    headings; another line that recurs is frame, unless it opens like sentences of
+    paragraphs (pages have near copies). Where words that open lines recur but hardly ever open a sentence within a paragraph, the first segment
     is frame; where a remark closes lines in that way, the last. What is left of
     sentences, which no other page has, is body.
     """
@@ -368,7 +368,7 @@ def labels(p: Pages, counts: dict[str, int], pages: int) -> tuple[np.ndarray, np
             found = (BODY, 1.0, "within")
         elif shape == LABEL and len(pieces) == 1 and n(HEADING_FORM, _form(key)) >= 2:
             found = (BODY, 0.7, "heading")
-        elif n(WHOLE, key) >= most:
+        elif n(WHOLE, key) >= most and (shape == LABEL or n(WITHIN, opening) <= ASTRAY * n(FIRST, opening)):
             found = (FRAME, 1.0, "recurs")
         elif n(FIRST, opening) >= most and n(WITHIN, opening) <= ASTRAY * n(FIRST, opening):
             found = (FRAME, 0.7, "opening")
