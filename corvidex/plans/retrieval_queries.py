@@ -155,7 +155,7 @@ def link_extract(spark: SparkSession, d: str) -> DataFrame:
     return mining.links(pages, "result_id", "html", r'<[a|A].*?href="/?([^ /#"]*)".*?>')
 
 
-def _part_pages(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def part_pages(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """(name), (name, html): a page for each part, every fifth one a redirect, and pages that link to the next part of an order."""
     parts = table(spark, d, "part").select(F.concat(F.lit("P"), F.col("p_partkey")).alias("name"), (F.col("p_partkey") % 5 == 0).alias("moved"))
     names = parts.select("name").unionAll(parts.where("moved").select(F.concat("name", F.lit(".html"))))
@@ -167,12 +167,12 @@ def _part_pages(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 @query
 def link_targets(spark: SparkSession, d: str) -> DataFrame:
     """Links to simple names, by the usual pattern."""
-    return mining.links(_part_pages(spark, d)[1])
+    return mining.links(part_pages(spark, d)[1])
 
 
 @query
 def redirect_resolve(spark: SparkSession, d: str) -> DataFrame:
-    names, pages = _part_pages(spark, d)
+    names, pages = part_pages(spark, d)
     return mining.resolve(mining.links(pages), names)
 
 

@@ -96,7 +96,7 @@ _PHRASES = [["close", "too", "early"]]
 _LIKELIHOOD = _C + "," + _hits(_T) + "," + _ql(_T)
 _FULL = f"{_C}, {_GRAPH}, {_VIEWS}"
 
-_RUN = """
+RUN = """
 WITH run AS (SELECT query_id AS query, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC NULLS LAST, doc_id) AS rank FROM (SELECT query_id, doc_id, max(score) AS score FROM scored_document GROUP BY query_id, doc_id)),
  votes AS (SELECT doc_id, vote FROM (SELECT doc_id, vote, row_number() OVER (PARTITION BY doc_id ORDER BY crawled_at DESC, knowledge_id DESC) AS k FROM knowledge) WHERE k = 1 AND vote IS NOT NULL),
  graded AS (SELECT query, rank, CASE WHEN vote >= 40 THEN 10.0::DOUBLE WHEN vote >= 20 THEN 7.0 WHEN vote >= 8 THEN 5.0 WHEN vote >= 0 THEN 1.0 ELSE 0.0 END AS gain, vote IS NOT NULL AS known FROM run LEFT JOIN votes USING (doc_id)),
@@ -298,12 +298,12 @@ SQL = {
     "spearman_pr_nv": f"""WITH {_GRAPH}, {_VIEWS}, both_v AS (SELECT name, round(pr, 9) AS pr, views FROM r2 JOIN views USING (name)),
  ranked AS (SELECT row_number() OVER (ORDER BY pr DESC, name) AS a, row_number() OVER (ORDER BY views DESC, name) AS b FROM both_v)
  SELECT count(*) AS n, round(coalesce(corr(a, b), 0), 6) AS rho FROM ranked""",
-    "eval_precision_recall_f": f"{_RUN}, {_PRF} SELECT query, {_PRF_COLUMNS} FROM prf_m",
-    "eval_pr_curve": f"{_RUN}, {_CURVE} SELECT query, level, round(precision, 6) AS precision FROM curve",
-    "eval_avg_precision": f"{_RUN}, {_AP} SELECT query, round(ap, 6) AS ap FROM ap_m",
-    "eval_ndcg": f"{_RUN}, {_NDCG} SELECT query, {_ND_COLUMNS} FROM nd1 JOIN nd5 USING (query) JOIN nd10 USING (query)",
-    "eval_mrr": f"{_RUN}, {_RR} SELECT query, round(rr, 6) AS rr FROM rr_m",
-    "eval_metrics": f"{_RUN}, {_PRF}, {_CURVE}, {_AP}, {_NDCG}, {_RR}, wide AS (SELECT query, "
+    "eval_precision_recall_f": f"{RUN}, {_PRF} SELECT query, {_PRF_COLUMNS} FROM prf_m",
+    "eval_pr_curve": f"{RUN}, {_CURVE} SELECT query, level, round(precision, 6) AS precision FROM curve",
+    "eval_avg_precision": f"{RUN}, {_AP} SELECT query, round(ap, 6) AS ap FROM ap_m",
+    "eval_ndcg": f"{RUN}, {_NDCG} SELECT query, {_ND_COLUMNS} FROM nd1 JOIN nd5 USING (query) JOIN nd10 USING (query)",
+    "eval_mrr": f"{RUN}, {_RR} SELECT query, round(rr, 6) AS rr FROM rr_m",
+    "eval_metrics": f"{RUN}, {_PRF}, {_CURVE}, {_AP}, {_NDCG}, {_RR}, wide AS (SELECT query, "
     + ", ".join(f"max(CASE WHEN level = {i} THEN precision END) AS pr_{i}" for i in range(11))
     + f" FROM curve GROUP BY query) SELECT query, {_PRF_COLUMNS}, "
     + ", ".join(f"round(pr_{i}, 6) AS pr_{i}" for i in range(11))

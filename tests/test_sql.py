@@ -2,10 +2,10 @@
 
 import pytest
 
-from corvidex.plans import core_queries, retrieval_queries
+from corvidex.plans import core_queries, file_queries, retrieval_queries
 
-ALL = {**retrieval_queries.QUERIES, **core_queries.QUERIES}
-SQL = {**retrieval_queries.SQL, **core_queries.SQL}
+ALL = {**retrieval_queries.QUERIES, **file_queries.QUERIES, **core_queries.QUERIES}
+SQL = {**retrieval_queries.SQL, **file_queries.SQL, **core_queries.SQL}
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
