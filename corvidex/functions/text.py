@@ -7,6 +7,9 @@ words.
 
 from __future__ import annotations
 
+import json
+from html.entities import html5
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -106,14 +109,37 @@ def positions(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataF
 
 
 def html_text(html: Column) -> Column:
-    """The text of HTML: comments, scripts and styles out, tags to blanks, common entities read, blanks squeezed."""
+    """The text of HTML: comments, scripts and styles out, tags to blanks, entities read, blanks squeezed."""
     out = F.regexp_replace(html, r"(?s)<!--.*?-->", " ")
     out = F.regexp_replace(out, r"(?is)<script[^>]*>.*?</script>", " ")
     out = F.regexp_replace(out, r"(?is)<style[^>]*>.*?</style>", " ")
     out = F.regexp_replace(out, r"(?s)</?[A-Za-z][^>]*>", " ")
-    for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&copy;", "©"), ("&amp;", "&")):
-        out = F.replace(out, F.lit(entity), F.lit(char))
-    return F.btrim(F.regexp_replace(out, SPACE, " "))
+    return F.btrim(F.regexp_replace(entities(out), SPACE, " "))
+
+
+#: What an entity looks like after its ampersand.
+ENTITY = r"^(#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
+
+
+def named_entities() -> dict[str, str]:
+    """The named characters of HTML, by the table of the standard library; the no-break space is a blank."""
+    return {k[:-1]: v for k, v in html5.items() if k.endswith(";")} | {"nbsp": " "}
+
+
+def entities(text: Column) -> Column:
+    """The text with its entities read, once each: numbers in both bases and all names. What is no entity stays."""
+    table = F.from_json(F.lit(json.dumps(named_entities())), "map<string,string>")  # folded to a literal
+
+    def read(part: Column) -> Column:
+        name = F.regexp_extract(part, ENTITY, 1)
+        digits = F.when(F.lower(F.substring(name, 1, 2)) == "#x", F.substring(name, F.lit(3), F.length(name))).when(name.startswith("#"), F.conv(F.substring(name, F.lit(2), F.length(name)), 10, 16))
+        code = F.conv(digits, 16, 10).cast("bigint")
+        valid = (code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF)
+        char = F.when(name.startswith("#"), F.when(valid, F.decode(F.unhex(F.lpad(digits, 8, "0")), "UTF-32"))).otherwise(F.try_element_at(table, name))
+        return F.coalesce(F.concat(char, F.substring(part, F.length(name) + 2, F.length(part))), F.concat(F.lit("&"), part))
+
+    parts = F.split(text, "&")
+    return F.when(F.contains(text, F.lit("&")), F.concat(parts[0], F.array_join(F.transform(F.slice(parts, 2, F.size(parts)), read), ""))).otherwise(text)
 
 
 def html_title(html: Column) -> Column:

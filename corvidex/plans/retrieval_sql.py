@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from corvidex.functions.text import ENTITY, named_entities
 from corvidex.functions.words import EXPANSION_STOP_WORDS, PUNCTUATION, QUERY_STOP_WORDS
 from corvidex.operators.stemmer import _LAST, _LONG, _MIDDLE
 
@@ -160,8 +161,12 @@ def _html(x: str) -> str:
     out = x
     for pattern in ("(?s)<!--.*?-->", "(?is)<script[^>]*>.*?</script>", "(?is)<style[^>]*>.*?</style>", "(?s)</?[A-Za-z][^>]*>"):
         out = f"regexp_replace({out}, '{pattern}', ' ', 'g')"
-    for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&copy;", "©"), ("&amp;", "&")):
-        out = f"replace({out}, '{entity}', {_lit(char)})"
+    names = ", ".join(f"{_lit(k)}: {_lit(v)}" for k, v in named_entities().items())
+    name = f"regexp_extract(p, '{ENTITY}', 1)"
+    code = f"CASE WHEN lower(left({name}, 2)) = '#x' THEN ('0x' || substr({name}, 3))::BIGINT WHEN left({name}, 1) = '#' THEN substr({name}, 2)::BIGINT END"
+    char = f"CASE WHEN left({name}, 1) = '#' THEN chr(({code})::INT) ELSE element_at(MAP {{{names}}}, {name})[1] END"
+    read = f"list_transform(string_split({out}, '&')[2:], lambda p: coalesce({char} || substr(p, length({name}) + 2), '&' || p))"
+    out = f"CASE WHEN contains({out}, '&') THEN string_split({out}, '&')[1] || array_to_string({read}, '') ELSE {out} END"
     return f"trim(regexp_replace({out}, '{_SPACE}', ' ', 'g'))"
 
 

@@ -89,3 +89,10 @@ def test_edits(spark):
     got = spark.createDataFrame([("",), ("a",), ("ab",)], "w string").select("w", tx.edits1(F.col("w")).alias("e")).collect()
     assert [(r["w"], len(r["e"])) for r in got] == [("", 26), ("a", 79), ("ab", 133)]
     assert {"b", "a", "ba", "aab", "cb"} <= set(got[2]["e"])
+
+
+def test_entities(spark):
+    """All names and numbers; what is none stays; each is read once."""
+    cases = {"a &frac12; &#8364; &#x1F600; &rarr;": "a ½ € 😀 →", "&amp;lt; R&D &bogus; &amp": "&lt; R&D &bogus; &amp", "&#0;&#xD800;&#1114112;": "&#0;&#xD800;&#1114112;", "x&nbsp;y": "x y", "": "", None: None}
+    rows = spark.createDataFrame([(k,) for k in cases], "t string").select("t", tx.html_text(F.col("t")).alias("h")).collect()
+    assert {r["t"]: r["h"] for r in rows} == cases
