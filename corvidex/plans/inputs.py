@@ -14,9 +14,11 @@ from corvidex.session import scratch, table
 
 
 def documents(spark: SparkSession, d: str) -> DataFrame:
-    """(doc_id, text, title, url, file_path): the title is the first line."""
-    names = (F.concat_ws("/", F.lower("source"), "name").alias("url"), F.concat_ws("/", F.lit("data"), "kind", "name").alias("file_path"))
-    return table(spark, d, "documents").select("doc_id", "text", F.split("text", r"\r\n|\r|\n")[0].alias("title"), *names)
+    """(doc_id, text, title), and url and file_path where the table tells them: the title is the first line."""
+    docs = table(spark, d, "documents")
+    paths = {"url": ("source", "name"), "file_path": ("kind", "name")}
+    known = [F.concat_ws("/", *([F.lit("data")] if c == "file_path" else []), *(F.lower(x) if x == "source" else F.col(x) for x in of)).alias(c) for c, of in paths.items() if set(of) <= set(docs.columns)]
+    return docs.select("doc_id", "text", F.split("text", r"\r\n|\r|\n")[0].alias("title"), *known)
 
 
 def edges(spark: SparkSession, d: str) -> DataFrame:
