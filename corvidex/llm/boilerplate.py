@@ -349,9 +349,10 @@ def labels(p: Pages, counts: dict[str, int], pages: int) -> tuple[np.ndarray, np
     all pages hold: a line that also occurs as a sentence of paragraphs, or
     marked up as a heading, is body, and so is a label of the form of such
     headings; another line that recurs is frame, unless it opens like sentences of
-    paragraphs (pages have near copies). Where words that open lines recur but hardly ever open a sentence within a paragraph, the first segment
-    is frame; where a remark closes lines in that way, the last. What is left of
-    sentences, which no other page has, is body.
+    paragraphs (pages have near copies). Where words that open lines recur but
+    hardly ever open a sentence within a paragraph, the first segment is frame;
+    where a remark closes lines in that way, the last. What is left of sentences,
+    which no other page has, is body.
     """
     most = max(RECURS, int(pages * RECURS_SHARE))
     n = lambda kind, what: counts.get(kind + what, 0)
