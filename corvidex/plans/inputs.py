@@ -67,14 +67,18 @@ def _once(spark: SparkSession, d: str, name: str, build) -> ix.Index:
 
 
 def written_index(spark: SparkSession, d: str, scores: bool = False) -> ix.Index:
-    """``index``, written once; with ``scores`` PageRank and views are joined to the documents' rows."""
+    """``index``, written once; with ``scores`` the documents' rows with PageRank and views are written beside it."""
     found = _once(spark, d, "documents", lambda: index(spark, d))
     if not scores:
         return found
-    pr, nv = page_rank(spark, d), views(spark, d)
-    stats = found.doc_stats.join(pr.select(F.col("name").alias("doc_id"), F.col("pr").alias("page_rank")), "doc_id", "left").join(nv.select(F.col("name").alias("doc_id"), F.col("views").alias("num_views")), "doc_id", "left")
-    stats = stats.withColumn("page_rank", F.coalesce("page_rank", F.lit(0.0))).withColumn("num_views", F.coalesce("num_views", F.lit(0)))
-    return replace(found, doc_stats=stats)
+    key = (spark.sparkContext.applicationId, d, "scored")
+    if key not in _WRITTEN:
+        pr, nv = page_rank(spark, d), views(spark, d)
+        stats = found.doc_stats.join(pr.select(F.col("name").alias("doc_id"), F.col("pr").alias("page_rank")), "doc_id", "left").join(nv.select(F.col("name").alias("doc_id"), F.col("views").alias("num_views")), "doc_id", "left")
+        path = scratch(spark, "scored")
+        stats.withColumns({"page_rank": F.coalesce("page_rank", F.lit(0.0)), "num_views": F.coalesce("num_views", F.lit(0))}).write.mode("overwrite").parquet(path)
+        _WRITTEN[key] = replace(found, doc_stats=spark.read.parquet(path))
+    return _WRITTEN[key]
 
 
 def written_questions(spark: SparkSession, d: str) -> ix.Index:

@@ -17,6 +17,7 @@ from corvidex.operators.index import Index
 from corvidex.operators.knowledge import opens_gate
 from corvidex.operators.rank import RANKERS, best_answer, best_first, full_scan, page, ranker
 from corvidex.operators.spelling import spell_check
+from corvidex.session import durable
 from corvidex.sources.writers import json_object, knowledge_json, knowledge_text, text_line
 
 _NUMBER = re.compile(r"[+-]?[0-9]+").fullmatch
@@ -96,7 +97,7 @@ class Engine:
 
     def result_objects(self, r: Request) -> DataFrame:
         """(doc_id, score, json) of the page of results, with snippets around the query's tokens."""
-        rows = self._filled(self.results(r), _DEFAULTS)
+        rows = durable(self._filled(self.results(r), _DEFAULTS))  # a page of rows, read twice
         if self.texts is not None:
             texts = self.texts.join(F.broadcast(rows.select("doc_id")), "doc_id", "left_semi")  # a page of rows
             snippet = query_snippet(F.col("text"), list(parse_query(r.query).tokens))
