@@ -108,17 +108,20 @@ def write(index: Index, path: str, partitions: int | None = None) -> None:
     """The tables as Parquet under ``path``, replacing what is there.
 
     The text is read once, for the postings; everything else is made from what is
-    already written. Postings and counts are sorted by term, so that terms prune
-    row groups, and counts a second time by document.
+    already written. Postings are spread by term and document and sorted, so that
+    a term prunes row groups and a frequent one fills no file alone (ranges would
+    need a pass over the text of their own). Counts are range-partitioned by term,
+    and a second time by document.
     """
     spark = index.postings.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    def put(rows: DataFrame, name: str, *order: str) -> DataFrame:
-        rows.repartitionByRange(n, *order[:2]).sortWithinPartitions(*order).write.mode("overwrite").parquet(f"{path}/{name}")
+    def put(rows: DataFrame, name: str, *order: str, ranged: bool = True) -> DataFrame:
+        spread = rows.repartitionByRange(n, *order[:2]) if ranged else rows.repartition(n, *order[:2])
+        spread.sortWithinPartitions(*order).write.mode("overwrite").parquet(f"{path}/{name}")
         return spark.read.parquet(f"{path}/{name}")
 
-    postings = put(index.postings, "postings", "term", "doc_id", "pos")
+    postings = put(index.postings, "postings", "term", "doc_id", "pos", ranged=False)
     term_doc = put(postings.groupBy("term", "doc_id").agg(F.count("*").alias("tf")), "term_doc", "term", "doc_id")
     put(term_doc.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("ctf")), "term_stats", "term")
     put(term_doc, "doc_terms", "doc_id", "term")

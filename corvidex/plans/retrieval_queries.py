@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -319,8 +320,9 @@ def title_encoded(spark: SparkSession, d: str) -> DataFrame:
 @query
 def result_lines(spark: SparkSession, d: str) -> DataFrame:
     """All results as text lines and JSON objects, scores to six digits."""
+    six = lambda c: F.floor(c * 1e6 + 0.5).cast("decimal(20,0)") * F.lit(Decimal("0.000001"))  # noqa: E731  rounded as whole numbers
     once = table(spark, d, "scored_document").groupBy("result_id").agg(*(F.max(c).alias(c) for c in ("doc_id", "title", "url", "filePath", "score", "pagerank", "numviews", "snippet")))
-    rows = once.select("result_id", "doc_id", "title", "url", F.col("filePath").alias("file_path"), F.col("score").cast("decimal(20,6)").alias("score"), F.coalesce(F.nanvl("pagerank", F.lit(0.0)), F.lit(0.0)).cast("decimal(20,6)").alias("page_rank"), F.coalesce("numviews", F.lit(0)).alias("num_views"), "snippet")
+    rows = once.select("result_id", "doc_id", "title", "url", F.col("filePath").alias("file_path"), six(F.col("score")).alias("score"), six(F.coalesce(F.nanvl("pagerank", F.lit(0.0)), F.lit(0.0))).alias("page_rank"), F.coalesce("numviews", F.lit(0)).alias("num_views"), "snippet")
     return rows.select("result_id", text_line().alias("line"), json_object().alias("json"))
 
 
@@ -351,7 +353,7 @@ def spell_suggestions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _engine(spark: SparkSession, d: str) -> Engine:
-    return Engine(inputs.written_index(spark, d, scores=True), inputs.written_questions(spark, d), texts=inputs.documents(spark, d).select("doc_id", "text"))
+    return Engine(inputs.written_index(spark, d, scores=True), texts=inputs.documents(spark, d).select("doc_id", "text"))
 
 
 def _fields(rows: DataFrame, *fields: str) -> DataFrame:
@@ -371,14 +373,15 @@ def request_search(spark: SparkSession, d: str) -> DataFrame:
 @query
 def request_know(spark: SparkSession, d: str) -> DataFrame:
     """The best answer as a request asks for it."""
-    answer = _engine(spark, d).know(Request.parse(f"query={ASKED}&ranker=comprehensive"))
+    questions = inputs.written_questions(spark, d)
+    answer = Engine(questions, questions).know(Request.parse(f"query={ASKED}&ranker=comprehensive"))
     return _fields(answer.select(knowledge_json().alias("json")), "id", "title", "url", "filePath", "knowledge", "score", "pagerank", "numviews", "vote")
 
 
 @query
 def request_prf(spark: SparkSession, d: str) -> DataFrame:
     """Expansion terms as a request asks for them."""
-    return _engine(spark, d).prf(Request.parse(f"query={TERMS}&ranker=ql&numdocs=10&numterms=8")).withColumn("prob", F.round("prob", 6))
+    return Engine(inputs.written_index(spark, d)).prf(Request.parse(f"query={TERMS}&ranker=ql&numdocs=10&numterms=8")).withColumn("prob", F.round("prob", 6))
 
 
 @query

@@ -323,8 +323,8 @@ SQL = {
  SELECT knowledge_id, trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '{_SPACE}', ' ', 'g')) AS title, {_html("html")} AS text FROM pages""",
     "snippet": _snippet(),
     "title_encoded": "SELECT result_id, replace(replace(replace(url_encode(max(title)), '%20', '+'), '~', '%7E'), '%2A', '*') AS title FROM scored_document GROUP BY result_id",
-    "result_lines": f"""WITH once AS (SELECT result_id, max(doc_id) AS doc_id, max(title) AS title, max(url) AS url, max("filePath") AS fp, max(score)::DECIMAL(20,6) AS score,
-   coalesce(CASE WHEN NOT isnan(max(pagerank)) THEN max(pagerank) END, 0)::DECIMAL(20,6) AS pr, coalesce(max(numviews), 0) AS nv, max(snippet) AS snippet FROM scored_document GROUP BY result_id)
+    "result_lines": f"""WITH once AS (SELECT result_id, max(doc_id) AS doc_id, max(title) AS title, max(url) AS url, max("filePath") AS fp, floor(max(score) * 1e6 + 0.5)::DECIMAL(20,0) * 0.000001::DECIMAL(6,6) AS score,
+   floor(coalesce(CASE WHEN NOT isnan(max(pagerank)) THEN max(pagerank) END, 0) * 1e6 + 0.5)::DECIMAL(20,0) * 0.000001::DECIMAL(6,6) AS pr, coalesce(max(numviews), 0) AS nv, max(snippet) AS snippet FROM scored_document GROUP BY result_id)
  SELECT result_id, doc_id || chr(9) || coalesce(title, '') || chr(9) || score || chr(9) || 'PR:' || pr || chr(9) || 'NV:' || nv || chr(9) AS line,
    '{{"id":' || doc_id || ',"title":"' || {_encoded("coalesce(title, '')")} || '","url":"' || coalesce(url, '') || '","filePath":"' || coalesce(fp, '') || '","score":' || score || ',"pagerank":' || pr || ',"numviews":' || nv || ',"snippet":"' || {_encoded("coalesce(snippet, '')")} || '"}}' AS json FROM once""",
     "same_content": "SELECT doc_id FROM documents WHERE text IN (SELECT text FROM documents WHERE doc_id % 20 = 0 AND text IS NOT NULL)",
