@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from corvidex.functions.words import PUNCTUATION, QUERY_STOP_WORDS
@@ -19,7 +20,7 @@ def shape(stem: str) -> str:
     return out
 
 
-def stem(word: str) -> str:
+def stem(word: str, shape: Callable[[str], str] = shape) -> str:
     """Plurals, -eed, -ed and -ing off; the same rule as ``functions.text.with_stem``."""
     if len(word) < 3:
         return word
@@ -45,6 +46,19 @@ def stem(word: str) -> str:
     return word
 
 
+def _vowel_shape(stem: str) -> str:
+    """``functions.text.vowel_shape``, which leaves some of a long run of y as they are."""
+    out = re.sub("^y", "c", re.sub("[aeiou]", "v", re.sub("[^aeiouy]", "c", stem)))
+    for _ in range(3):
+        out = out.replace("vy", "vc").replace("cy", "cv")
+    return out
+
+
+def document_term(word: str) -> str:
+    """The term of a lower-cased word of a document, as ``functions.text.positions`` gives it."""
+    return stem(word.translate(_STRIP), _vowel_shape)
+
+
 def normalise(word: str) -> str:
     return stem(word.lower().translate(_STRIP))
 

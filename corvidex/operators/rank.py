@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from corvidex.functions.query import Query
 from corvidex.functions.text import positions
 from corvidex.functions.words import KNOWLEDGE_WEIGHTS, QUERY_STOP_WORDS, WEIGHTS
+from corvidex.operators import blocks
 from corvidex.operators.index import Index
 from corvidex.operators.match import any_title_word, matches, matches_batch, phrases_batch
 from corvidex.session import durable, ship
@@ -19,6 +20,8 @@ from corvidex.session import durable, ship
 LAMBDA = 0.5
 #: Digits to which scores are told apart.
 DIGITS = 9
+#: Different queries of a log that a task looks up at once.
+LOG_PART = 100_000
 
 
 def best_first() -> tuple[Column, Column]:
@@ -146,6 +149,17 @@ def best_answer(index: Index, query: Query, name: str = "favorite") -> DataFrame
     return index.doc_stats.join(F.broadcast(best), "doc_id").select("doc_id", "score", *columns)  # one row
 
 
+def _lists(queries: DataFrame, top: int, phrases: DataFrame | None, tops: DataFrame | None) -> DataFrame:
+    """(query_id, one) and, with ``tops``, top: ``one`` stands for all queries with the same terms and phrases. Written once."""
+    lists = queries.groupBy("query_id").agg(F.to_json(F.sort_array(F.collect_list(F.struct("term", "qtf")))).alias("asked"))
+    if phrases is not None:
+        said = phrases.groupBy("query_id").agg(F.to_json(F.sort_array(F.collect_set("words"))).alias("said"))
+        lists = lists.join(said, "query_id", "left").select("query_id", F.concat_ws(" ", "asked", "said").alias("asked"))
+    if tops is not None:
+        lists = lists.join(tops.select("query_id", "top"), "query_id", "left").withColumn("top", F.coalesce("top", F.lit(top)))
+    return durable(lists.withColumn("one", F.min("query_id").over(Window.partitionBy("asked"))))
+
+
 def query_likelihood_batch(index: Index, queries: DataFrame, top: int = 10, phrases: DataFrame | None = None, tops: DataFrame | None = None) -> DataFrame:
     """(query_id, doc_id, score, rank) of the ``top`` documents of many queries in one job.
 
@@ -155,13 +169,7 @@ def query_likelihood_batch(index: Index, queries: DataFrame, top: int = 10, phra
     ranked once and their result is given to each. Top rows are cut in each task
     before the shuffle by query.
     """
-    lists = queries.groupBy("query_id").agg(F.to_json(F.sort_array(F.collect_list(F.struct("term", "qtf")))).alias("asked"))
-    if phrases is not None:
-        said = phrases.groupBy("query_id").agg(F.to_json(F.sort_array(F.collect_set("words"))).alias("said"))
-        lists = lists.join(said, "query_id", "left").select("query_id", F.concat_ws(" ", "asked", "said").alias("asked"))
-    if tops is not None:
-        lists = lists.join(tops.select("query_id", "top"), "query_id", "left").withColumn("top", F.coalesce("top", F.lit(top)))
-    lists = durable(lists.withColumn("one", F.min("query_id").over(Window.partitionBy("asked"))))
+    lists = _lists(queries, top, phrases, tops)
     ones = lists.where(F.col("query_id") == F.col("one")).select("query_id")
     single = durable(queries.join(ones, "query_id", "left_semi").select("query_id", "term", "qtf"))
     # rows of the queries' terms only, written once: they are matched, counted and scored
@@ -183,6 +191,39 @@ def query_likelihood_batch(index: Index, queries: DataFrame, top: int = 10, phra
     return (out if tops is None else out.where(F.col("rank") <= F.col("top"))).select("query_id", "doc_id", "score", "rank")
 
 
+def query_likelihood_log(docs: DataFrame, queries: DataFrame, phrases: DataFrame, tops: DataFrame, top: int = 10) -> DataFrame:
+    """``query_likelihood_batch`` of documents without an index (doc_id, text), for a log of many queries over many documents.
+
+    The collection is read once, into blocks (``operators.blocks``) with the
+    log's terms and phrases, of which every task gets the list; each block is
+    searched for all queries at once. What a pair of a query and a document costs
+    is a look-up in an array, not a row of a join.
+    """
+    import numpy as np
+
+    queries = queries.where("query_id IS NOT NULL").groupBy("query_id", "term").agg(F.sum("qtf").alias("qtf"))
+    lists = _lists(queries, top, phrases, tops)
+    each = lists.groupBy("one").agg(F.max("top").alias("most")).withColumnRenamed("one", "query_id")
+    single = durable(queries.join(each, "query_id"))
+    said = durable(phrases.join(each.select("query_id"), "query_id", "left_semi").distinct())
+    terms = [r["term"] for r in single.select("term").distinct().collect()]
+    made = blocks.build(docs, sorted(terms), sorted(r["words"] for r in said.select("words").distinct().collect()))
+    share = (LAMBDA * F.col("ctf") / F.col("total_terms")).alias("c")
+    words = single.join(blocks.counts(made).select("term", share), "term", "left").select("query_id", "most", "c", "term", "qtf")
+    spoken = said.join(each, "query_id").select("query_id", "most", F.lit(0.0).alias("c"), F.array_join("words", " ").alias("term"), F.lit(0).cast("bigint").alias("qtf"))
+    # phrases come first, then the rarest term; a query with a term that no document holds is left out
+    asked = words.unionByName(spoken).groupBy("query_id", "most").agg(F.sort_array(F.collect_list(F.struct("c", "term", "qtf"))).alias("items"), F.bool_and(F.col("c").isNotNull()).alias("known"))
+    parts = max(1, -(-each.count() // LOG_PART))
+    asked = asked.where("known").groupBy(F.pmod(F.hash("query_id"), F.lit(parts)).alias("part")).agg(F.collect_list(F.struct("query_id", F.col("most").cast("bigint").alias("most"), "items")).alias("asked")).coalesce(parts)
+
+    def weight(tf, length, c):
+        return np.log2((1 - LAMBDA) * tf / length + c)
+
+    w = Window.partitionBy("query_id").orderBy(*best_first())
+    ranked = blocks.best(made, asked, weight, DIGITS).withColumn("rank", F.row_number().over(w).cast("bigint")).withColumnRenamed("query_id", "one")
+    return lists.join(ranked, "one").where(F.col("rank") <= F.col("top")).select("query_id", "doc_id", "score", "rank")
+
+
 def batch_terms(queries: DataFrame, query_id: str = "query_id", text: str = "query") -> DataFrame:
     """(query_id, term, qtf) of a table of queries read as plain words; stop words dropped, null queries without terms."""
     words = positions(queries.select(F.col(query_id).alias("doc_id"), F.replace(F.col(text), F.lit('"'), F.lit(" ")).alias("text")))

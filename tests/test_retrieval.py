@@ -1,3 +1,5 @@
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -78,6 +80,71 @@ def test_log_is_single(index, spark):
     assert [len(got.get(q, {})) for q in (1, 2, 3, 8, 9)] == [1, 2, 4, 3, 1]
 
 
+@pytest.fixture
+def small_blocks(monkeypatch):
+    from corvidex.operators import blocks
+
+    for name, value in {"BLOCK_DOCS": 5, "PIECE_DOCS": 2, "PIECE_WORDS": 30, "KEPT": 7, "DENSE_SHARE": 0.5, "DENSE_TERMS": 2}.items():
+        monkeypatch.setattr(blocks, name, value)
+    monkeypatch.setattr(rank, "LOG_PART", 3)
+
+
+def test_log_over_blocks_is_single(spark, small_blocks):
+    import random
+
+    pick = random.Random(5)
+    words = ["web", "Search", "pages!", "ranked", "the", "...", "http://x.y", "hmyyyyyyyyying", "ΣΑΣ", "İ", "a\u00a0b"]
+    docs = [(i, " ".join(pick.choices(words, [6, 5, 4, 3, 3, 2, 2, 1, 1, 1, 1], k=pick.randint(1, 12)))) for i in pick.sample(range(100), 60)]
+    docs += [(200 + i, "web search web") for i in range(15)]  # ties, over several blocks and tasks
+    docs += [(300, None), (301, ""), (302, " \t\n"), (303, "http://only.links"), (304, "ranked " * 70)]
+    table = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)
+    log = [(1, "web search", 10), (2, '"web search"', 40), (3, "search web", 3), (4, "web", None), (5, '"web search" "search web"', 20), (6, "ranked", 2), (7, "nosuch web", 5), (8, '"nosuch web"', 5)]
+    log += [(9, None, 5), (10, "the", 5), (11, "hmyyyyyyyyying", 9), (12, "web web search", 10), (13, '"the ..." web', 9), (14, "σας", 9), (15, '"search"', 9), (16, "pages ranked web search", 40), (17, "web", 0), (18, '"web search', 12)]
+    queries = spark.createDataFrame(log, "query_id bigint, query string, top int")
+    index = ix.build(table)
+    got = {}
+    for r in rank.query_likelihood_log(table, *rank.batch_parsed(queries), queries.select("query_id", "top")).collect():
+        got.setdefault(r["query_id"], {})[r["rank"]] = (r["doc_id"], round(r["score"], 9))
+    for q, text, top in log:
+        one = rank.page(rank.query_likelihood(index, parse_query(text)), 10 if top is None else top).collect() if top != 0 else []
+        assert got.get(q, {}) == {k + 1: (r["doc_id"], round(r["score"], 9)) for k, r in enumerate(one)}
+    assert min(len(got[q]) for q in (1, 2, 3, 4, 5, 6, 12, 16)) > 0 and len(got[2]) > 15
+
+
+def test_log_counts_documents_without_id(spark):
+    docs = spark.createDataFrame([(1, "web page"), (None, "web web search"), (2, "web")], "doc_id bigint, text string")
+    queries = spark.createDataFrame([(1, "web", 5), (None, "web", 5)], "query_id bigint, query string, top int")
+    got = rank.query_likelihood_log(docs, *rank.batch_parsed(queries), queries.select("query_id", "top")).collect()
+    share = 0.5 * 4 / 6
+    assert [(r["query_id"], r["doc_id"], r["rank"]) for r in sorted(got, key=lambda r: r["rank"])] == [(1, 2, 1), (1, 1, 2)]
+    assert {r["doc_id"]: r["score"] for r in got} == {1: pytest.approx(math.log2(0.25 + share)), 2: pytest.approx(math.log2(0.5 + share))}
+
+
+def test_log_without_queries_or_documents(spark):
+    docs = spark.createDataFrame([(1, "web page")], "doc_id bigint, text string")
+    log = spark.createDataFrame([(1, "web", 5), (2, '"web page"', 5)], "query_id bigint, query string, top int")
+    for d, q in ((docs, log.limit(0)), (docs.limit(0), log), (docs, log.where("query_id = 1").withColumn("query", F.lit("the")))):
+        assert rank.query_likelihood_log(d, *rank.batch_parsed(q), q.select("query_id", "top")).count() == 0
+
+
+def test_log_shuffles_no_row_for_each_query_and_document(spark, tmp_path):
+    """Rows of a join for each pair of them are what a log can't be ranked with in time on large tables."""
+    from corvidex.plans.retrieval_queries import QUERIES
+
+    words = [f"w{i}x" for i in range(12)]
+    spark.createDataFrame([(i, " ".join(words) + " more" * (i % 9)) for i in range(500)], "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    pairs = [(12 * i + j, f"{a} {b}", 10) for i, a in enumerate(words) for j, b in enumerate(words) if i < j]
+    spark.createDataFrame(pairs, "query_id bigint, query string, numdocs int").write.parquet(str(tmp_path / "search_query.parquet"))
+    sc = spark.sparkContext
+    sc.setJobGroup("pairs", "")
+    rows = QUERIES["rank_ql_log"](spark, str(tmp_path)).collect()
+    sc.setJobGroup("", "")
+    assert len(rows) == 10 * len(pairs)
+    stages = {s for j in sc.statusTracker().getJobIdsForGroup("pairs") for s in sc.statusTracker().getJobInfo(j).stageIds}
+    store = sc._jsc.sc().statusStore()
+    assert sum(store.lastStageAttempt(s).shuffleWriteRecords() for s in stages) < 500 * len(pairs)
+
+
 def test_log_gives_as_many_as_asked(spark, tmp_path):
     from corvidex.plans.retrieval_queries import QUERIES
 

@@ -29,6 +29,17 @@ def test_stem_of_columns_is_stem_of_words_on_many_words(spark):
     assert [(r["w"], r["s"]) for r in got if r["s"] != stem(r["w"])] == []
 
 
+def test_terms_of_documents_are_those_of_columns(spark):
+    import random
+
+    from corvidex.functions.query import document_term
+
+    rng = random.Random(6)
+    words = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 12))) + rng.choice(["", "s", "ed", "eed", "ing", "!", "'s"]) for alphabet in ("aeioybdlnrst.-", "yya", "éß中😀ay\u00a0") for _ in range(1500)]
+    got = tx.positions(spark.createDataFrame([(i, w) for i, w in enumerate(words)], "doc_id bigint, text string")).collect()
+    assert len(got) > 4000 and [(words[r["doc_id"]], r["term"]) for r in got if r["term"] != document_term(words[r["doc_id"]])] == []
+
+
 @given(st.text("abcdefghijklmnopqrstuvwxyz", max_size=12))
 @settings(max_examples=200, deadline=None)
 def test_stem_keeps_the_beginning(word):
